@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ("amounts",)
+GROUPS = ("integrity", "amounts", "behaviour", "counterparties", "protection", "reporting")
 
 QUERIES, ORACLE = {}, {}
 for _group in GROUPS:

@@ -70,7 +70,7 @@ def mahalanobis(spark, sf_dir):
 
 def multivariate(spark, sf_dir):
     lines = load(spark, sf_dir, "lineitem")
-    hits = ops.multivariate(lines, ["l_quantity", "l_extendedprice", "l_discount"], 4, 2.0)
+    hits = ops.multivariate(lines, ["l_quantity", "l_extendedprice", "l_discount"], 4, 1.6)
     return hits.select("l_orderkey", "l_linenumber", "cluster", rounded("distance"))
 
 

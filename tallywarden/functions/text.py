@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 # Patterns for personal and card data in free text.
 EMAIL = r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-PHONE = r"\+?[0-9]{1,3}[ -][0-9]{3}[ -][0-9]{3}[ -][0-9]{4}"
+PHONE = r"\+[0-9]{1,3}[ -]?\(?[0-9]{3}\)?[ -][0-9]{3}[ -][0-9]{4}"
 CARD = r"\b[0-9](?:[ -]?[0-9]){12,18}\b"
 
 
