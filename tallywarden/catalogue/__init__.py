@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ("integrity", "amounts", "behaviour", "counterparties", "protection", "reporting")
+GROUPS = ("integrity", "amounts", "behaviour", "counterparties", "protection", "reporting", "streams")
 
 QUERIES, ORACLE = {}, {}
 for _group in GROUPS:

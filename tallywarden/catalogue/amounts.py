@@ -102,19 +102,22 @@ ORACLE = {
         FROM z WHERE abs(zscore) > 3
     """,
     "mad_score": """
-        WITH m AS (SELECT event_type, median(value) AS median FROM events GROUP BY ALL),
-        d AS (SELECT e.*, median, abs(value - median) AS distance FROM events e JOIN m USING (event_type)),
+        WITH c AS (SELECT *, round(value * 100)::bigint AS cents FROM events),
+        m AS (SELECT event_type, median(cents) AS median FROM c GROUP BY ALL),
+        d AS (SELECT c.*, median, abs(cents - median) AS distance FROM c JOIN m USING (event_type)),
         a AS (SELECT event_type, median(distance) AS mad FROM d GROUP BY ALL)
-        SELECT event_id, event_type, round(value, 4) AS value, round(median, 4) AS median,
-               round(mad, 4) AS mad, round(0.6745::double * (value - median) / mad, 4) AS score
+        SELECT event_id, event_type, round(value, 4) AS value, round(median / 100, 4) AS median,
+               round(mad / 100, 4) AS mad, round(0.6745::double * (cents - median) / mad, 4) AS score
         FROM d JOIN a USING (event_type)
-        WHERE mad > 0 AND abs(0.6745::double * (value - median) / mad) > 3.5
+        WHERE mad > 0 AND abs(0.6745::double * (cents - median) / mad) > 3.5
     """,
     "iqr_fence": """
-        WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
-                   FROM events GROUP BY ALL)
-        SELECT event_id, event_type, round(value, 4) AS value, round(q3 + 1.5::double * (q3 - q1), 4) AS fence
-        FROM events JOIN q USING (event_type) WHERE value > q3 + 1.5::double * (q3 - q1)
+        WITH c AS (SELECT *, round(value * 100)::bigint AS cents FROM events),
+        q AS (SELECT event_type, quantile_cont(cents, 0.25) AS q1, quantile_cont(cents, 0.75) AS q3
+              FROM c GROUP BY ALL)
+        SELECT event_id, event_type, round(value, 4) AS value,
+               round((q3 + 1.5::double * (q3 - q1)) / 100, 4) AS fence
+        FROM c JOIN q USING (event_type) WHERE cents > q3 + 1.5::double * (q3 - q1)
     """,
     "prior_zscore": f"""
         WITH c AS (SELECT *, round(o_totalprice * 100)::bigint AS cents FROM orders),

@@ -80,7 +80,7 @@ def time_order(spark, sf_dir):
 
 def reconcile(spark, sf_dir):
     found = ops.reconcile(load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem"), 0.01)
-    return found.select("o_orderkey", rounded("lines_total", 2), rounded("difference", 2))
+    return found.select("o_orderkey", rounded("lines_total", 6), rounded("difference", 6))
 
 
 def domain_rules(spark, sf_dir):
@@ -163,11 +163,12 @@ ORACLE = {
     """,
     "quarantine_good": f"SELECT o_orderkey, o_custkey FROM orders WHERE NOT ({_BAD_ORDER})",
     "write_alerts": """
-        WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
-                   FROM events GROUP BY ALL)
+        WITH c AS (SELECT *, round(value * 100)::bigint AS cents FROM events),
+        q AS (SELECT event_type, quantile_cont(cents, 0.25) AS q1, quantile_cont(cents, 0.75) AS q3
+              FROM c GROUP BY ALL)
         SELECT 'iqr_fence' AS detector, user_id AS entity_id, event_id AS txn_id, value AS score,
                event_type AS detail, DATE '2024-02-01' AS run_date
-        FROM events JOIN q USING (event_type) WHERE value > q3 + 1.5::double * (q3 - q1)
+        FROM c JOIN q USING (event_type) WHERE cents > q3 + 1.5::double * (q3 - q1)
     """,
     "duplicate_keys": """
         SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING n > 1
@@ -186,8 +187,8 @@ ORACLE = {
                    FROM lineitem GROUP BY ALL),
         d AS (SELECT o_orderkey, lines, lines - round(o_totalprice * 100)::hugeint * 10000 AS diff
               FROM orders JOIN s ON o_orderkey = l_orderkey)
-        SELECT o_orderkey, round(lines::double / 1000000, 2) AS lines_total,
-               round(diff::double / 1000000, 2) AS difference
+        SELECT o_orderkey, round(lines::double / 1000000, 6) AS lines_total,
+               round(diff::double / 1000000, 6) AS difference
         FROM d WHERE abs(diff::double / 1000000) > 0.01
     """,
     "domain_rules": """

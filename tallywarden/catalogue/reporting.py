@@ -85,11 +85,12 @@ QUERIES = {
 }
 
 _ALERTS = """
-    q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
-          FROM events GROUP BY ALL),
+    c AS (SELECT *, round(value * 100)::bigint AS cents FROM events),
+    q AS (SELECT event_type, quantile_cont(cents, 0.25) AS q1, quantile_cont(cents, 0.75) AS q3
+          FROM c GROUP BY ALL),
     fence AS (SELECT 'iqr_fence' AS detector, user_id AS entity_id, event_id AS txn_id,
                      round(value, 2) AS score, event_type AS detail
-              FROM events JOIN q USING (event_type) WHERE value > q3 + 1.5::double * (q3 - q1)),
+              FROM c JOIN q USING (event_type) WHERE cents > q3 + 1.5::double * (q3 - q1)),
     burst AS (SELECT DISTINCT 'velocity' AS detector, user_id AS entity_id, NULL::bigint AS txn_id, ts,
                      n::double AS score, '60 minutes' AS detail
               FROM (SELECT user_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY ts
@@ -127,12 +128,13 @@ ORACLE = {
         FROM lineitem GROUP BY ALL
     """,
     "evaluate": """
-        WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3,
-                          median(value) AS med FROM events GROUP BY ALL),
-        m AS (SELECT event_type, median(abs(value - med)) AS mad FROM events JOIN q USING (event_type) GROUP BY ALL),
-        f AS (SELECT value > q3 + 1.5::double * (q3 - q1) AS a,
-                     mad > 0 AND abs(0.6745::double * (value - med) / mad) > 3.5 AS t
-              FROM events JOIN q USING (event_type) JOIN m USING (event_type)),
+        WITH v AS (SELECT *, round(value * 100)::bigint AS cents FROM events),
+        q AS (SELECT event_type, quantile_cont(cents, 0.25) AS q1, quantile_cont(cents, 0.75) AS q3,
+                     median(cents) AS med FROM v GROUP BY ALL),
+        m AS (SELECT event_type, median(abs(cents - med)) AS mad FROM v JOIN q USING (event_type) GROUP BY ALL),
+        f AS (SELECT cents > q3 + 1.5::double * (q3 - q1) AS a,
+                     mad > 0 AND abs(0.6745::double * (cents - med) / mad) > 3.5 AS t
+              FROM v JOIN q USING (event_type) JOIN m USING (event_type)),
         c AS (SELECT count(*) FILTER (a AND t) AS tp, count(*) FILTER (a AND NOT t) AS fp,
                      count(*) FILTER (t AND NOT a) AS fn FROM f)
         SELECT tp, fp, fn, round(tp / (tp + fp)::double, 6) AS precision, round(tp / (tp + fn)::double, 6) AS recall,

@@ -44,18 +44,24 @@ def mad_score(
     """Rows whose robust score within their group exceeds ``k``.
 
     The score is the distance from the median in units of the median absolute
-    deviation. A group with no spread has no scores.
+    deviation, both taken in whole cents. A group with no spread has no scores.
     """
     profile = key_profile(df, [group], limit)
-    medians = exact_quantiles(df, [group], amount, {"median": 0.5}, limit, profile)
-    distances = attach(df, medians, [group], profile.groups).withColumn(
-        "_distance", F.abs(F.col(amount) - F.col("median"))
+    cents = df.withColumn("_cents", scaled(amount))
+    medians = exact_quantiles(cents, [group], "_cents", {"_median": 0.5}, limit, profile)
+    distances = attach(cents, medians, [group], profile.groups).withColumn(
+        "_distance", F.abs(F.col("_cents") - F.col("_median"))
     )
-    mads = exact_quantiles(distances, [group], "_distance", {"mad": 0.5}, limit, profile)
-    score = F.try_divide(F.lit(MAD_TO_SD) * (F.col(amount) - F.col("median")), F.col("mad"))
+    mads = exact_quantiles(distances, [group], "_distance", {"_mad": 0.5}, limit, profile)
+    score = F.try_divide(F.lit(MAD_TO_SD) * (F.col("_cents") - F.col("_median")), F.col("_mad"))
     return (
-        attach(distances.drop("_distance"), mads, [group], profile.groups)
-        .withColumn("score", score)
+        attach(distances, mads, [group], profile.groups)
+        .select(
+            *df.columns,
+            (F.col("_median") / 100).alias("median"),
+            (F.col("_mad") / 100).alias("mad"),
+            score.alias("score"),
+        )
         .where(F.abs("score") > k)
     )
 
@@ -63,13 +69,18 @@ def mad_score(
 def iqr_fence(
     df: DataFrame, group: str, amount: str, m: float, limit: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """Rows above the upper quartile by more than ``m`` interquartile ranges of their group."""
+    """Rows above the upper quartile by more than ``m`` interquartile ranges of their group, in cents."""
     profile = key_profile(df, [group], limit)
-    quartiles = exact_quantiles(df, [group], amount, {"_q1": 0.25, "_q3": 0.75}, limit, profile)
+    cents = df.withColumn("_cents", scaled(amount))
+    quartiles = exact_quantiles(cents, [group], "_cents", {"_q1": 0.25, "_q3": 0.75}, limit, profile)
     fences = quartiles.select(
-        group, (F.col("_q3") + m * (F.col("_q3") - F.col("_q1"))).alias("fence")
+        group, (F.col("_q3") + m * (F.col("_q3") - F.col("_q1"))).alias("_fence")
+    )
+    return (
+        attach(cents, fences, [group], profile.groups)
+        .where(F.col("_cents") > F.col("_fence"))
+        .select(*df.columns, (F.col("_fence") / 100).alias("fence"))
     )
-    return attach(df, fences, [group], profile.groups).where(F.col(amount) > F.col("fence"))
 
 
 def prior_zscore(
