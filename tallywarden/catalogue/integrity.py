@@ -97,7 +97,7 @@ def domain_rules(spark, sf_dir):
 
 def near_duplicates(spark, sf_dir):
     found = ops.near_duplicates(
-        load(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_totalprice", 100_000, 30
+        load(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_orderdate", "o_totalprice", 100_000, 30
     )
     return found.select("o_orderkey", "o_custkey", "o_orderdate", rounded("o_totalprice", 2))
 

@@ -7,13 +7,16 @@ and turned into doubles once, at the end.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def scaled(col: Column | str, factor: int = 100) -> Column:
-    """A decimal-like double as an integer count of 1/factor units."""
+    """A decimal-like double as the nearest integer count of 1/factor units.
+
+    ``rint`` works on the double itself; ``round`` would go through a decimal per row.
+    """
     col = F.col(col) if isinstance(col, str) else col
-    return F.round(col * F.lit(factor)).cast("bigint")
+    return F.rint(col * F.lit(factor)).cast("bigint")
 
 
 def total(col: Column) -> Column:
@@ -41,3 +44,34 @@ def deviation(n: Column, s: Column, ss: Column) -> Column:
     """Sample standard deviation from exact sums; null where it is zero or undefined."""
     variance = covariance(n, s, s, ss)
     return F.when(variance > 0, F.sqrt(variance))
+
+
+def moments(df: DataFrame, columns: dict[str, Column]) -> tuple[dict[str, Column], dict[tuple[str, str], Column]]:
+    """Means, and covariances per pair, of integer columns over all rows.
+
+    One pass whose single row is taken to the driver, so that later plans hold
+    plain numbers instead of repeating the pass wherever a number is used.
+    """
+    names = list(columns)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    sums = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        *(total(columns[a]).alias(f"s_{a}") for a in names),
+        *(total_product(columns[a], columns[b]).alias(f"s_{a}_{b}") for a, b in pairs),
+    )
+    n = F.col("n")
+    row = sums.select(
+        *(mean(n, F.col(f"s_{a}")).alias(f"mean_{a}") for a in names),
+        *(
+            covariance(n, F.col(f"s_{a}"), F.col(f"s_{b}"), F.col(f"s_{a}_{b}")).alias(f"cov_{a}_{b}")
+            for a, b in pairs
+        ),
+    ).first()
+
+    def number(key: str) -> Column:
+        return F.lit(row[key]).cast("double")
+
+    return (
+        {a: number(f"mean_{a}") for a in names},
+        {(a, b): number(f"cov_{a}_{b}") for a, b in pairs},
+    )

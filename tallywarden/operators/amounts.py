@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallywarden.functions.exact import covariance, deviation, mean, scaled, total, total_product
-from tallywarden.plans.ordered import FRAME, OWN, preceding_frames, running_sums
+from tallywarden.functions.exact import deviation, mean, moments, scaled, total
+from tallywarden.plans.ordered import FRAME, OWN, ordering, preceding_frames, running_sums
 from tallywarden.plans.quantiles import exact_quantiles
-from tallywarden.plans.skew import ROWS_PER_TASK, attach, key_profile
+from tallywarden.plans.skew import ROWS_PER_TASK, attach, join_small, key_profile
+from tallywarden.session import written
 
 # Scales the median absolute deviation to a standard deviation for normal data.
 MAD_TO_SD = 0.6745
@@ -20,22 +21,12 @@ BENFORD = [math.log10(1 + 1 / d) for d in range(1, 10)]
 
 
 def zscore_global(df: DataFrame, amount: str, k: float) -> DataFrame:
-    """Rows further than ``k`` standard deviations from the mean of all rows.
-
-    The moments are a scalar subquery, so no join is needed to reach them.
-    """
+    """Rows further than ``k`` standard deviations from the mean of all rows."""
     cents = scaled(amount)
-    sums = df.where(F.col(amount).isNotNull()).agg(
-        F.struct(
-            F.count(F.lit(1)).alias("n"),
-            total(cents).alias("s"),
-            total_product(cents, cents).alias("ss"),
-        ).alias("m")
-    )
-    m = sums.scalar()
-    n, s, ss = m["n"], m["s"], m["ss"]
-    score = F.try_divide(cents - mean(n, s), deviation(n, s, ss))
-    return df.withColumn("zscore", score).where(F.abs("zscore") > k)
+    mean_, cov = moments(df.where(F.col(amount).isNotNull()), {"x": cents})
+    variance = cov["x", "x"]
+    deviation_ = F.when(variance > 0, F.sqrt(variance))
+    return df.withColumn("zscore", F.try_divide(cents - mean_["x"], deviation_)).where(F.abs("zscore") > k)
 
 
 def mad_score(
@@ -100,13 +91,8 @@ def prior_zscore(
     known = F.col(amount).isNotNull()
     wide = F.coalesce(cents, F.lit(0)).cast("decimal(18,0)")
     square = (wide * wide).cast("decimal(28,0)")
-    summed = running_sums(
-        df,
-        [entity],
-        order,
-        {"_n": known.cast("bigint"), "_s": wide, "_ss": square},
-        limit,
-    )
+    by = ordering(df, [entity], order, limit)
+    summed = running_sums(df, by, {"_n": known.cast("bigint"), "_s": wide, "_ss": square})
     n = F.col("_n") - known.cast("bigint")
     s, ss = F.col("_s") - wide, F.col("_ss") - square
     return (
@@ -121,8 +107,9 @@ def rolling_median(
     df: DataFrame, entity: str, order: list[str], amount: str, n: int, limit: int = ROWS_PER_TASK
 ) -> DataFrame:
     """Each row's deviation from the median of the entity's previous ``n`` rows."""
-    framed = preceding_frames(df, [entity], order, n, limit)
-    window = Window.partitionBy(entity, FRAME).orderBy(*order).rowsBetween(-n, -1)
+    by = ordering(df, [entity], order, limit)
+    framed = preceding_frames(df, by, n, limit)
+    window = by.window(FRAME).rowsBetween(-n, -1)
     return (
         framed.withColumn("median_prior", F.percentile(amount, 0.5).over(window))
         .where(OWN)
@@ -143,9 +130,9 @@ def peer_rank(
 
     Equal totals share a rank, so only distinct totals are ordered.
     """
-    totals = df.groupBy(peer, entity).agg(total(scaled(amount)).alias("_total"))
+    totals = written(df.groupBy(peer, entity).agg(total(scaled(amount)).alias("_total")))
     tied = totals.groupBy(peer, "_total").agg(F.count(F.lit(1)).alias("_tied"))
-    upto = running_sums(tied, [peer], ["_total"], {"_upto": F.col("_tied")}, limit)
+    upto = running_sums(tied, ordering(tied, [peer], ["_total"], limit), {"_upto": F.col("_tied")})
     sizes = totals.groupBy(peer).agg(F.count(F.lit(1)).alias("_size"))
     rank = F.try_divide(F.col("_upto") - F.col("_tied"), F.col("_size") - 1)
     ranked = (
@@ -210,54 +197,47 @@ def mahalanobis(df: DataFrame, x: str, y: str, threshold: float) -> DataFrame:
     Features are taken in hundredths, so that the covariance sums are exact.
     """
     a, b = scaled(x), scaled(y)
-    known = F.col(x).isNotNull() & F.col(y).isNotNull()
-    m = (
-        df.where(known)
-        .agg(
-            F.struct(
-                F.count(F.lit(1)).alias("n"),
-                total(a).alias("sx"),
-                total(b).alias("sy"),
-                total_product(a, a).alias("sxx"),
-                total_product(b, b).alias("syy"),
-                total_product(a, b).alias("sxy"),
-            ).alias("m")
-        )
-        .scalar()
-    )
-    vx = covariance(m["n"], m["sx"], m["sx"], m["sxx"])
-    vy = covariance(m["n"], m["sy"], m["sy"], m["syy"])
-    cxy = covariance(m["n"], m["sx"], m["sy"], m["sxy"])
-    dx, dy = a - mean(m["n"], m["sx"]), b - mean(m["n"], m["sy"])
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    mean_, cov = moments(known, {"x": a, "y": b})
+    vx, vy, cxy = cov["x", "x"], cov["y", "y"], cov["x", "y"]
+    dx, dy = a - mean_["x"], b - mean_["y"]
     distance = F.try_divide(vy * dx * dx - 2 * cxy * dx * dy + vx * dy * dy, vx * vy - cxy * cxy)
-    return df.where(known).withColumn("d2", distance).where(F.col("d2") > threshold)
+    return known.withColumn("d2", distance).where(F.col("d2") > threshold)
 
 
-def multivariate(df: DataFrame, features: list[str], clusters: int, k: float, seed: int = 7) -> DataFrame:
+def multivariate(
+    df: DataFrame, features: list[str], clusters: int, k: float, rounds: int = 10, seed: int = 7
+) -> DataFrame:
     """Rows far from their nearest cluster centre, in standardised features.
 
     Only the centres, ``clusters`` small vectors, reach the driver. "Far" means
     more than ``k`` times the root mean square distance of the row's cluster.
     """
     known = df.dropna(subset=features)
-    assembled = VectorAssembler(inputCols=features, outputCol="_raw").transform(known)
-    scaler = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True).fit(assembled)
-    points = scaler.transform(assembled).drop("_raw")
-    model = KMeans(k=clusters, seed=seed, featuresCol="_x", predictionCol="cluster").fit(points)
-    mean_, std = scaler.mean, scaler.std
-    centres = F.array(*(F.array(*(F.lit(float(v)) for v in c)) for c in model.clusterCenters()))
-    centre = F.get(centres, F.col("cluster"))
-    offsets = [
-        F.try_divide(F.col(f) - float(mean_[i]), F.lit(float(std[i]))) - F.get(centre, F.lit(i))
-        for i, f in enumerate(features)
+    spread = known.agg(*(F.struct(F.avg(f).alias("m"), F.stddev(f).alias("s")).alias(f) for f in features)).first()
+    shares = [
+        F.coalesce(F.try_divide(F.col(f) - F.lit(spread[f]["m"]), F.lit(spread[f]["s"])), F.lit(0.0)).alias(f)
+        for f in features
+    ]
+    points = VectorAssembler(inputCols=features, outputCol="_x").transform(known.select(*shares)).select("_x")
+    model = KMeans(k=clusters, maxIter=rounds, seed=seed, featuresCol="_x").fit(points)
+    squares = [
+        sum(
+            ((share - float(c)) * (share - float(c)) for share, c in zip(shares[1:], centre[1:])),
+            (shares[0] - float(centre[0])) * (shares[0] - float(centre[0])),
+        )
+        for centre in model.clusterCenters()
     ]
-    squared = sum((o * o for o in offsets[1:]), offsets[0] * offsets[0])
-    placed = model.transform(points).drop("_x").withColumn("_d2", squared)
-    spread = placed.groupBy("cluster").agg(F.sqrt(F.avg("_d2")).alias("_rms"))
+    # The nearest centre, from the centres as numbers: no model is run per row.
+    nearest = F.array_min(F.array(*(F.struct(d.alias("d2"), F.lit(i).alias("cluster")) for i, d in enumerate(squares))))
+    placed = known.withColumn("_nearest", nearest).select(
+        "*", F.col("_nearest.cluster").alias("cluster"), F.col("_nearest.d2").alias("_d2")
+    )
+    typical = placed.groupBy("cluster").agg(F.avg("_d2").alias("_mean_d2"))
     # One row per cluster.
     return (
-        placed.join(F.broadcast(spread), "cluster")
+        join_small(placed, typical, ["cluster"])
+        .where(F.col("_d2") > k * k * F.col("_mean_d2"))
         .withColumn("distance", F.sqrt("_d2"))
-        .where(F.col("distance") > k * F.col("_rms"))
-        .drop("_d2", "_rms")
+        .drop("_nearest", "_d2", "_mean_d2")
     )

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallywarden.functions.exact import scaled, total
-from tallywarden.plans.ordered import last_before, running_sums, trailing_totals
+from tallywarden.plans.ordered import last_before, ordering, running_sums, trailing_totals
 from tallywarden.plans.quantiles import exact_quantiles
-from tallywarden.plans.skew import ROWS_PER_TASK
+from tallywarden.plans.skew import ROWS_PER_TASK, key_profile
 
 # A share this small stands in for an empty bin in the stability index.
 EMPTY_SHARE = 1e-6
@@ -41,7 +41,8 @@ def dormant_reactivation(
     df: DataFrame, entity: str, ts: str, tie: str, days: int, limit: int = ROWS_PER_TASK
 ) -> DataFrame:
     """Rows that follow at least ``days`` days without a row of the same entity."""
-    before = last_before(df, [entity], [ts, tie], {"_previous": F.col(ts)}, limit)
+    by = ordering(df, [entity], [ts, tie], limit)
+    before = last_before(df, by, {"_previous": F.col(ts)})
     gap = F.datediff(ts, F.col("_previous")).cast("bigint")
     return before.withColumn("gap_days", gap).where(F.col("gap_days") >= days).drop("_previous")
 
@@ -65,7 +66,8 @@ def asof_last(
     )
     wanted = later.select(entity, ts, tie, F.lit(True).alias("_wanted"), F.lit(None).alias("_mark"))
     merged = marks.unionByName(wanted)
-    found = last_before(merged, [entity], [ts, tie, "_wanted"], {"_last": F.col("_mark")}, limit)
+    by = ordering(merged, [entity], [ts, tie, "_wanted"], limit)
+    found = last_before(merged, by, {"_last": F.col("_mark")})
     return found.where("_wanted").select(
         entity, ts, tie, F.col("_last")[ts].alias("last_ts"), F.col("_last")[value].alias("last_value")
     )
@@ -86,7 +88,8 @@ def sequence(
     Only the latest ``first`` row can decide that, so it is looked up instead of joined.
     """
     kept = df.where(first | then)
-    found = last_before(kept, [entity], [ts, tie], {"first_ts": F.when(first, F.col(ts))}, limit)
+    by = ordering(kept, [entity], [ts, tie], limit)
+    found = last_before(kept, by, {"first_ts": F.when(first, F.col(ts))})
     return found.where(then & (F.col(ts) <= F.col("first_ts") + F.expr(f"INTERVAL {span}")))
 
 
@@ -99,11 +102,12 @@ def sessions(
     sessions are numbered block by block and then aggregated.
     """
     step = F.expr(f"INTERVAL {gap}")
-    before = last_before(df, [entity], [ts, tie], {"_previous": F.col(ts)}, limit)
+    by = ordering(df, [entity], [ts, tie], limit)
+    before = last_before(df, by, {"_previous": F.col(ts)})
     starts = before.withColumn(
         "_starts", F.when(F.col("_previous").isNull() | (F.col(ts) > F.col("_previous") + step), 1).otherwise(0)
     )
-    numbered = running_sums(starts, [entity], [ts, tie], {"_session": F.col("_starts")}, limit)
+    numbered = running_sums(starts, by, {"_session": F.col("_starts")})
     return (
         numbered.groupBy(entity, "_session")
         .agg(
@@ -157,12 +161,19 @@ def off_hours(df: DataFrame, entity: str, ts: str, first_hour: int, last_hour: i
 
 def gap_stats(df: DataFrame, entity: str, ts: str, tie: str, limit: int = ROWS_PER_TASK) -> DataFrame:
     """Shortest, median and longest time between an entity's rows, in microseconds."""
-    before = last_before(df, [entity], [ts, tie], {"_previous": F.col(ts)}, limit)
+    by = ordering(df, [entity], [ts, tie], limit)
+    before = last_before(df, by, {"_previous": F.col(ts)})
     micros = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_previous").cast("timestamp"))
     gaps = before.select(entity, micros.alias("_gap")).where("_gap IS NOT NULL")
     # The extremes are the outer quantiles, so one pass gives all three.
     found = exact_quantiles(
-        gaps, [entity], "_gap", {"_min": 0.0, "median_gap": 0.5, "_max": 1.0}, limit
+        gaps,
+        [entity],
+        "_gap",
+        {"_min": 0.0, "median_gap": 0.5, "_max": 1.0},
+        limit,
+        # An entity has one gap less than rows.
+        key_profile(df, [entity], limit),
     )
     return found.select(
         entity,

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tallywarden.functions.exact import scaled, total, total_product
 from tallywarden.operators.amounts import mad_score
 from tallywarden.plans.skew import ROWS_PER_TASK
-from tallywarden.session import shared_root
+from tallywarden.session import written
 
 
 def pair_totals(edges: DataFrame) -> DataFrame:
@@ -92,14 +92,14 @@ def shared_counterparties(edges: DataFrame, flagged: DataFrame, min_shared: int)
 
 def degree_outliers(edges: DataFrame, k: float, limit: int = ROWS_PER_TASK) -> DataFrame:
     """Payers and payees whose number of distinct counterparties is unusual for their side."""
-    pairs = edges.select("payer", "payee").distinct()
+    pairs = written(edges.select("payer", "payee").distinct())
 
     def degrees(column: str, side: str) -> DataFrame:
         return pairs.groupBy(F.col(column).alias("entity_id")).agg(
             F.lit(side).alias("side"), F.count(F.lit(1)).cast("double").alias("degree")
         )
 
-    both = degrees("payer", "out").unionByName(degrees("payee", "in"))
+    both = written(degrees("payer", "out").unionByName(degrees("payee", "in")))
     return mad_score(both, "side", "degree", k, limit).withColumn("degree", F.col("degree").cast("bigint"))
 
 
@@ -112,29 +112,22 @@ def linked_groups(pairs: DataFrame, a: str, b: str, max_rounds: int = 64) -> Dat
     Every round is checkpointed to the shared folder: the plan stays short, and
     a lost executor costs one round at most.
     """
-    shared_root(pairs.sparkSession)
     links = pairs.select(F.col(a).alias("_a"), F.col(b).alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL")
-    links = links.checkpoint()
+    links = written(links)
     # An id alone, linked only to itself, is a group too.
     ends = links.select(F.inline(F.array(F.struct(F.col("_a").alias("node")), F.struct(F.col("_b").alias("node")))))
     groups = ends.distinct().select("node", F.col("node").alias("group"))
-    links = _tidy(links).checkpoint()
+    links = written(_tidy(links))
     for _ in range(max_rounds):
         if links.isEmpty():
             return groups
         roots = _roots(links)
         # Roots are unique by id; links of a busy id are split over tasks by AQE.
         ra, rb = (roots.select(F.col("id").alias(f"_id{c}"), F.col("root").alias(f"_root{c}")) for c in "ab")
-        links = _tidy(
-            links.join(ra, F.col("_a") == F.col("_ida"))
-            .join(rb, F.col("_b") == F.col("_idb"))
-            .select(F.col("_roota").alias("_a"), F.col("_rootb").alias("_b"))
-        ).checkpoint()
-        groups = (
-            groups.join(roots, F.col("group") == F.col("id"), "left")
-            .select("node", F.coalesce("root", "group").alias("group"))
-            .checkpoint()
-        )
+        contracted = links.join(ra, F.col("_a") == F.col("_ida")).join(rb, F.col("_b") == F.col("_idb"))
+        links = written(_tidy(contracted.select(F.col("_roota").alias("_a"), F.col("_rootb").alias("_b"))))
+        renamed = groups.join(roots, F.col("group") == F.col("id"), "left")
+        groups = written(renamed.select("node", F.coalesce("root", "group").alias("group")))
     raise RuntimeError(f"groups not complete after {max_rounds} rounds")
 
 
@@ -157,13 +150,12 @@ def _roots(links: DataFrame) -> DataFrame:
             )
         )
     )
-    roots = steps.groupBy("id").agg(F.least("id", F.min("to")).alias("root")).checkpoint()
+    roots = written(steps.groupBy("id").agg(F.least("id", F.min("to")).alias("root")))
     while True:
         onward = roots.select(F.col("id").alias("_id"), F.col("root").alias("_onward"))
-        jumped = (
-            roots.join(onward, F.col("root") == F.col("_id"))
-            .select("id", F.col("_onward").alias("root"), (F.col("_onward") != F.col("root")).alias("_moved"))
-            .checkpoint()
+        moved = (F.col("_onward") != F.col("root")).alias("_moved")
+        jumped = written(
+            roots.join(onward, F.col("root") == F.col("_id")).select("id", F.col("_onward").alias("root"), moved)
         )
         roots = jumped.select("id", "root")
         if jumped.where("_moved").isEmpty():

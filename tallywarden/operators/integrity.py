@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallywarden.functions.exact import scaled, total
+from tallywarden.plans.ordered import Ordering, last_before, ordering
+from tallywarden.plans.skew import ROWS_PER_TASK
 
 
 def quarantine(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
@@ -71,22 +73,40 @@ def domain_rules(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 
 def near_duplicates(
-    df: DataFrame, entity: str, ts: str, amount: str, tol_cents: int, days: int
+    df: DataFrame,
+    entity: str,
+    tie: str,
+    ts: str,
+    amount: str,
+    tol_cents: int,
+    days: int,
+    limit: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Rows with another row of the same entity, amount within ``tol_cents``, date within ``days``.
 
-    Rows are placed on a grid with cells of ``tol_cents`` by ``days``. Two rows
-    in one cell always match. For the eight cells around, the lowest and highest
-    amount of each day decide, so a cell is summarised by at most two values a
-    day and no pairs of rows are formed, however many copies there are.
+    First only rows with a neighbour in amount are kept, by looking one row back
+    in both directions. These are placed on a grid with cells of ``tol_cents`` by
+    ``days``. Two rows in one cell always match. For the eight cells around, the
+    lowest and highest amount of each day decide, so a cell is summarised by at
+    most two values a day and no pairs of rows are formed, however many copies
+    there are.
     """
-    placed = df.where(F.col(ts).isNotNull() & F.col(amount).isNotNull()).select(
+    cells = df.where(F.col(ts).isNotNull() & F.col(amount).isNotNull()).select(
         "*",
         scaled(amount).alias("_cents"),
+        (-scaled(amount)).alias("_down"),
         F.datediff(ts, F.lit("1970-01-01")).alias("_day"),
     )
-    placed = placed.select(
-        "*",
+    up = ordering(cells, [entity], ["_cents", tie], limit)
+    down = Ordering([entity], ["_down", tie])
+    if up.cuts is not None:
+        down = ordering(cells, [entity], ["_down", tie], limit)
+    beside = last_before(cells, up, {"_below": F.col("_cents")})
+    beside = last_before(beside, down, {"_above": F.col("_cents")})
+    placed = beside.where(
+        (F.col("_cents") - F.col("_below") <= tol_cents) | (F.col("_above") - F.col("_cents") <= tol_cents)
+    ).select(
+        *cells.columns,
         F.floor(F.col("_cents") / tol_cents).cast("bigint").alias("_row"),
         F.floor(F.col("_day") / days).cast("int").alias("_col"),
     )

@@ -1,45 +1,65 @@
 """Ordered calculations per key that hold up when one key is most of the table.
 
-Each function gives exactly what the plain window would. ``order`` must make
-the rows of a key unique, otherwise the result depends on chance.
+Each function gives exactly what the plain window would. The ordering columns
+must make the rows of a key unique, otherwise the result depends on chance.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from tallywarden.plans.skew import BLOCK, ROWS_PER_TASK, cut_points, join_small, key_profile, with_blocks
 
 
-def running_sums(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    sums: dict[str, Column],
-    limit: int = ROWS_PER_TASK,
-) -> DataFrame:
+@dataclass(frozen=True)
+class Ordering:
+    """Rows by key in order, with the cuts of the keys too large for one task, if any."""
+
+    keys: list[str]
+    order: list[str]
+    cuts: DataFrame | None = None
+
+    def window(self, *more_keys: str) -> WindowSpec:
+        return Window.partitionBy(*self.keys, *more_keys).orderBy(*self.order)
+
+    def through_blocks(self) -> WindowSpec:
+        return Window.partitionBy(*self.keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def ordering(df: DataFrame, keys: list[str], order: list[str], limit: int = ROWS_PER_TASK) -> Ordering:
+    """Look at the row counts of ``df`` and cut its large keys.
+
+    The result also serves tables derived from ``df`` row by row.
+    """
+    return Ordering(keys, order, cut_points(df, keys, order, limit))
+
+
+def running_sums(df: DataFrame, by: Ordering, sums: dict[str, Column]) -> DataFrame:
     """Add running sums up to and including each row.
 
     Large keys are summed block by block. What came before a block is the sum of
     the earlier block totals, a table no longer than the list of cuts.
     """
-    window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    cuts = cut_points(df, keys, order, limit)
-    if cuts is None:
+    start = Window.unboundedPreceding
+    if by.cuts is None:
+        window = by.window().rowsBetween(start, 0)
         return df.select("*", *(F.sum(c).over(window).alias(name) for name, c in sums.items()))
-    blocks = with_blocks(df, keys, order, cuts)
-    inside = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = blocks.select("*", *(F.sum(c).over(inside).alias(name) for name, c in sums.items()))
+    blocks = with_blocks(df, by.keys, by.order, by.cuts)
+    window = by.window(BLOCK).rowsBetween(start, 0)
+    local = blocks.select("*", *(F.sum(c).over(window).alias(name) for name, c in sums.items()))
     totals = (
         blocks.where("_cut")
-        .groupBy(*keys, BLOCK)
+        .groupBy(*by.keys, BLOCK)
         .agg(*(F.sum(c).alias(f"_before_{name}") for name, c in sums.items()))
     )
-    earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(
-        *keys, BLOCK, *(F.sum(f"_before_{name}").over(earlier).alias(f"_before_{name}") for name in sums)
+        *by.keys,
+        BLOCK,
+        *(F.sum(f"_before_{name}").over(by.through_blocks()).alias(f"_before_{name}") for name in sums),
     )
-    joined = join_small(local, before, [*keys, BLOCK], "left")
+    joined = join_small(local, before, [*by.keys, BLOCK], "left")
     return joined.select(
         *df.columns,
         *(
@@ -51,61 +71,55 @@ def running_sums(
     )
 
 
-def last_before(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    values: dict[str, Column],
-    limit: int = ROWS_PER_TASK,
-) -> DataFrame:
+def last_before(df: DataFrame, by: Ordering, values: dict[str, Column]) -> DataFrame:
     """Add the latest non-null value found before each row."""
-    window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    cuts = cut_points(df, keys, order, limit)
-    if cuts is None:
+    start = Window.unboundedPreceding
+    if by.cuts is None:
+        window = by.window().rowsBetween(start, -1)
         return df.select(
             "*", *(F.last(c, ignorenulls=True).over(window).alias(name) for name, c in values.items())
         )
-    blocks = with_blocks(df, keys, order, cuts)
-    inside = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = with_blocks(df, by.keys, by.order, by.cuts)
+    window = by.window(BLOCK).rowsBetween(start, -1)
     local = blocks.select(
-        "*", *(F.last(c, ignorenulls=True).over(inside).alias(name) for name, c in values.items())
+        "*", *(F.last(c, ignorenulls=True).over(window).alias(name) for name, c in values.items())
     )
-    at = F.struct(*order)
+    at = F.struct(*by.order)
     tails = (
         blocks.where("_cut")
-        .groupBy(*keys, BLOCK)
+        .groupBy(*by.keys, BLOCK)
         .agg(
             *(F.max_by(c, F.when(c.isNotNull(), at)).alias(f"_before_{name}") for name, c in values.items())
         )
     )
-    earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     before = tails.select(
-        *keys,
+        *by.keys,
         BLOCK,
-        *(F.last(f"_before_{n}", ignorenulls=True).over(earlier).alias(f"_before_{n}") for n in values),
+        *(
+            F.last(f"_before_{name}", ignorenulls=True).over(by.through_blocks()).alias(f"_before_{name}")
+            for name in values
+        ),
     )
-    joined = join_small(local, before, [*keys, BLOCK], "left")
+    joined = join_small(local, before, [*by.keys, BLOCK], "left")
     return joined.select(
-        *df.columns, *(F.coalesce(F.col(n), F.col(f"_before_{n}")).alias(n) for n in values)
+        *df.columns, *(F.coalesce(F.col(name), F.col(f"_before_{name}")).alias(name) for name in values)
     )
 
 
 FRAME, OWN = "_frame", "_own"
 
 
-def preceding_frames(
-    df: DataFrame, keys: list[str], order: list[str], n: int, limit: int = ROWS_PER_TASK
-) -> DataFrame:
+def preceding_frames(df: DataFrame, by: Ordering, n: int, limit: int = ROWS_PER_TASK) -> DataFrame:
     """Prepare rows for a window over the ``n`` rows before each one.
 
     Adds ``_frame``, to be part of the window's partitioning, and ``_own``, to
-    filter on afterwards. A large key becomes frames of ``limit`` rows; the last
-    ``n`` rows of a frame are repeated at the start of the next.
+    filter on afterwards. Where a key was cut, rows go to frames of ``limit``
+    rows; the last ``n`` rows of a frame are repeated at the start of the next.
     """
-    if not key_profile(df, keys, limit).hot:
+    if by.cuts is None:
         return df.select("*", F.lit(0).cast("bigint").alias(FRAME), F.lit(True).alias(OWN))
     length = max(limit, n)
-    placed = running_sums(df, keys, order, {"_pos": F.lit(1)}, limit)
+    placed = running_sums(df, by, {"_pos": F.lit(1)})
     pos = F.col("_pos") - 1
     home = F.floor(pos / length).cast("bigint")
     places = F.array(
@@ -130,7 +144,8 @@ def trailing_totals(
     over both, so the cost does not depend on how many rows a span holds.
     """
     source = df.select(*keys, F.col(ts).alias("_ts"), amount.alias("_amount"))
-    if not key_profile(source, keys, limit).hot:
+    hot = bool(key_profile(source, keys, limit).hot)
+    if not hot:
         # One shuffle then serves the grouping and the window.
         source = source.repartition(*keys)
     instants = source.groupBy(*keys, "_ts").agg(
@@ -152,11 +167,7 @@ def trailing_totals(
             )
         ),
     )
-    summed = running_sums(
-        moves,
-        keys,
-        ["_at", "_leaves"],
-        {"n": F.col("_n"), "amount": F.col("_amount")},
-        limit,
-    )
+    order = ["_at", "_leaves"]
+    by = ordering(moves, keys, order, limit) if hot else Ordering(keys, order)
+    summed = running_sums(moves, by, {"n": F.col("_n"), "amount": F.col("_amount")})
     return summed.where("_leaves = 0").select(*keys, F.col("_at").alias(ts), "n", "amount")

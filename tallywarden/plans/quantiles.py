@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallywarden.plans.ordered import running_sums
+from tallywarden.plans.ordered import ordering, running_sums
 from tallywarden.plans.skew import (
     ROWS_PER_TASK,
     KeyProfile,
@@ -87,7 +87,8 @@ def _by_bracket(rows: DataFrame, keys: list[str], probs: dict[str, float], limit
         .agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_inside", ~F.col("_below"))
     )
-    counted = running_sums(inside, [*keys, "_i"], ["_inside", "_v"], {"_upto": F.col("_c")}, limit)
+    by = ordering(inside, [*keys, "_i"], ["_inside", "_v"], limit)
+    counted = running_sums(inside, by, {"_upto": F.col("_c")})
     position = F.element_at(F.array(*(F.lit(p) for p in ps)), F.col("_i") + 1) * (F.col("_n") - 1)
     last = F.col("_upto") - 1
     first = last - F.col("_c") + 1

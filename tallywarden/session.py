@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that results or plans depend on. Sizes such as the number of shuffle
 # partitions belong to the cluster and are left to it.
@@ -50,3 +50,12 @@ def shared_root(spark: SparkSession) -> str:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new, unused path under the shared folder."""
     return f"{shared_root(spark).rstrip('/')}/tallywarden/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Compute once and keep in the shared folder, for tables used several times.
+
+    Meant for tables much smaller than their input. Survives lost executors.
+    """
+    shared_root(df.sparkSession)
+    return df.checkpoint()

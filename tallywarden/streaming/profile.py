@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from tallywarden.functions.exact import deviation, mean, scaled
-from tallywarden.plans.ordered import running_sums
+from tallywarden.plans.ordered import ordering, running_sums
 from tallywarden.plans.skew import ROWS_PER_TASK
 from tallywarden.streaming.sinks import write_batch
 
@@ -69,7 +69,8 @@ def profile_scorer(
             here = batch.select(F.col(entity).alias("_here")).distinct()
             carried = merged([past.join(here, F.col(entity) == F.col("_here"), "left_semi")])
             carried = carried.withColumnsRenamed({c: f"_past_{c}" for c in SUMS})
-            within = running_sums(batch, [entity], order, {"_n": F.lit(1), "_s": wide, "_ss": square}, limit)
+            by = ordering(batch, [entity], order, limit)
+            within = running_sums(batch, by, {"_n": F.lit(1), "_s": wide, "_ss": square})
             own = {"n": F.lit(1), "s": wide, "ss": square}
             before = {
                 c: F.coalesce(F.col(f"_past_{c}"), F.lit(0)) + F.col(f"_{c}") - own[c] for c in SUMS

@@ -9,6 +9,7 @@ from tallywarden.plans.ordered import (
     FRAME,
     OWN,
     last_before,
+    ordering,
     preceding_frames,
     running_sums,
     trailing_totals,
@@ -35,6 +36,12 @@ def skewed(spark):
     ).repartition(6)
 
 
+def by(df):
+    found = ordering(df, ["key"], ["ts", "id"], LIMIT)
+    assert found.cuts is not None
+    return found
+
+
 def collected(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
@@ -70,7 +77,7 @@ def test_running_sums(skewed):
     want = skewed.select(
         "id", F.coalesce(F.sum(cents).over(w), F.lit(0)).alias("s"), F.sum(F.lit(1)).over(w).alias("n")
     )
-    got = running_sums(skewed, ["key"], ["ts", "id"], {"s": cents, "n": F.lit(1)}, LIMIT)
+    got = running_sums(skewed, by(skewed), {"s": cents, "n": F.lit(1)})
     assert collected(got.select("id", F.coalesce("s", F.lit(0)), "n")) == collected(want)
 
 
@@ -78,7 +85,7 @@ def test_last_before(skewed):
     w = Window.partitionBy("key").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
     sometimes = F.when(F.col("id") % 40 == 0, F.col("id"))
     want = skewed.select("id", F.last(sometimes, True).over(w), F.lag("ts").over(Window.partitionBy("key").orderBy("ts", "id")))
-    got = last_before(skewed, ["key"], ["ts", "id"], {"x": sometimes, "t": F.col("ts")}, LIMIT)
+    got = last_before(skewed, by(skewed), {"x": sometimes, "t": F.col("ts")})
     assert collected(got.select("id", "x", "t")) == collected(want)
 
 
@@ -86,7 +93,7 @@ def test_last_before(skewed):
 def test_preceding_frames(skewed, n):
     w = Window.partitionBy("key").orderBy("ts", "id").rowsBetween(-n, -1)
     want = skewed.select("id", F.sort_array(F.collect_list("id").over(w)))
-    framed = preceding_frames(skewed, ["key"], ["ts", "id"], n, LIMIT)
+    framed = preceding_frames(skewed, by(skewed), n, LIMIT)
     wf = Window.partitionBy("key", FRAME).orderBy("ts", "id").rowsBetween(-n, -1)
     got = framed.withColumn("x", F.sort_array(F.collect_list("id").over(wf))).where(OWN)
     assert collected(got.select("id", "x")) == collected(want)
