@@ -85,7 +85,7 @@ def near_duplicates(
     """Rows with another row of the same entity, amount within ``tol_cents``, date within ``days``.
 
     First only rows with a neighbour in amount are kept, by looking one row back
-    in both directions. These are placed on a grid with cells of ``tol_cents`` by
+    in both directions; ``tie`` is a unique number that orders equal amounts. These are placed on a grid with cells of ``tol_cents`` by
     ``days``. Two rows in one cell always match. For the eight cells around, the
     lowest and highest amount of each day decide, so a cell is summarised by at
     most two values a day and no pairs of rows are formed, however many copies
@@ -95,12 +95,13 @@ def near_duplicates(
         "*",
         scaled(amount).alias("_cents"),
         (-scaled(amount)).alias("_down"),
+        (-F.col(tie)).alias("_tie_down"),
         F.datediff(ts, F.lit("1970-01-01")).alias("_day"),
     )
     up = ordering(cells, [entity], ["_cents", tie], limit)
-    down = Ordering([entity], ["_down", tie])
+    down = Ordering([entity], ["_down", "_tie_down"])
     if up.cuts is not None:
-        down = ordering(cells, [entity], ["_down", tie], limit)
+        down = ordering(cells, [entity], ["_down", "_tie_down"], limit)
     beside = last_before(cells, up, {"_below": F.col("_cents")})
     beside = last_before(beside, down, {"_above": F.col("_cents")})
     placed = beside.where(
