@@ -41,8 +41,8 @@ def rolling_median(spark, sf_dir):
 
 def peer_rank(spark, sf_dir):
     orders = load(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
-    spend = orders.join(load(spark, sf_dir, "customer"), "c_custkey")
-    top = ops.peer_rank(spend, "c_custkey", "c_mktsegment", "o_totalprice", 0.99)
+    customers = load(spark, sf_dir, "customer")
+    top = ops.peer_rank(orders, "c_custkey", "o_totalprice", customers, "c_mktsegment", 0.99)
     return top.select("c_custkey", "c_mktsegment", rounded("total", 2), rounded("percent_rank", 6))
 
 

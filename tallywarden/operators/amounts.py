@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallywarden.functions.exact import deviation, mean, moments, scaled, total
 from tallywarden.plans.ordered import FRAME, OWN, ordering, preceding_frames, running_sums
-from tallywarden.plans.quantiles import exact_quantiles
+from tallywarden.plans.quantiles import VALUES_PER_TASK, exact_quantiles
 from tallywarden.plans.skew import ROWS_PER_TASK, attach, join_small, key_profile
 from tallywarden.session import written
 
@@ -30,7 +30,7 @@ def zscore_global(df: DataFrame, amount: str, k: float) -> DataFrame:
 
 
 def mad_score(
-    df: DataFrame, group: str, amount: str, k: float, limit: int = ROWS_PER_TASK
+    df: DataFrame, group: str, amount: str, k: float, limit: int = VALUES_PER_TASK
 ) -> DataFrame:
     """Rows whose robust score within their group exceeds ``k``.
 
@@ -40,13 +40,13 @@ def mad_score(
     profile = key_profile(df, [group], limit)
     cents = df.withColumn("_cents", scaled(amount))
     medians = exact_quantiles(cents, [group], "_cents", {"_median": 0.5}, limit, profile)
-    distances = attach(cents, medians, [group], profile.groups).withColumn(
+    distances = attach(cents, medians, [group], profile).withColumn(
         "_distance", F.abs(F.col("_cents") - F.col("_median"))
     )
     mads = exact_quantiles(distances, [group], "_distance", {"_mad": 0.5}, limit, profile)
     score = F.try_divide(F.lit(MAD_TO_SD) * (F.col("_cents") - F.col("_median")), F.col("_mad"))
     return (
-        attach(distances, mads, [group], profile.groups)
+        attach(distances, mads, [group], profile)
         .select(
             *df.columns,
             (F.col("_median") / 100).alias("median"),
@@ -58,7 +58,7 @@ def mad_score(
 
 
 def iqr_fence(
-    df: DataFrame, group: str, amount: str, m: float, limit: int = ROWS_PER_TASK
+    df: DataFrame, group: str, amount: str, m: float, limit: int = VALUES_PER_TASK
 ) -> DataFrame:
     """Rows above the upper quartile by more than ``m`` interquartile ranges of their group, in cents."""
     profile = key_profile(df, [group], limit)
@@ -68,7 +68,7 @@ def iqr_fence(
         group, (F.col("_q3") + m * (F.col("_q3") - F.col("_q1"))).alias("_fence")
     )
     return (
-        attach(cents, fences, [group], profile.groups)
+        attach(cents, fences, [group], profile)
         .where(F.col("_cents") > F.col("_fence"))
         .select(*df.columns, (F.col("_fence") / 100).alias("fence"))
     )
@@ -121,16 +121,20 @@ def rolling_median(
 def peer_rank(
     df: DataFrame,
     entity: str,
-    peer: str,
     amount: str,
+    peers: DataFrame,
+    peer: str,
     p: float,
     limit: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Entities whose total is in the top share of their peer group, by percent rank.
 
-    Equal totals share a rank, so only distinct totals are ordered.
+    ``peers`` has one row per entity with its group. Rows are added up before
+    the group is looked up, so a busy entity costs one row per task. Equal
+    totals share a rank, so only distinct totals are ordered.
     """
-    totals = written(df.groupBy(peer, entity).agg(total(scaled(amount)).alias("_total")))
+    sums = df.groupBy(entity).agg(total(scaled(amount)).alias("_total"))
+    totals = written(sums.join(peers.select(entity, peer), entity))
     tied = totals.groupBy(peer, "_total").agg(F.count(F.lit(1)).alias("_tied"))
     upto = running_sums(tied, ordering(tied, [peer], ["_total"], limit), {"_upto": F.col("_tied")})
     sizes = totals.groupBy(peer).agg(F.count(F.lit(1)).alias("_size"))

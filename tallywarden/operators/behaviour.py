@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallywarden.functions.exact import scaled, total
 from tallywarden.plans.ordered import last_before, ordering, running_sums, trailing_totals
-from tallywarden.plans.quantiles import exact_quantiles
+from tallywarden.plans.quantiles import VALUES_PER_TASK, exact_quantiles
 from tallywarden.plans.skew import ROWS_PER_TASK, key_profile
 
 # A share this small stands in for an empty bin in the stability index.
@@ -165,15 +165,16 @@ def gap_stats(df: DataFrame, entity: str, ts: str, tie: str, limit: int = ROWS_P
     before = last_before(df, by, {"_previous": F.col(ts)})
     micros = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_previous").cast("timestamp"))
     gaps = before.select(entity, micros.alias("_gap")).where("_gap IS NOT NULL")
+    values = min(limit, VALUES_PER_TASK)
     # The extremes are the outer quantiles, so one pass gives all three.
     found = exact_quantiles(
         gaps,
         [entity],
         "_gap",
         {"_min": 0.0, "median_gap": 0.5, "_max": 1.0},
-        limit,
+        values,
         # An entity has one gap less than rows.
-        key_profile(df, [entity], limit),
+        key_profile(df, [entity], values),
     )
     return found.select(
         entity,

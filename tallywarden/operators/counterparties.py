@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tallywarden.functions.exact import scaled, total, total_product
 from tallywarden.operators.amounts import mad_score
-from tallywarden.plans.skew import ROWS_PER_TASK
+from tallywarden.plans.quantiles import VALUES_PER_TASK
 from tallywarden.session import written
 
 
@@ -90,7 +90,7 @@ def shared_counterparties(edges: DataFrame, flagged: DataFrame, min_shared: int)
     )
 
 
-def degree_outliers(edges: DataFrame, k: float, limit: int = ROWS_PER_TASK) -> DataFrame:
+def degree_outliers(edges: DataFrame, k: float, limit: int = VALUES_PER_TASK) -> DataFrame:
     """Payers and payees whose number of distinct counterparties is unusual for their side."""
     pairs = written(edges.select("payer", "payee").distinct())
 

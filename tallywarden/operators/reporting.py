@@ -6,8 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallywarden.plans.quantiles import exact_quantiles
-from tallywarden.plans.skew import ROWS_PER_TASK, attach, key_profile
+from tallywarden.plans.quantiles import VALUES_PER_TASK, exact_quantiles
+from tallywarden.plans.skew import attach, key_profile
 
 
 def union_alerts(*alerts: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def amount_profile(
     group: str,
     amount: str,
     probs: dict[str, float],
-    limit: int = ROWS_PER_TASK,
+    limit: int = VALUES_PER_TASK,
     approximate: bool = False,
 ) -> DataFrame:
     """Count, extremes and quantiles per group; ``approximate`` trades exactness for a single pass."""
@@ -65,7 +65,7 @@ def amount_profile(
     if approximate:
         return basics
     profile = key_profile(df, [group], limit)
-    return attach(basics, exact_quantiles(df, [group], amount, probs, limit, profile), [group], profile.groups)
+    return attach(basics, exact_quantiles(df, [group], amount, probs, limit, profile), [group], profile)
 
 
 def distinct_entities(df: DataFrame, group: str, entity: str) -> DataFrame:

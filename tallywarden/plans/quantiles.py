@@ -12,12 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tallywarden.plans.ordered import ordering, running_sums
-from tallywarden.plans.skew import (
-    ROWS_PER_TASK,
-    KeyProfile,
-    join_small,
-    key_profile,
-)
+from tallywarden.plans.skew import KeyProfile, join_small, key_profile, split_hot
+
+# Distinct values of one key that ``percentile`` may hold in one task's memory.
+VALUES_PER_TASK = 1_000_000
 
 # Inverse of the sketch's rank error, and the bracket's half width in units of that error.
 ACCURACY = 10_000
@@ -29,7 +27,7 @@ def exact_quantiles(
     keys: list[str],
     value: str,
     probs: dict[str, float],
-    limit: int = ROWS_PER_TASK,
+    limit: int = VALUES_PER_TASK,
     profile: KeyProfile | None = None,
 ) -> DataFrame:
     """One row per key with the interpolated quantiles named in ``probs``; nulls are ignored."""
@@ -37,10 +35,7 @@ def exact_quantiles(
     profile = profile or key_profile(rows, keys, limit)
     if not profile.hot:
         return _by_percentile(rows, keys, probs)
-    names = [tuple(r[k] for k in keys) for r in profile.hot]
-    hot = df.sparkSession.createDataFrame(names, df.select(*keys).schema)
-    ordinary = join_small(rows, hot, keys, "left_anti")
-    large = join_small(rows, hot, keys, "left_semi")
+    ordinary, large = split_hot(rows, keys, profile)
     return _by_percentile(ordinary, keys, probs).unionByName(_by_bracket(large, keys, probs, limit))
 
 

@@ -66,9 +66,26 @@ def join_small(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inn
     return match(df, F.broadcast(small), keys, how)
 
 
-def attach(df: DataFrame, per_key: DataFrame, keys: list[str], groups: int) -> DataFrame:
-    """Add per-key columns; broadcast only when the number of keys is known to be small."""
-    return join_small(df, per_key, keys) if groups <= BROADCAST_ROWS else match(df, per_key, keys)
+def split_hot(df: DataFrame, keys: list[str], profile: KeyProfile) -> tuple[DataFrame, DataFrame]:
+    """The rows of ordinary keys and those of large keys."""
+    names = [tuple(r[k] for k in keys) for r in profile.hot]
+    hot = df.sparkSession.createDataFrame(names, df.select(*keys).schema)
+    return join_small(df, hot, keys, "left_anti"), join_small(df, hot, keys, "left_semi")
+
+
+def attach(df: DataFrame, per_key: DataFrame, keys: list[str], profile: KeyProfile) -> DataFrame:
+    """Add per-key columns.
+
+    With few keys they are broadcast. With many, the join shuffles by key, but
+    the rows of large keys stay where they are and get their few keys broadcast.
+    """
+    if profile.groups <= BROADCAST_ROWS:
+        return join_small(df, per_key, keys)
+    if not profile.hot:
+        return match(df, per_key, keys)
+    ordinary, large = split_hot(df, keys, profile)
+    few, some = split_hot(per_key, keys, profile)
+    return match(ordinary, few, keys).unionByName(join_small(large, some, keys))
 
 
 def cut_points(

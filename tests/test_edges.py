@@ -156,8 +156,8 @@ def test_benford_counts_missing_digits(frame):
 
 
 def test_peer_rank_ties_share_a_rank(frame):
-    rows = frame([(i, i, at(0), a) for i, a in enumerate([1.0, 2.0, 3.0, 3.0])]).withColumn("peer", F.lit("x"))
-    top = amounts.peer_rank(rows, "who", "peer", "amount", 0.6)
+    rows = frame([(i, i, at(0), a) for i, a in enumerate([1.0, 2.0, 3.0, 3.0])])
+    top = amounts.peer_rank(rows, "who", "amount", rows.select("who", F.lit("x").alias("peer")), "peer", 0.6)
     assert sorted((r["who"], round(r["percent_rank"], 4)) for r in top.collect()) == [(2, 0.6667), (3, 0.6667)]
 
 

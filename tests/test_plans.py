@@ -15,7 +15,8 @@ from tallywarden.plans.ordered import (
     trailing_totals,
 )
 from tallywarden.plans.quantiles import exact_quantiles
-from tallywarden.plans.skew import cut_points, key_profile, with_blocks
+from tallywarden.plans import skew
+from tallywarden.plans.skew import attach, cut_points, key_profile, with_blocks
 
 LIMIT = 50
 
@@ -139,3 +140,15 @@ def test_large_key_sketch_bracket_is_exact_on_many_rows(spark):
     got = exact_quantiles(df, ["key"], "value", {"q": 0.123, "m": 0.5}, 1000).first()
     want = df.agg(F.percentile("value", 0.123), F.percentile("value", 0.5)).first()
     assert (got["q"], got["m"]) == pytest.approx(tuple(want))
+
+
+def test_attach_gives_the_same_rows_by_every_join(skewed, monkeypatch):
+    per_key = skewed.groupBy("key").agg(F.max("minute").alias("latest"))
+    profile = key_profile(skewed, ["key"], LIMIT)
+    want = collected(attach(skewed, per_key, ["key"], profile).select("id", "key", "latest"))
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 1)
+    split = attach(skewed, per_key, ["key"], profile).select("id", "key", "latest")
+    whole = attach(skewed, per_key, ["key"], key_profile(skewed, ["key"])).select("id", "key", "latest")
+    assert len(want) == 3000
+    assert collected(split) == want
+    assert collected(whole) == want

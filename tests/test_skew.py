@@ -39,7 +39,7 @@ DETECTORS = {
     "prior_zscore": lambda d, n: amounts.prior_zscore(d, "who", ORDER, "amount", 3, 1.5, n),
     "rolling_median": lambda d, n: amounts.rolling_median(d, "who", ORDER, "amount", 7, n),
     "peer_rank": lambda d, n: amounts.peer_rank(
-        d.withColumn("peer", F.lit("p")), "id", "peer", "amount", 0.8, n
+        d, "id", "amount", d.select("id", F.lit("p").alias("peer")), "peer", 0.8, n
     ),
     "velocity": lambda d, n: behaviour.velocity(d, "who", "ts", "amount", "45 MINUTES", 4, n),
     "dormant": lambda d, n: behaviour.dormant_reactivation(d, "who", "ts", "id", 1, n),
