@@ -9,10 +9,11 @@ a bracket should miss its quantile the query fails instead of answering wrongly.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallywarden.plans.ordered import ordering, running_sums
 from tallywarden.plans.skew import KeyProfile, join_small, key_profile, split_hot
+from tallywarden.session import written
 
 # Distinct values of one key that ``percentile`` may hold in one task's memory.
 VALUES_PER_TASK = 1_000_000
@@ -36,11 +37,15 @@ def exact_quantiles(
     if not profile.hot:
         return _by_percentile(rows, keys, probs)
     ordinary, large = split_hot(rows, keys, profile)
-    return _by_percentile(ordinary, keys, probs).unionByName(_by_bracket(large, keys, probs, limit))
+    both = _by_percentile(ordinary, keys, probs).unionByName(_by_bracket(large, keys, probs, limit))
+    # Callers join this one row per key back to the rows, often more than once.
+    return written(both)
 
 
 def _by_percentile(rows: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
-    return rows.groupBy(*keys).agg(*(F.percentile("_v", p).alias(name) for name, p in probs.items()))
+    # One call for all quantiles, so that the values of a key are held once.
+    found = rows.groupBy(*keys).agg(F.percentile("_v", list(probs.values())).alias("_q"))
+    return found.select(*keys, *(F.col("_q")[i].alias(name) for i, name in enumerate(probs)))
 
 
 def _by_bracket(rows: DataFrame, keys: list[str], probs: dict[str, float], limit: int) -> DataFrame:
@@ -48,39 +53,37 @@ def _by_bracket(rows: DataFrame, keys: list[str], probs: dict[str, float], limit
     # Every key here has more than ``limit`` rows; two ranks cover rounding and interpolation.
     reach = SLACK / ACCURACY + 2 / limit
     edges = [max(p - reach, 0.0) for p in ps] + [min(p + reach, 1.0) for p in ps]
-    # At most MAX_HOT_KEYS rows, hence the broadcasts below.
     sketch = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", edges, ACCURACY).alias("_edges")
     )
-    brackets = sketch.select(
-        *keys,
-        "_n",
-        F.array(
-            *(
-                F.struct(
-                    F.lit(i).alias("i"),
-                    # The extreme quantiles are open ended.
-                    (F.col("_edges")[i] if ps[i] > reach else F.lit(float("-inf"))).alias("lo"),
-                    (F.col("_edges")[i + len(ps)] if ps[i] < 1 - reach else F.lit(float("inf"))).alias("hi"),
-                )
-                for i in range(len(ps))
-            )
-        ).alias("_brackets"),
-    )
-    # Everything below a bracket is counted under one mark that sorts before it.
-    wanted = F.explode(F.filter("_brackets", lambda b: F.col("_v") <= b["hi"]))
-    inside = (
-        join_small(rows, brackets, keys)
-        .select(*keys, "_n", "_v", wanted.alias("_b"))
-        .groupBy(
+    # The extreme quantiles are open ended. At most MAX_HOT_KEYS rows.
+    brackets = written(
+        sketch.select(
             *keys,
-            F.col("_b.i").alias("_i"),
             "_n",
-            F.when(F.col("_v") < F.col("_b.lo"), float("-inf")).otherwise(F.col("_v")).alias("_v"),
-            (F.col("_v") < F.col("_b.lo")).alias("_below"),
+            *((F.col("_edges")[i] if p > reach else F.lit(float("-inf"))).alias(f"_lo{i}") for i, p in enumerate(ps)),
+            *(
+                (F.col("_edges")[i + len(ps)] if p < 1 - reach else F.lit(float("inf"))).alias(f"_hi{i}")
+                for i, p in enumerate(ps)
+            ),
         )
+    )
+
+    def place(i: int) -> Column:
+        """The row's part in the bracket of quantile ``i``; null if it lies above."""
+        below = F.col("_v") < F.col(f"_lo{i}")
+        # Everything below a bracket is counted under one mark that sorts before it.
+        marked = F.when(below, float("-inf")).otherwise(F.col("_v"))
+        entry = F.struct(F.lit(i).alias("_i"), (~below).alias("_inside"), marked.alias("_v"))
+        return F.when(F.col("_v") <= F.col(f"_hi{i}"), entry)
+
+    highest = F.greatest(*(F.col(f"_hi{i}") for i in range(len(ps)))) if len(ps) > 1 else F.col("_hi0")
+    inside = written(
+        join_small(rows, brackets, keys)
+        .where(F.col("_v") <= highest)
+        .select(*keys, "_n", F.inline(F.array_compact(F.array(*(place(i) for i in range(len(ps)))))))
+        .groupBy(*keys, "_i", "_n", "_inside", "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_inside", ~F.col("_below"))
     )
     by = ordering(inside, [*keys, "_i"], ["_inside", "_v"], limit)
     counted = running_sums(inside, by, {"_upto": F.col("_c")})
