@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallywarden.functions.exact import scaled, total
 from tallywarden.plans.ordered import Ordering, last_before, ordering
 from tallywarden.plans.skew import ROWS_PER_TASK
+from tallywarden.session import written
 
 
 def quarantine(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
@@ -85,12 +86,14 @@ def near_duplicates(
     """Rows with another row of the same entity, amount within ``tol_cents``, date within ``days``.
 
     First only rows with a neighbour in amount are kept, by looking one row back
-    in both directions; ``tie`` is a unique number that orders equal amounts. These are placed on a grid with cells of ``tol_cents`` by
-    ``days``. Two rows in one cell always match. For the eight cells around, the
-    lowest and highest amount of each day decide, so a cell is summarised by at
-    most two values a day and no pairs of rows are formed, however many copies
-    there are.
+    in both directions; ``tie`` is a unique number that orders equal amounts.
+    These are placed on a grid with cells of ``tol_cents`` by ``days``. Two rows
+    in one cell always match. For the eight cells around, the lowest and highest
+    amount of each day decide, so a cell is summarised by at most two values a
+    day and no pairs of rows are formed, however many copies there are.
     """
+    if tol_cents < 1 or days < 1:
+        raise ValueError("tol_cents and days must be at least 1; for equal rows use exact_repeats")
     cells = df.where(F.col(ts).isNotNull() & F.col(amount).isNotNull()).select(
         "*",
         scaled(amount).alias("_cents"),
@@ -104,12 +107,14 @@ def near_duplicates(
         down = ordering(cells, [entity], ["_down", "_tie_down"], limit)
     beside = last_before(cells, up, {"_below": F.col("_cents")})
     beside = last_before(beside, down, {"_above": F.col("_cents")})
-    placed = beside.where(
-        (F.col("_cents") - F.col("_below") <= tol_cents) | (F.col("_above") - F.col("_cents") <= tol_cents)
-    ).select(
-        *cells.columns,
-        F.floor(F.col("_cents") / tol_cents).cast("bigint").alias("_row"),
-        F.floor(F.col("_day") / days).cast("int").alias("_col"),
+    close = (F.col("_cents") - F.col("_below") <= tol_cents) | (F.col("_above") - F.col("_cents") <= tol_cents)
+    # Kept once: both the summaries and the final lookup read it.
+    placed = written(
+        beside.where(close).select(
+            *cells.columns,
+            F.floor(F.col("_cents") / tol_cents).cast("bigint").alias("_row"),
+            F.floor(F.col("_day") / days).cast("int").alias("_col"),
+        )
     )
     daily = placed.groupBy(entity, "_row", "_col", "_day").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_cents").alias("_low"), F.max("_cents").alias("_high")

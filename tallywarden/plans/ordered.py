@@ -143,7 +143,7 @@ def trailing_totals(
     enters once and leaves once ``span`` later, and the totals are running sums
     over both, so the cost does not depend on how many rows a span holds.
     """
-    source = df.select(*keys, F.col(ts).alias("_ts"), amount.alias("_amount"))
+    source = df.where(F.col(ts).isNotNull()).select(*keys, F.col(ts).alias("_ts"), amount.alias("_amount"))
     hot = bool(key_profile(source, keys, limit).hot)
     if not hot:
         # One shuffle then serves the grouping and the window.

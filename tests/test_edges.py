@@ -299,6 +299,30 @@ def test_alert_layout(frame):
     assert tuple(got) == ("d", 7, 1, 5.0, "x")
 
 
+def test_writing_a_run_again_replaces_only_its_own_rows(spark, frame, tmp_path):
+    from tallywarden.sources.alerts import read_alerts, write_alerts
+
+    rows = frame([(1, 7, at(0), 5.0), (2, 8, at(0), 6.0)])
+    alerts = {d: to_alerts(rows, d, "who", F.col("amount"), F.lit("x"), "id") for d in ("a", "b")}
+    path = f"{tmp_path}/alerts"
+    write_alerts(alerts["a"].unionByName(alerts["b"]), path, "2024-01-01")
+    write_alerts(alerts["a"].where("entity_id = 7"), path, "2024-01-01")
+    write_alerts(alerts["a"], path, "2024-01-02")
+    counts = read_alerts(spark, path).groupBy("detector", F.col("run_date").cast("string")).count().collect()
+    assert sorted(map(tuple, counts)) == [("a", "2024-01-01", 1), ("a", "2024-01-02", 2), ("b", "2024-01-01", 2)]
+
+
+def test_near_duplicates_refuse_an_empty_grid(frame):
+    with pytest.raises(ValueError):
+        integrity.near_duplicates(frame([]), "who", "id", "ts", "amount", 0, 3)
+
+
+def test_rows_without_a_time_are_not_counted(frame):
+    rows = frame([(1, 1, None, 1.0), (2, 1, None, 1.0), (3, 1, at(0), 1.0), (4, 1, at(1), 1.0)])
+    hits = behaviour.velocity(rows, "who", "ts", "amount", "1 HOUR", 2).collect()
+    assert [(h["ts"], h["n"]) for h in hits] == [(at(1), 2)]
+
+
 def test_linked_groups_on_chains_stars_and_loops(frame):
     import random
 
