@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallywarden.llm import byte_bpe, chat, mixing, token_counts, winnowing
+from tallywarden.llm import byte_bpe, chat, mixing, nearest, token_counts, toxicity, winnowing
 from tallywarden.llm.common import documents
 
 # Parts of the training mixture in bytes; all other sources share what is left.
@@ -17,6 +17,10 @@ def op1_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir), SHARES, EPOCHS, SEED)
 
 
+def op3_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.top_scores(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_with_edited(documents(spark, sf_dir))
 
@@ -31,6 +35,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.over_limit(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_toxic_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -42,9 +50,11 @@ QUERIES = {
     q.__name__: q
     for q in (
         op1_poisson_mixture,
+        op3_voronoi_topk,
         op4_winnowing,
         op5_chat_format,
         op8_token_counts,
+        op9_toxic_grammar,
         op10_byte_bpe,
     )
 }
@@ -103,11 +113,24 @@ SELECT c.conv_id, ((n - 1) // {chat.TURNS_PER_SEGMENT})::INT AS segment,
     || '{chat.END}' || chr(10), '' ORDER BY n) AS text
 FROM chosen c JOIN numbered USING (conv_id) GROUP BY c.conv_id, segment"""
 
+TOPK_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS vec FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.vec, x.vec)::BIGINT AS score
+  FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 20"""
+
 ORACLE = {
     "op1_poisson_mixture": mixture_sql(
         "documents",
         "p.doc_id, p.text, p.lang, p.source, p.n_chars, copy::INT AS copy, "
         f"('0x' || substr(md5('{SEED} order|' || p.id || '|' || copy), 1, 15))::BIGINT AS shuffle_key",
     ),
+    "op3_voronoi_topk": TOPK_SQL,
     "op5_chat_format": CHAT_SQL,
 }
