@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallywarden.session import shared_folder, shared_root
 
-# Key of a text: equal for equal texts, null and empty alike.
-TEXT_KEY = "_key"
+# Longs in the filter of ``may_be_in``, of 62 bits each: a fixed size of half a megabyte.
+FILTER_LONGS = 1 << 16
 
 
 def importable(spark: SparkSession) -> None:
@@ -47,3 +47,20 @@ def kept(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_folder(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _bits(key: str) -> tuple[Column, Column]:
+    h = F.xxhash64(key)
+    return F.pmod(h, F.lit(FILTER_LONGS)).cast("int"), F.pmod(F.shiftrightunsigned(h, 20), F.lit(62)).cast("int")
+
+
+def may_be_in(few: DataFrame, key: str) -> Column:
+    """A filter of fixed size that passes all keys of ``few`` and little else while these are few."""
+    place, bit = _bits(key)
+    rows = few.select(place.alias("place"), bit.alias("bit"))
+    longs = rows.groupBy("place").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).collect()
+    table = [0] * FILTER_LONGS
+    for r in longs:
+        table[r["place"]] = r["bits"]
+    known = F.split(F.lit(",".join(map(str, table))), ",").cast("array<long>")
+    return F.getbit(F.get(known, place), bit) == 1

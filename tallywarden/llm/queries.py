@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallywarden.llm import byte_bpe, chat, lines, mixing, nearest, token_counts, toxicity, winnowing
+from tallywarden.llm import byte_bpe, chat, jaccard, lines, mixing, nearest, token_counts, toxicity, winnowing
 from tallywarden.llm.common import documents
 
 # Parts of the training mixture in bytes; all other sources share what is left.
@@ -29,6 +29,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op6_count_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(documents(spark, sf_dir))
+
+
 def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(documents(spark, sf_dir)).select("doc_id", "text", "lines_removed")
 
@@ -57,6 +61,7 @@ QUERIES = {
         op3_voronoi_topk,
         op4_winnowing,
         op5_chat_format,
+        op6_count_tree,
         op7_fuzzy_lines,
         op8_token_counts,
         op9_toxic_grammar,
