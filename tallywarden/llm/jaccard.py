@@ -26,7 +26,7 @@ from tallywarden.operators.counterparties import linked_groups
 
 # Link at similarity of SHARE / 100 and more; words in an n-gram.
 SHARE, WORDS = 85, 4
-GROUPS = 64
+GROUPS = 256
 # Smallest members that name a document's leaders.
 LEADERS = 4
 # Part of the texts, picked by a hash, in which frequent n-grams are counted, and what counts as frequent there.
@@ -36,7 +36,8 @@ TABLE = 1 << 16
 # Points in one tree; a larger share of points is dealt to trees by pairs of parts.
 POINTS = 1_000
 LEAF = 16
-MOST_COUNT = 65_535
+PAIRS_AT_ONCE = 65_536
+MOST_COUNT = 255
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -95,7 +96,23 @@ def same_set(s: np.ndarray) -> bytes:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS), MOST_COUNT).astype("<u2")
+    """Group counts; if one is too large for a byte all are set to the largest, which bounds nothing."""
+    counts = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
+    return (counts if counts.max() < MOST_COUNT else np.full(GROUPS, MOST_COUNT)).astype(np.uint8)
+
+
+def points_of(packed: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), dtype=np.uint8).reshape(-1, GROUPS)
+
+
+def may_link(p: np.ndarray, n: np.ndarray, q: np.ndarray, m: np.ndarray, share: int) -> np.ndarray:
+    """Whether sets of n and m members at points p and q can link, row by row."""
+    good = 100 * np.minimum(n, m) >= share * np.maximum(n, m)
+    at = np.flatnonzero(good)
+    for cut in range(0, len(at), PAIRS_AT_ONCE):
+        i = at[cut : cut + PAIRS_AT_ONCE]
+        good[i] = np.minimum(p[i], q[i]).sum(1, dtype=np.int64) >= np.minimum(least_overlap(n[i], m[i], share), GROUPS * MOST_COUNT)
+    return good
 
 
 def prefix_length(n: int, share: int = SHARE) -> int:
@@ -112,30 +129,40 @@ class CountTree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, share: int = SHARE):
         self.share = share
-        # By size, then by the fullest groups, so that neighbours are alike.
+        # By size, then by the fullest group, so that neighbours are alike.
         self.order = np.lexsort((points.argmax(1), sizes))
-        self.points, self.sizes = points[self.order].astype(np.int64), sizes[self.order]
-        self.levels = [(self.points, self.sizes, self.sizes)]
+        sizes = sizes[self.order]
+        self.levels = [(points[self.order], sizes, sizes)]
         while len(self.levels[-1][0]) > LEAF:
             most, low, high = self.levels[-1]
             cut = np.arange(0, len(most), LEAF)
-            self.levels.append((np.maximum.reduceat(most, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)))
+            parts = (np.maximum, most), (np.minimum, low), (np.maximum, high)
+            self.levels.append(tuple(f.reduceat(x, cut) for f, x in parts))
 
-    def search(self, p: np.ndarray, size: int) -> np.ndarray:
-        """Places of all points whose set may link with one of ``size`` members at point ``p``."""
-        p = p.astype(np.int64)
-        at = np.arange(len(self.levels[-1][0]))
+    def search(self, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For many points at once: which of them may link with which point of the tree."""
+        top = len(self.levels[-1][0])
+        asks, at = np.repeat(np.arange(len(points)), top), np.tile(np.arange(top), len(points))
         for depth in range(len(self.levels) - 1, -1, -1):
-            most, low, high = self.levels[depth]
-            at = at[(100 * high[at] >= self.share * size) & (self.share * low[at] <= 100 * size)]
-            bound = np.minimum(most[at], p).sum(1)
-            full = (p.max() >= MOST_COUNT) & (most[at].max(1, initial=0) >= MOST_COUNT)
-            at = at[full | (bound >= least_overlap(np.maximum(low[at], -(-self.share * size // 100)), size, self.share))]
+            good = np.concatenate([self._near(depth, points, sizes, asks[c : c + PAIRS_AT_ONCE], at[c : c + PAIRS_AT_ONCE]) for c in range(0, max(len(at), 1), PAIRS_AT_ONCE)])
+            asks, at = asks[good], at[good]
             if depth:
-                below = len(self.levels[depth - 1][0])
                 at = (at[:, None] * LEAF + np.arange(LEAF)[None, :]).ravel()
-                at = at[at < below]
-        return self.order[at]
+                asks = np.repeat(asks, LEAF)
+                inside = at < len(self.levels[depth - 1][0])
+                asks, at = asks[inside], at[inside]
+        return asks, self.order[at]
+
+    def _near(self, depth: int, points: np.ndarray, sizes: np.ndarray, asks: np.ndarray, at: np.ndarray) -> np.ndarray:
+        most, low, high = (x[at] for x in self.levels[depth])
+        size = sizes[asks]
+        # The smallest set below the node that is large enough needs the smallest overlap.
+        least = np.maximum(low, -(-self.share * size // 100))
+        enough = np.minimum(least_overlap(size, least, self.share), GROUPS * MOST_COUNT)
+        good = (100 * high >= self.share * size) & (self.share * low <= 100 * size)
+        i = np.flatnonzero(good)
+        good[i] = np.minimum(most[i], points[asks[i]]).sum(1, dtype=np.int64) >= enough[i]
+        return good
 
 
 def frequent_table(docs: DataFrame, words: int) -> np.ndarray:
@@ -216,11 +243,8 @@ def led_pairs(classes: DataFrame, share: int) -> DataFrame:
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            p, q = (np.frombuffer(b"".join(rows[c]), dtype="<u2").reshape(-1, GROUPS) for c in ("point", "led_point"))
             n, m = rows["n"].to_numpy(), rows["led_n"].to_numpy()
-            full = (p.max(1, initial=0) >= MOST_COUNT) & (q.max(1, initial=0) >= MOST_COUNT)
-            good = full | (np.minimum(p, q).sum(1) >= least_overlap(n, m, share))
-            good &= 100 * np.minimum(n, m) >= share * np.maximum(n, m)
+            good = may_link(points_of(rows["point"]), n, points_of(rows["led_point"]), m, share)
             yield rows.loc[good, ["a", "b"]]
 
     rows = led.select(
@@ -245,31 +269,43 @@ def tree_pairs(members: DataFrame, share: int, points: int = POINTS) -> DataFram
     dealt = dealt.toDF("cell", "sid", "component", "n", "point", "asks", "alone")
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        sid, component = rows["sid"].to_numpy(), rows["component"].to_numpy()
-        asks = rows["asks"].to_numpy()
-        sought = np.ones(len(rows), dtype=bool) if rows["alone"].iloc[0] else ~asks
-        p = np.frombuffer(b"".join(rows["point"]), dtype="<u2").reshape(-1, GROUPS)
-        n = rows["n"].to_numpy()
-        at = np.flatnonzero(sought)
-        tree = CountTree(p[at], n[at], share)
-        a, b = [], []
-        for i in np.flatnonzero(asks):
-            for j in at[tree.search(p[i], int(n[i]))]:
-                if component[i] != component[j]:
-                    low, high = sorted((sid[i], sid[j]))
-                    a.append(low)
-                    b.append(high)
-        return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object)})
+        """The pairs of all cells among these rows, which are sorted by cell."""
+        cell, asks, alone = (rows[c].to_numpy() for c in ("cell", "asks", "alone"))
+        component = pd.factorize(rows["component"])[0]
+        p, n = points_of(rows["point"]), rows["n"].to_numpy()
+        starts = np.flatnonzero(np.diff(cell, prepend=cell[:1] - 1))
+        ends = np.append(starts[1:], len(cell))
+        found = []
+        # Cells that fit a leaf are their own tree: their pairs are taken over all such cells at once.
+        in_leaf = np.repeat(ends - starts <= LEAF, ends - starts)
+        for step in range(1, LEAF):
+            i = np.flatnonzero(in_leaf[:-step] & (cell[:-step] == cell[step:]) & (component[:-step] != component[step:]))
+            i = i[alone[i] | (asks[i] != asks[i + step])]
+            i = i[may_link(p[i], n[i], p[i + step], n[i + step], share)]
+            found.append((i, i + step))
+        for start, end in zip(starts, ends, strict=True):
+            if end - start > LEAF:
+                inside = np.arange(start, end)
+                asking, sought = (inside, inside) if alone[start] else (inside[asks[inside]], inside[~asks[inside]])
+                if len(asking) and len(sought):
+                    a, b = CountTree(p[sought], n[sought], share).search(p[asking], n[asking])
+                    a, b = asking[a], sought[b]
+                    other = component[a] != component[b]
+                    found.append((a[other], b[other]))
+        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        sid = rows["sid"].to_numpy()
+        pairs = {(min(x, y), max(x, y)) for x, y in zip(sid[a], sid[b], strict=True)}
+        return pd.DataFrame(list(pairs), columns=["a", "b"], dtype=object)
 
     def by_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by cell; a cell has 2 * points rows at most, about."""
         held = None
         for rows in batches:
             rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
-            last = rows["cell"].iloc[-1] if len(rows) else None
-            whole_cells, held = rows[rows["cell"] != last], rows[rows["cell"] == last]
-            for _, group in whole_cells.groupby("cell", sort=False):
-                yield search(group)
+            ended = rows["cell"] != rows["cell"].iloc[-1]
+            held = rows[~ended].reset_index(drop=True)
+            if ended.any():
+                yield search(rows[ended].reset_index(drop=True))
         if held is not None and len(held):
             yield search(held)
 
