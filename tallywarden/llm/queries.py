@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallywarden.llm import byte_bpe, chat, jaccard, lines, mixing, nearest, token_counts, toxicity, winnowing
+from tallywarden.llm import byte_bpe, chat, jaccard, lines, mixing, nearest, repeats, token_counts, toxicity, winnowing
 from tallywarden.llm.common import documents
 
 # Parts of the training mixture in bytes; all other sources share what is left.
@@ -17,6 +17,10 @@ def op1_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir), SHARES, EPOCHS, SEED)
 
 
+def op2_repeat_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op3_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.top_scores(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
@@ -58,6 +62,7 @@ QUERIES = {
     q.__name__: q
     for q in (
         op1_poisson_mixture,
+        op2_repeat_intervals,
         op3_voronoi_topk,
         op4_winnowing,
         op5_chat_format,
