@@ -11,17 +11,19 @@ group whose occurrences differ on both sides is a maximal repeat and is put out
 
 Contexts equal in all their bytes are one member, however many texts hold them.
 Hashes with more members than a task should hold are split at the first
-byte in which the members differ, on the left or on the right.
+byte in which a member leaves a pivot, on the left or on the right; there the repeats put out are
+those of a member and the pivot.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallywarden.llm.common import importable, kept, may_be_in, text_key, whole
 
@@ -198,48 +200,65 @@ def maximal_repeats(back: list[bytes], ahead: list[bytes], length: int = LENGTH)
                     yield extent, depth, members
 
 
+def agreeing(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    low, high = 0, n
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if a[:middle] == b[:middle] else (low, middle)
+    return low
+
+
 def split_large(members: DataFrame, length: int, most: int) -> tuple[DataFrame, DataFrame | None]:
     """Members by bucket, none above ``most``, and repeats found on the way as (context, extent, depth).
 
-    The members of a bucket have a core in common: the bytes on which the smallest and the largest agree, to the
-    left and to the right. A longer string around the anchor reaches beyond the core on one side; there the
-    members are split by their next byte. A string that does so on both sides is sought on the left only.
+    The members of a larger bucket are compared with one of them, the pivot. All strings around a member's
+    anchor that lie in what it has in common with the pivot are settled by that. A string that reaches
+    beyond, to the left or to the right, can only be shared with members that leave the pivot at the same place
+    with the same byte: these are a new bucket. A string that does so on both sides is sought on the left
+    only. A new bucket lacks the pivot at least, so this ends.
     """
 
-    @F.udf("int")
-    def agree(a: bytes, b: bytes) -> int:
-        n = min(len(a), len(b))
-        if a[:n] == b[:n]:
-            return n
-        return next(i for i in range(n) if a[i] != b[i])
-
+    def against_pivot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for r in rows.itertuples(index=False):
+                extent, depth = agreeing(r.back, r.pivot_back), agreeing(r.ahead, r.pivot_ahead)
+                least, highest = max(r.least, length - len(r.ahead)), min(r.highest, len(r.back))
+                moves = []
+                if max(least, extent + 1) <= highest:
+                    moves.append((f"l{extent},{r.back[extent]}", max(least, extent + 1), highest))
+                if depth < len(r.ahead) and least <= min(highest, extent, length - 1 - depth):
+                    moves.append((f"r{depth},{r.ahead[depth]}", least, min(highest, extent, length - 1 - depth)))
+                if r.context != r.pivot:
+                    out.append((r.bucket, r.context, r.back, r.ahead, r.pivot, extent, depth, moves))
+            yield pd.DataFrame(out, columns=["bucket", "context", "back", "ahead", "pivot", "extent", "depth", "moves"])
+
+    schema = (
+        "bucket long, context binary, back binary, ahead binary, pivot binary, extent int, depth int, "
+        "moves array<struct<way: string, least: int, highest: int>>"
+    )
     # Offsets of strings still sought: bytes between the string's start and the anchor.
-    left = members.withColumns({"bucket": F.xxhash64("h"), "least": F.lit(0), "most": F.lit(length - GRAM)})
-    done, cores = None, None
+    left = members.withColumns({"bucket": F.xxhash64("h"), "least": F.lit(0), "highest": F.lit(length - GRAM)}).drop("h")
+    done, shared = [], []
     while True:
-        sizes = left.groupBy("bucket").agg(
-            F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{name}_{c}") for c in ("back", "ahead") for name, f in (("low", F.min), ("high", F.max)))
-        ).where("n > 1")
-        small = left.join(sizes.where(F.col("n") <= most).select("bucket"), "bucket").select("bucket", "context", "back", "ahead")
-        done = small if done is None else done.unionByName(small)
-        large = sizes.where(F.col("n") > most)
-        # One row for each bucket, with the size of its core.
-        large = kept(large.select("bucket", agree("low_back", "high_back").alias("l"), agree("low_ahead", "high_ahead").alias("r")), "cores")
+        sizes = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("pivot")).where("n > 1")
+        sizes = kept(sizes, "sizes")
+        done.append(left.join(sizes.where(F.col("n") <= most), "bucket", "left_semi").select("bucket", "context", "back", "ahead"))
+        large = sizes.where(F.col("n") > most).select("bucket", "pivot")
         if large.isEmpty():
-            return done, cores
-        rows = left.join(large, "bucket")
-        found = rows.where(F.col("l") + F.col("r") >= length).select("context", F.col("l").alias("extent"), F.col("r").alias("depth"))
-        cores = found if cores is None else cores.unionByName(found)
-
-        def child(side: str, core: str, low: Column, high: Column) -> Column:
-            name = F.xxhash64(F.lit(core), "bucket", F.expr(f"substring({side}, 1, {core} + 1)"))
-            fits = (F.length(side) > F.col(core)) & (low <= high)
-            return F.when(fits, F.struct(name.alias("bucket"), low.alias("least"), high.alias("most")))
-
-        to_left = child("back", "l", F.greatest("least", F.col("l") + 1), F.col("most"))
-        to_right = child("ahead", "r", F.col("least"), F.least(F.col("most"), F.col("l"), F.lit(length - 1) - F.col("r")))
-        next_rows = rows.select("h", "context", "back", "ahead", F.inline(F.array_compact(F.array(to_left, to_right))))
-        left = kept(next_rows, "split")
+            break
+        pivots = left.select("bucket", F.col("context").alias("pivot"), F.col("back").alias("pivot_back"), F.col("ahead").alias("pivot_ahead"))
+        pivots = large.join(pivots, ["bucket", "pivot"])
+        compared = kept(left.join(pivots, "bucket").mapInPandas(against_pivot, schema), "compared")
+        near = compared.where(F.col("extent") + F.col("depth") >= length)
+        shared += [near.select(F.col(c).alias("context"), "extent", "depth").distinct() for c in ("context", "pivot")]
+        moved = compared.select("bucket", "context", "back", "ahead", F.inline("moves"))
+        left = moved.select(F.xxhash64("bucket", "way").alias("bucket"), "context", "back", "ahead", "least", "highest")
+    return reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, shared) if shared else None
 
 
 def repeat_groups(docs: DataFrame, length: int = LENGTH, most: int = MEMBERS) -> DataFrame:
