@@ -167,37 +167,68 @@ class RangeMinimum:
         return np.minimum(self.wide[level, first], self.wide[level, last + 1 - (1 << level)])
 
 
-def maximal_repeats(back: list[bytes], ahead: list[bytes], length: int = LENGTH) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(bytes before the anchor, bytes from it on, members) of each maximal repeat of ``length`` bytes or more.
-
-    Members are numbers of contexts; all that hold the repeat are listed.
-    """
-    order = sorted(range(len(ahead)), key=ahead.__getitem__)
-    suffixes = common([ahead[i] for i in order])
-    back_order = sorted(range(len(back)), key=back.__getitem__)
-    back_common = common([back[i] for i in back_order])
-    if suffixes.max() + back_common.max() < length:
-        return
-    rank = np.empty(len(back), dtype=np.int64)
-    rank[back_order] = np.arange(len(back))
-    ranks, shared, onward = rank[order], RangeMinimum(back_common), RangeMinimum(suffixes)
-    place = np.empty(len(ahead), dtype=np.int64)
-    place[order] = np.arange(len(ahead))
-    named = np.array(back_order)
-    for depth, first, last in intervals(suffixes):
-        if last == first or depth + back_common.max() < length:
-            continue
-        inside = np.sort(ranks[first : last + 1])
-        left = np.concatenate(([0], shared.between(inside[:-1] + 1, inside[1:])))
-        if left.max() + depth < length:
-            continue
-        for extent, low, high in intervals(left):
-            if high > low and extent + depth >= length:
-                members = named[inside[low : high + 1]]
-                at = np.sort(place[members])
-                # Occurrences that all go on alike to the right belong to a deeper interval.
-                if onward.between(at[:-1] + 1, at[1:]).min() == depth:
-                    yield extent, depth, members
+class Bucket:
+    """The interval tree of the contexts of one hash."""
+
+    def __init__(self, back: list[bytes], ahead: list[bytes], length: int = LENGTH):
+        self.length = length
+        order = sorted(range(len(ahead)), key=ahead.__getitem__)
+        back_order = sorted(range(len(back)), key=back.__getitem__)
+        self.suffixes = common([ahead[i] for i in order])
+        shared = common([back[i] for i in back_order])
+        self.deepest, self.farthest = int(self.suffixes.max()), int(shared.max())
+        rank = np.empty(len(back), dtype=np.int64)
+        rank[back_order] = np.arange(len(back))
+        self.ranks, self.named = rank[order], np.array(back_order)
+        self.place = np.empty(len(ahead), dtype=np.int64)
+        self.place[order] = np.arange(len(ahead))
+        self.shared, self.onward = RangeMinimum(shared), RangeMinimum(self.suffixes)
+
+    def _intervals(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(depth, members by the bytes before them, bytes each of these has in common with the one before it)."""
+        if self.deepest + self.farthest < self.length:
+            return
+        for depth, first, last in intervals(self.suffixes):
+            if last > first and depth + self.farthest >= self.length:
+                inside = np.sort(self.ranks[first : last + 1])
+                left = np.concatenate(([0], self.shared.between(inside[:-1] + 1, inside[1:])))
+                # With the same byte before all occurrences, the repeat begins further left.
+                if left.max() + depth >= self.length:
+                    yield depth, inside, left
+
+    def groups(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(bytes before the anchor, bytes from it on, members) of each maximal repeat.
+
+        Members are numbers of contexts; all that hold the repeat are listed.
+        """
+        for depth, inside, left in self._intervals():
+            for extent, low, high in intervals(left):
+                if high > low and extent + depth >= self.length:
+                    members = self.named[inside[low : high + 1]]
+                    at = np.sort(self.place[members])
+                    # Occurrences that all go on alike to the right belong to a deeper interval.
+                    if self.onward.between(at[:-1] + 1, at[1:]).min() == depth:
+                        yield extent, depth, members
+
+    def extents(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(members, bytes before the anchor, bytes from it on) of the widest repeats each member is in.
+
+        In an interval an occurrence reaches as far to the left as the neighbour most like it. Repeats
+        inside another of the same member are left out.
+        """
+        found = [(np.zeros(0, dtype=np.int64),) * 3]
+        for depth, inside, left in self._intervals():
+            reach = np.maximum(left, np.append(left[1:], 0))
+            wide = np.flatnonzero(reach + depth >= self.length)
+            found.append((self.named[inside[wide]], reach[wide], np.full(len(wide), depth)))
+        member, extent, depth = (np.concatenate([f[i] for f in found]).astype(np.int64) for i in range(3))
+        by_depth = np.lexsort((-extent, -depth, member))
+        member, extent, depth = member[by_depth], extent[by_depth], depth[by_depth]
+        # Going from deep to shallow, only a repeat that reaches further left than all before is new.
+        mark = member * (2 * self.length) + extent + 1
+        before = np.concatenate(([-1], np.maximum.accumulate(mark)[:-1]))
+        new = (mark > before) if len(mark) else np.zeros(0, dtype=bool)
+        return member[new], extent[new], depth[new]
 
 
 def agreeing(a: bytes, b: bytes) -> int:
@@ -261,13 +292,8 @@ def split_large(members: DataFrame, length: int, most: int) -> tuple[DataFrame,
     return reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, shared) if shared else None
 
 
-def repeat_groups(docs: DataFrame, length: int = LENGTH, most: int = MEMBERS) -> DataFrame:
-    """Maximal repeats of ``length`` bytes or more: (group, size, key, start), a row per occurrence.
-
-    ``docs`` has (key, text), a key for each different text; rows of equal key are one text. ``group`` is a digest of the repeated
-    bytes and ``size`` their number. A repeat is seen as far as ``length`` bytes from an anchor: a longer one is put
-    out as several that overlap. Texts of fewer bytes have no repeats.
-    """
+def found_repeats(docs: DataFrame, length: int, most: int, whole_groups: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Repeats as (context, extent, depth), the contexts, and where these stand as (context, key, place)."""
     importable(docs.sparkSession)
     table = bit_table(repeated_hashes(docs, length))
     around = kept(contexts(docs, table, length), "contexts")
@@ -281,12 +307,16 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, most: int = MEMBERS) ->
     members = kept(members, "members")
     equal = members.where("several").select("context", F.length("back").alias("extent"), F.length("ahead").alias("depth"))
     equal = equal.where(F.col("extent") + F.col("depth") >= length)
-    buckets, cores = split_large(members.select("h", "context", "back", "ahead"), length, most)
+    buckets, shared = split_large(members.select("h", "context", "back", "ahead"), length, most)
 
     def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        back, ahead, names = rows["back"].tolist(), rows["ahead"].tolist(), rows["context"].to_numpy()
-        out = [(names[m], e, d) for e, d, found in maximal_repeats(back, ahead, length) for m in found]
-        return pd.DataFrame(out, columns=["context", "extent", "depth"])
+        names = rows["context"].to_numpy()
+        bucket = Bucket(rows["back"].tolist(), rows["ahead"].tolist(), length)
+        if whole_groups:
+            out = [(names[m], e, d) for e, d, found in bucket.groups() for m in found]
+            return pd.DataFrame(out, columns=["context", "extent", "depth"])
+        member, extent, depth = bucket.extents()
+        return pd.DataFrame({"context": names[member], "extent": extent.astype("int32"), "depth": depth.astype("int32")})
 
     def by_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by bucket; a bucket has ``most`` rows at most."""
@@ -295,8 +325,9 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, most: int = MEMBERS) ->
             rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
             cut = np.flatnonzero(np.diff(rows["bucket"].to_numpy())) + 1
             edges = [0, *cut.tolist()]
-            for start, end in zip(edges, edges[1:], strict=False):
-                yield scan(rows.iloc[start:end])
+            found = [scan(rows.iloc[start:end]) for start, end in zip(edges, edges[1:], strict=False)]
+            if found:
+                yield pd.concat(found)
             held = rows.iloc[edges[-1] :].reset_index(drop=True)
         if held is not None and len(held):
             yield scan(held)
@@ -304,14 +335,30 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, most: int = MEMBERS) ->
     schema = "context binary, extent int, depth int"
     found = buckets.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(by_bucket, schema)
     found = found.unionByName(equal)
-    if cores is not None:
-        found = found.unionByName(cores)
-    found = found.distinct().join(members.select("context", "back", "ahead"), "context")
+    return (found.unionByName(shared) if shared is not None else found).distinct(), members, where
+
+
+def repeat_groups(docs: DataFrame, length: int = LENGTH, most: int = MEMBERS) -> DataFrame:
+    """Maximal repeats of ``length`` bytes or more: (group, size, key, start), a row per occurrence.
+
+    ``docs`` has (key, text), a key for each different text; rows of equal key are one text. ``group`` is a digest of the repeated
+    bytes and ``size`` their number. A repeat is seen as far as ``length`` bytes from an anchor: a longer one is put
+    out as several that overlap. Texts of fewer bytes have no repeats.
+    """
+    found, members, where = found_repeats(docs, length, most, whole_groups=True)
+    found = found.join(members.select("context", "back", "ahead"), "context")
     repeated = F.concat(F.reverse(F.expr("hex(substring(back, 1, extent))")), F.lit("|"), F.expr("hex(substring(ahead, 1, depth))"))
     named = found.select("context", "extent", F.md5(repeated).alias("group"), (F.col("extent") + F.col("depth")).alias("size"))
     return named.join(where, "context").select("group", "size", "key", (F.col("place") - F.col("extent")).alias("start"))
 
 
+def repeat_spans(docs: DataFrame, length: int = LENGTH, most: int = MEMBERS) -> DataFrame:
+    """(key, start, end) of bytes in repeats; what ``repeat_groups`` covers, without telling the groups apart."""
+    found, _, where = found_repeats(docs, length, most, whole_groups=False)
+    start = (F.col("place") - F.col("extent")).alias("start")
+    return found.join(where, "context").select("key", start, (F.col("place") + F.col("depth")).alias("end")).distinct()
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = MEMBERS) -> DataFrame:
     """What is left of each document without bytes in strings of ``length`` bytes that also start elsewhere.
 
@@ -321,8 +368,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = MEMBERS) -
     importable(docs.sparkSession)
     docs = docs.select("doc_id", whole("text").alias("text"))
     texts = docs.withColumn("key", text_key("text"))
-    repeats = repeat_groups(texts.where(F.octet_length("text") >= length).select("key", "text"), length, most)
-    spans = repeats.select("key", "start", (F.col("start") + F.col("size")).alias("end")).distinct()
+    spans = repeat_spans(texts.where(F.octet_length("text") >= length).select("key", "text"), length, most)
     spans = kept(spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")), "spans")
     copied = texts.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("copied"))
     marked = kept(spans.join(copied, "key", "full"), "marked")
