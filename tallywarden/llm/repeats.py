@@ -276,10 +276,10 @@ def split_large(members: DataFrame, length: int, most: int) -> tuple[DataFrame,
     left = members.withColumns({"bucket": F.xxhash64("h"), "least": F.lit(0), "highest": F.lit(length - GRAM)}).drop("h")
     done, shared = [], []
     while True:
-        sizes = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("pivot")).where("n > 1")
-        sizes = kept(sizes, "sizes")
-        done.append(left.join(sizes.where(F.col("n") <= most), "bucket", "left_semi").select("bucket", "context", "back", "ahead"))
-        large = sizes.where(F.col("n") > most).select("bucket", "pivot")
+        sizes = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("pivot"))
+        # Few rows: one for each ``most`` members at the most.
+        large = kept(sizes.where(F.col("n") > most).select("bucket", "pivot"), "large")
+        done.append(left.join(large, "bucket", "left_anti").select("bucket", "context", "back", "ahead"))
         if large.isEmpty():
             break
         pivots = left.select("bucket", F.col("context").alias("pivot"), F.col("back").alias("pivot_back"), F.col("ahead").alias("pivot_ahead"))
