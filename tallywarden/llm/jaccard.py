@@ -26,7 +26,7 @@ from tallywarden.operators.counterparties import linked_groups
 
 # Link at similarity of SHARE / 100 and more; words in an n-gram.
 SHARE, WORDS = 85, 4
-GROUPS = 256
+GROUPS = 128
 # Smallest members that name a document's leaders.
 LEADERS = 4
 # Part of the texts, picked by a hash, in which frequent n-grams are counted, and what counts as frequent there.
@@ -97,7 +97,7 @@ def same_set(s: np.ndarray) -> bytes:
 
 def point(s: np.ndarray) -> np.ndarray:
     """Group counts; if one is too large for a byte all are set to the largest, which bounds nothing."""
-    counts = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
+    counts = np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=GROUPS)
     return (counts if counts.max() < MOST_COUNT else np.full(GROUPS, MOST_COUNT)).astype(np.uint8)
 
 
@@ -259,8 +259,11 @@ def tree_pairs(members: DataFrame, share: int, points: int = POINTS) -> DataFram
     ``members`` has (key, sid, component, n, point). Keys with more than ``points`` members are dealt to
     parts, and each pair of parts is a task's work.
     """
-    parts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / points).cast("int").alias("parts"))
-    placed = members.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+    large = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / points).cast("int").alias("parts")).where("parts > 1")
+    # Few rows: one for each ``points`` members at the most.
+    parts = F.coalesce("parts", F.lit(1))
+    placed = members.join(kept(large, "large"), "key", "left").withColumn("parts", parts)
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     dealt = placed.select("key", "sid", "component", "n", "point", "part", other)
     dealt = dealt.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
@@ -336,13 +339,19 @@ def similar_groups(docs: DataFrame, words: int = WORDS, share: int = SHARE, poin
 
     first_links = links(led_pairs(classes, share))
     components = linked_groups(first_links, "a", "b").select(F.col("node").alias("sid"), F.col("group").alias("component"))
-    in_groups = classes.join(components, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    in_groups = kept(in_groups.select("sid", "component", "n", "point", "first"), "groups")
+    components = kept(components, "components")
+    # Only sets that may be in a group are shuffled to find it.
+    maybe = may_be_in(components, "sid")
+    columns = ["sid", "n", "point", "first"]
+    joined = classes.where(maybe).select(*columns).join(components, "sid", "left")
+    joined = joined.withColumn("component", F.coalesce("component", "sid"))
+    alone = classes.where(~maybe).select(*columns, F.col("sid").alias("component"))
+    in_groups = kept(joined.unionByName(alone), "groups")
     narrow = in_groups.select(F.explode("first").alias("key"), F.xxhash64("component").alias("c"))
     contested = narrow.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
     contested = kept(contested.select("key"), "contested")
     members = in_groups.select("sid", "component", "n", "point", F.explode("first").alias("key")).where(may_be_in(contested, "key"))
-    more_links = links(tree_pairs(members.join(contested, "key"), share, points))
+    more_links = links(tree_pairs(members, share, points))
 
     groups = linked_groups(first_links.unionByName(more_links), "a", "b")
     groups = known.where("n > 0").join(groups, F.col("sid") == F.col("node"), "left")

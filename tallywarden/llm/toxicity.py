@@ -22,12 +22,13 @@ from tallywarden.llm.common import importable, kept, text_key, whole
 
 # Labelled rows that words and weights are learned from, as expected number: a hash picks them.
 LEARN_ROWS = 20_000
-# Lengths of word beginnings that are tried as insults.
-SHORTEST, LONGEST = 4, 6
+# Lengths of word beginnings that are tried as insults; whole words are tried too, with WHOLE behind them.
+SHORTEST, LONGEST = 3, 8
+WHOLE = "$"
 # A beginning must occur in this many toxic texts, with this share of them among all that have it ...
 LEAST_TEXTS, PURITY = 6, 0.95
-# ... and must explain this many toxic texts that those chosen before don't.
-LEAST_NEW = 4
+# ... and must explain this many toxic texts that those chosen before don't, so that few overlap.
+LEAST_NEW = 1
 # Matches of one pattern beyond this add nothing.
 MOST_MATCHES = 4
 # Words for which a target or a negation stays in mind.
@@ -53,18 +54,19 @@ class Grammar:
     """The composed transducers for a given set of insulting word beginnings."""
 
     def __init__(self, stems: list[str]):
-        self.insults = frozenset(stems)
-        self.lengths = sorted({len(s) for s in stems})
+        self.words = frozenset(s.removesuffix(WHOLE) for s in stems if s.endswith(WHOLE))
+        self.insults = frozenset(s for s in stems if not s.endswith(WHOLE))
+        self.lengths = sorted({len(s) for s in self.insults})
         self.threats = frozenset(THREATS)
         self.roles = {w: role for role, ws in (("target", TARGETS), ("not", NEGATIONS), ("told", REPORTS)) for w in ws}
 
     def hits(self, words: list[str]) -> bool:
-        insults, threats = self.insults, self.threats
-        return any(w in threats for w in words) or any(w[:n] in insults for n in self.lengths for w in words)
+        insults, alone = self.insults, self.threats | self.words
+        return not alone.isdisjoint(words) or any(w[:n] in insults for n in self.lengths for w in words)
 
     def symbols(self, words: list[str]) -> Iterator[str]:
         for w in words:
-            if any(w[:n] in self.insults for n in self.lengths):
+            if w in self.words or any(w[:n] in self.insults for n in self.lengths):
                 yield "insult"
             elif w in self.threats:
                 yield "threat"
@@ -119,7 +121,14 @@ def learn_stems(texts: DataFrame) -> list[str]:
     """Word beginnings that mark toxic texts, chosen so that each explains texts the others don't."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{%d,})" % SHORTEST), F.lit(1)))
     starts = F.array_distinct(
-        F.flatten(F.transform(words, lambda w: F.array_distinct(F.array(*(F.substring(w, 1, n) for n in range(SHORTEST, LONGEST + 1))))))
+        F.flatten(
+            F.transform(
+                words,
+                lambda w: F.array(
+                    *(F.substring(w, 1, n) for n in range(SHORTEST, LONGEST + 1)), F.concat(w, F.lit(WHOLE))
+                ),
+            )
+        )
     )
     by_text = texts.select(F.xxhash64("text").alias("id"), "toxic", F.explode(starts).alias("stem"))
     pure = (
@@ -132,8 +141,8 @@ def learn_stems(texts: DataFrame) -> list[str]:
     left = {r["stem"]: set(r["ids"]) for r in marked.collect()}
     stems = []
     while left:
-        # The longer of equals, so that no more words than needed are caught.
-        best = max(left, key=lambda s: (len(left[s]), len(s), s))
+        # Of equals a beginning before a whole word, and the longer, so that no more words than needed are caught.
+        best = max(left, key=lambda s: (len(left[s]), not s.endswith(WHOLE), len(s), s))
         explained = left.pop(best)
         if len(explained) < LEAST_NEW:
             break
