@@ -24,7 +24,7 @@ from tallywarden.llm.common import importable, whole
 # Unicode disagree on which of these are letters, so texts that hold any are split by tokenizers itself.
 UNSETTLED = re.compile("[^\\x00-\u036f\u0400-\u0481\u048a-\u0527\u2010-\u2027\u20ac]")
 # Matches whose ids a worker remembers, and the longest of them; beyond that it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 LONGEST_REMEMBERED = 200
 # Texts given to the library at once are no longer than this, unless one is.
 CHARS_AT_ONCE = 1 << 20
