@@ -55,7 +55,7 @@ QUERIES = {
     "scan_sensitive": scan_sensitive,
 }
 
-_NORMAL = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+_NORMAL = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 _WEIGHED = "CASE WHEN (i % 2 = 0) THEN (d::int * 2) - (CASE WHEN d::int > 4 THEN 9 ELSE 0 END) ELSE d::int END"
 
 ORACLE = {

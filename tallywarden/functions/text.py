@@ -11,15 +11,25 @@ CARD = r"\b[0-9](?:[ -]?[0-9]){12,18}\b"
 
 
 def normalise(col: Column) -> Column:
-    """Lower case, letters and digits only, single spaces."""
-    spaced = F.regexp_replace(F.lower(col), "[^a-z0-9]+", " ")
-    return F.trim(spaced)
+    """Lower case, letters and digits of any script only, single spaces; null if none are left.
+
+    Texts without letters or digits say nothing about a name, so they must not equal each other.
+    """
+    spaced = F.trim(F.regexp_replace(F.lower(col), r"[^\p{L}\p{N}]+", " "))
+    return F.when(spaced != "", spaced)
 
 
 def pseudonym(salt: str, *cols: Column) -> Column:
-    """A salted token that is equal wherever the same values are hashed with the same salt."""
-    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in cols]
-    return F.sha2(F.concat_ws("|", F.lit(salt), *parts), 256)
+    """A salted token that is equal wherever the same values are hashed with the same salt.
+
+    A null value stays null, so that unknown values don't join with each other. Several
+    values are told apart by their lengths.
+    """
+    texts = [c.cast("string") for c in cols]
+    if len(texts) > 1:
+        texts = [F.concat(F.length(t).cast("string"), F.lit(":"), t) for t in texts]
+    # Unlike concat_ws, concat is null if a part is.
+    return F.sha2(F.concat(F.lit(salt), *(x for t in texts for x in (F.lit("|"), t))), 256)
 
 
 def masked(col: Column, keep: int, fill: str = "X") -> Column:

@@ -229,6 +229,17 @@ def test_pseudonyms_join_but_depend_on_the_salt(frame):
     a = [r["name"] for r in protection.pseudonymise(rows, ["name"], "s1").orderBy("id").collect()]
     b = [r["name"] for r in protection.pseudonymise(rows, ["name"], "s2").orderBy("id").collect()]
     assert a[0] == a[1] != a[2] and a[0] != b[0]
+    unknown = frame([(1, None), (2, "")], "id bigint, name string")
+    tokens = [r["name"] for r in protection.pseudonymise(unknown, ["name"], "s1").orderBy("id").collect()]
+    assert tokens[0] is None and tokens[1] is not None
+
+
+def test_screening_knows_other_scripts(frame):
+    rows = frame([(1, "Иван Петров"), (2, "王芳"), (3, "-- !"), (4, "Пётр Иванов")], "id bigint, name string")
+    listed = frame([("ИВАН  ПЕТРОВ",), ("?",)], "entry string")
+    exact = protection.screen_exact(rows, "name", listed, "entry")
+    fuzzy = protection.screen_fuzzy(rows, "name", listed, "entry", 1)
+    assert [r["id"] for r in exact.collect()] == [1] and [r["id"] for r in fuzzy.collect()] == [1]
 
 
 def test_fuzzy_screening_misses_nothing(frame):
@@ -252,7 +263,10 @@ def test_fuzzy_screening_misses_nothing(frame):
     for limit in (1, 2):
         got = protection.screen_fuzzy(rows, "name", listed, "entry", limit)
         want = sorted(
-            (a, b, distance(a, b)) for a, b in itertools.product(names, names[::4]) if distance(a, b) <= limit
+            (a, b, distance(a, b))
+            for a, b in itertools.product(names, names[::4])
+            # A name with nothing left of it matches none.
+            if a and b and distance(a, b) <= limit
         )
         assert sorted((r["name"], r["entry"], r["distance"]) for r in got.collect()) == want
 
