@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from tallywarden.plans.skew import BLOCK, ROWS_PER_TASK, cut_points, join_small, key_profile, with_blocks
+from tallywarden.plans.skew import BLOCK, ROWS_PER_TASK, Cuts, cut_points, join_sized, key_profile, with_blocks
 
 
 @dataclass(frozen=True)
@@ -19,7 +19,7 @@ class Ordering:
 
     keys: list[str]
     order: list[str]
-    cuts: DataFrame | None = None
+    cuts: Cuts | None = None
 
     def window(self, *more_keys: str) -> WindowSpec:
         return Window.partitionBy(*self.keys, *more_keys).orderBy(*self.order)
@@ -39,7 +39,7 @@ def ordering(df: DataFrame, keys: list[str], order: list[str], limit: int = ROWS
 def running_sums(df: DataFrame, by: Ordering, sums: dict[str, Column]) -> DataFrame:
     """Add running sums up to and including each row.
 
-    Large keys are summed block by block. What came before a block is the sum of
+    A sum is null before the first known value. Large keys are summed block by block. What came before a block is the sum of
     the earlier block totals, a table no longer than the list of cuts.
     """
     start = Window.unboundedPreceding
@@ -59,11 +59,11 @@ def running_sums(df: DataFrame, by: Ordering, sums: dict[str, Column]) -> DataFr
         BLOCK,
         *(F.sum(f"_before_{name}").over(by.through_blocks()).alias(f"_before_{name}") for name in sums),
     )
-    joined = join_small(local, before, [*by.keys, BLOCK], "left")
+    joined = join_sized(local, before, [*by.keys, BLOCK], by.cuts.small, "left")
     return joined.select(
         *df.columns,
         *(
-            (F.coalesce(F.col(f"_before_{name}"), F.lit(0)) + F.coalesce(F.col(name), F.lit(0)))
+            F.coalesce(F.col(f"_before_{name}") + F.col(name), f"_before_{name}", name)
             .cast(local.schema[name].dataType)
             .alias(name)
             for name in sums
@@ -100,7 +100,7 @@ def last_before(df: DataFrame, by: Ordering, values: dict[str, Column]) -> DataF
             for name in values
         ),
     )
-    joined = join_small(local, before, [*by.keys, BLOCK], "left")
+    joined = join_sized(local, before, [*by.keys, BLOCK], by.cuts.small, "left")
     return joined.select(
         *df.columns, *(F.coalesce(F.col(name), F.col(f"_before_{name}")).alias(name) for name in values)
     )
@@ -141,7 +141,8 @@ def trailing_totals(
 
     Spark adds up a sliding range frame again for every row. Here each instant
     enters once and leaves once ``span`` later, and the totals are running sums
-    over both, so the cost does not depend on how many rows a span holds.
+    over both, so the cost does not depend on how many rows a span holds. The amount
+    of a span without a known amount is null.
     """
     source = df.where(F.col(ts).isNotNull()).select(*keys, F.col(ts).alias("_ts"), amount.alias("_amount"))
     hot = bool(key_profile(source, keys, limit).hot)
@@ -149,19 +150,20 @@ def trailing_totals(
         # One shuffle then serves the grouping and the window.
         source = source.repartition(*keys)
     instants = source.groupBy(*keys, "_ts").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("_amount").alias("_amount")
+        F.count(F.lit(1)).alias("_n"), F.count("_amount").alias("_known"), F.sum("_amount").alias("_amount")
     )
     moves = instants.select(
         *keys,
         F.inline(
             F.array(
                 F.struct(
-                    F.col("_ts").alias("_at"), F.lit(0).alias("_leaves"), F.col("_n"), F.col("_amount")
+                    F.col("_ts").alias("_at"), F.lit(0).alias("_leaves"), F.col("_n"), F.col("_known"), F.col("_amount")
                 ),
                 F.struct(
                     (F.col("_ts") + F.expr(f"INTERVAL {span}")).alias("_at"),
                     F.lit(1).alias("_leaves"),
                     (-F.col("_n")).alias("_n"),
+                    (-F.col("_known")).alias("_known"),
                     (-F.col("_amount")).alias("_amount"),
                 ),
             )
@@ -169,5 +171,6 @@ def trailing_totals(
     )
     order = ["_at", "_leaves"]
     by = ordering(moves, keys, order, limit) if hot else Ordering(keys, order)
-    summed = running_sums(moves, by, {"n": F.col("_n"), "amount": F.col("_amount")})
-    return summed.where("_leaves = 0").select(*keys, F.col("_at").alias(ts), "n", "amount")
+    summed = running_sums(moves, by, {"n": F.col("_n"), "known": F.col("_known"), "amount": F.col("_amount")})
+    known_amount = F.when(F.col("known") > 0, F.col("amount")).alias("amount")
+    return summed.where("_leaves = 0").select(*keys, F.col("_at").alias(ts), "n", known_amount)

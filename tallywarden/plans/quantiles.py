@@ -31,7 +31,10 @@ def exact_quantiles(
     limit: int = VALUES_PER_TASK,
     profile: KeyProfile | None = None,
 ) -> DataFrame:
-    """One row per key with the interpolated quantiles named in ``probs``; nulls are ignored."""
+    """One row per key with the interpolated quantiles named in ``probs``.
+
+    Nulls are ignored; a key without values has no row.
+    """
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
     profile = profile or key_profile(rows, keys, limit)
     if not profile.hot:
@@ -56,7 +59,7 @@ def _by_bracket(rows: DataFrame, keys: list[str], probs: dict[str, float], limit
     sketch = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", edges, ACCURACY).alias("_edges")
     )
-    # The extreme quantiles are open ended. At most MAX_HOT_KEYS rows.
+    # The extreme quantiles are open ended. One row per large key.
     brackets = written(
         sketch.select(
             *keys,

@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, Row, Window, functions as F
 ROWS_PER_TASK = 5_000_000
 # Above this many rows a per-key table is joined by shuffle, not broadcast.
 BROADCAST_ROWS = 100_000
-# Bounds on what the driver holds: keys that are cut, cuts in total, sampled rows per cut.
-MAX_HOT_KEYS = 1_000
-MAX_PIECES = 2_000
+# Tables of large keys or cuts above this size are joined by shuffle as well.
+BROADCAST_BYTES = 64 << 20
+# Sampled rows per cut.
 SAMPLES_PER_PIECE = 20
 
 BLOCK = "_block"
@@ -39,8 +39,7 @@ class KeyProfile:
 def key_profile(df: DataFrame, keys: list[str], limit: int = ROWS_PER_TASK) -> KeyProfile:
     """Count rows by key and list the keys with more rows than one task should hold.
 
-    With many large keys, those below 1/MAX_HOT_KEYS of the table are left whole:
-    they are no larger than an ordinary task of such a table.
+    The list has fewer than rows / limit entries, whatever the table looks like.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     seen = counts.agg(
@@ -49,8 +48,7 @@ def key_profile(df: DataFrame, keys: list[str], limit: int = ROWS_PER_TASK) -> K
     rows, largest = seen["rows"] or 0, seen["largest"] or 0
     if largest <= limit:
         return KeyProfile(rows, seen["groups"])
-    floor = max(limit, rows // MAX_HOT_KEYS)
-    return KeyProfile(rows, seen["groups"], counts.where(F.col("_rows") > floor).collect())
+    return KeyProfile(rows, seen["groups"], counts.where(F.col("_rows") > limit).collect())
 
 
 def match(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -66,11 +64,22 @@ def join_small(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inn
     return match(df, F.broadcast(small), keys, how)
 
 
+def fits(rows: list) -> bool:
+    """Whether a table of these rows, held by the driver, is small enough to broadcast."""
+    return len(rows) <= BROADCAST_ROWS and sum(len(repr(r)) for r in rows) <= BROADCAST_BYTES
+
+
+def join_sized(df: DataFrame, other: DataFrame, keys: list[str], small: bool, how: str = "inner") -> DataFrame:
+    """Broadcast a table that was found small; else shuffle, where Spark splits skewed partitions."""
+    return join_small(df, other, keys, how) if small else match(df, other, keys, how)
+
+
 def split_hot(df: DataFrame, keys: list[str], profile: KeyProfile) -> tuple[DataFrame, DataFrame]:
     """The rows of ordinary keys and those of large keys."""
     names = [tuple(r[k] for k in keys) for r in profile.hot]
     hot = df.sparkSession.createDataFrame(names, df.select(*keys).schema)
-    return join_small(df, hot, keys, "left_anti"), join_small(df, hot, keys, "left_semi")
+    small = fits(names)
+    return join_sized(df, hot, keys, small, "left_anti"), join_sized(df, hot, keys, small, "left_semi")
 
 
 def attach(df: DataFrame, per_key: DataFrame, keys: list[str], profile: KeyProfile) -> DataFrame:
@@ -85,28 +94,30 @@ def attach(df: DataFrame, per_key: DataFrame, keys: list[str], profile: KeyProfi
         return match(df, per_key, keys)
     ordinary, large = split_hot(df, keys, profile)
     few, some = split_hot(per_key, keys, profile)
-    return match(ordinary, few, keys).unionByName(join_small(large, some, keys))
+    return match(ordinary, few, keys).unionByName(join_sized(large, some, keys, fits(profile.hot)))
+
+
+@dataclass(frozen=True)
+class Cuts:
+    """Where large keys are cut, and whether tables of one row per key or block may be broadcast."""
+
+    table: DataFrame
+    small: bool
 
 
-def cut_points(
-    df: DataFrame, keys: list[str], order: list[str], limit: int = ROWS_PER_TASK
-) -> DataFrame | None:
+def cut_points(df: DataFrame, keys: list[str], order: list[str], limit: int = ROWS_PER_TASK) -> Cuts | None:
     """For each large key, the sorted ordering values at which to cut it; None if no key is large.
 
-    ``_cuts`` holds the values in chunks of ``_width``, so that a row finds its
+    There are at most about rows / limit cuts in all, which is what the driver holds. ``_cuts`` holds the values in chunks of ``_width``, so that a row finds its
     place by looking through the chunk heads and then through one chunk.
     """
     hot = key_profile(df, keys, limit).hot
     if not hot:
         return None
     spark = df.sparkSession
-    piece = max(limit, sum(r["_rows"] for r in hot) // MAX_PIECES)
-    rates = [(*(r[k] for k in keys), SAMPLES_PER_PIECE / piece) for r in hot]
-    key_types = df.select(*keys).schema
-    rate_schema = key_types.add("_rate", "double")
-    sampled = join_small(
-        df.select(*keys, F.struct(*order).alias("_at")), spark.createDataFrame(rates, rate_schema), keys
-    ).where(F.rand(11) < F.col("_rate"))
+    names = [tuple(r[k] for k in keys) for r in hot]
+    some = df.select(*keys, F.struct(*order).alias("_at")).where(F.rand(11) < SAMPLES_PER_PIECE / limit)
+    sampled = join_sized(some, spark.createDataFrame(names, df.select(*keys).schema), keys, fits(names))
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_at"))
     picked = (
         sampled.withColumn("_nth", nth)
@@ -123,13 +134,15 @@ def cut_points(
     if not rows:
         return None
     schema = df.select(*keys, F.array(F.array(F.struct(*order))).alias("_cuts")).schema
-    return spark.createDataFrame(rows, schema.add("_width", "integer"))
+    # Totals per block have one more row per key than there are cuts.
+    blocks = [cut for r in rows for chunk in r[-2] for cut in chunk] + rows
+    return Cuts(spark.createDataFrame(rows, schema.add("_width", "integer")), fits(blocks))
 
 
-def with_blocks(df: DataFrame, keys: list[str], order: list[str], cuts: DataFrame) -> DataFrame:
+def with_blocks(df: DataFrame, keys: list[str], order: list[str], cuts: Cuts) -> DataFrame:
     """Add the block number of each row; keys that are not cut are one block, 0."""
     at = F.struct(*order)
-    joined = join_small(df, cuts, keys, "left")
+    joined = join_sized(df, cuts.table, keys, cuts.small, "left")
     chunk = F.size(F.filter("_cuts", lambda c: c[0] <= at))
     inside = F.size(F.filter(F.get("_cuts", chunk - 1), lambda c: c <= at))
     number = F.when(F.coalesce(chunk, F.lit(0)) <= 0, 0).otherwise((chunk - 1) * F.col("_width") + inside)

@@ -29,7 +29,8 @@ def skewed(spark):
         key = 1 if i % 3 else (None if i % 27 == 0 else rng.randint(2, 60))
         # Many instants are shared, one of them by a large part of the large key.
         minute = 500 if rng.random() < 0.2 else rng.randint(0, 900)
-        value = None if rng.random() < 0.05 else round(rng.gauss(100, 30), 2)
+        # One small key has no known value at all.
+        value = None if key == 7 or rng.random() < 0.05 else round(rng.gauss(100, 30), 2)
         rows.append((i, key, minute, value))
     frame = spark.createDataFrame(rows, "id bigint, key bigint, minute int, value double")
     return frame.withColumn(
@@ -76,10 +77,10 @@ def test_running_sums(skewed):
     w = Window.partitionBy("key").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
     cents = F.round(F.col("value") * 100).cast("bigint")
     want = skewed.select(
-        "id", F.coalesce(F.sum(cents).over(w), F.lit(0)).alias("s"), F.sum(F.lit(1)).over(w).alias("n")
+        "id", F.sum(cents).over(w).alias("s"), F.sum(F.lit(1)).over(w).alias("n")
     )
     got = running_sums(skewed, by(skewed), {"s": cents, "n": F.lit(1)})
-    assert collected(got.select("id", F.coalesce("s", F.lit(0)), "n")) == collected(want)
+    assert collected(got.select("id", "s", "n")) == collected(want)
 
 
 def test_last_before(skewed):
@@ -107,18 +108,18 @@ def test_trailing_totals_include_both_ends_and_ties(skewed, limit):
     skewed.createOrReplaceTempView("skewed")
     want = skewed.sparkSession.sql(
         """SELECT DISTINCT key, ts, count(*) OVER w AS n,
-                  coalesce(sum(cast(round(value * 100) AS bigint)) OVER w, 0) AS amount
+                  sum(cast(round(value * 100) AS bigint)) OVER w AS amount
            FROM skewed WINDOW w AS (PARTITION BY key ORDER BY ts
                                     RANGE BETWEEN INTERVAL 30 MINUTES PRECEDING AND CURRENT ROW)"""
     )
     got = trailing_totals(skewed, ["key"], "ts", "30 MINUTES", cents, limit)
-    assert collected(got.select("key", "ts", "n", F.coalesce("amount", F.lit(0)))) == collected(want)
+    assert collected(got.select("key", "ts", "n", "amount")) == collected(want)
 
 
 def test_quantiles(skewed):
     probs = {"lo": 0.0, "q1": 0.25, "mid": 0.5, "p99": 0.99, "hi": 1.0}
     got = exact_quantiles(skewed, ["key"], "value", probs, LIMIT)
-    want = skewed.groupBy("key").agg(*(F.percentile("value", p).alias(n) for n, p in probs.items()))
+    want = skewed.where("value IS NOT NULL").groupBy("key").agg(*(F.percentile("value", p).alias(n) for n, p in probs.items()))
     ours, theirs = ({r["key"]: r for r in x.collect()} for x in (got, want))
     assert ours.keys() == theirs.keys()
     for key, row in theirs.items():
@@ -152,3 +153,22 @@ def test_attach_gives_the_same_rows_by_every_join(skewed, monkeypatch):
     assert len(want) == 3000
     assert collected(split) == want
     assert collected(whole) == want
+
+
+def test_every_large_key_is_cut_however_many_there_are(spark):
+    df = spark.range(200_000).select((F.col("id") % 2_000).alias("key"), "id")
+    assert len(key_profile(df, ["key"], LIMIT).hot) == 2_000
+    blocks = with_blocks(df, ["key"], ["id"], cut_points(df, ["key"], ["id"], LIMIT // 2))
+    sizes = blocks.groupBy("key", "_block").count()
+    assert sizes.agg(F.max("count")).first()[0] < 4 * LIMIT
+    assert sizes.agg(F.sum("count")).first()[0] == 200_000
+
+
+@pytest.mark.parametrize("most", [1, 10**6])
+def test_blocks_are_the_same_by_broadcast_and_by_shuffle(skewed, monkeypatch, most):
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", most)
+    w = Window.partitionBy("key").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
+    want = skewed.select("id", F.sum("minute").over(w))
+    cut = by(skewed)
+    assert cut.cuts.small == (most > 1)
+    assert collected(running_sums(skewed, cut, {"s": F.col("minute")}).select("id", "s")) == collected(want)
