@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywarden.catalogue.common import VARIANCE, rounded
+from tallywarden.catalogue.common import rounded
 from tallywarden.operators import amounts as ops
 from tallywarden.operators.amounts import BENFORD
 from tallywarden.sources.tables import load
@@ -93,11 +93,11 @@ _CHI2 = " + ".join(f"d{d}::double * d{d} / (n * {p!r}::double)" for d, p in enum
 _DIGIT_COUNTS = ", ".join(f"count(*) FILTER (digit = '{d}') AS d{d}" for d in range(1, 10))
 
 ORACLE = {
-    "zscore_global": f"""
+    "zscore_global": """
         WITH c AS (SELECT *, round(value * 100)::bigint AS cents FROM events),
-        m AS (SELECT count(*) AS n, sum(cents::hugeint) AS s, sum(cents::hugeint * cents) AS ss FROM c),
+        m AS (SELECT count(*) AS n, sum(cents::hugeint) AS s, stddev_samp(cents::double) AS sd FROM c),
         z AS (SELECT event_id, user_id, value,
-                     (cents::double - s::double / n::double) / sqrt({VARIANCE}) AS zscore FROM c, m)
+                     (cents::double - s::double / n::double) / sd AS zscore FROM c, m)
         SELECT event_id, user_id, round(value, 4) AS value, round(zscore, 4) AS zscore
         FROM z WHERE abs(zscore) > 3
     """,
@@ -119,14 +119,14 @@ ORACLE = {
                round((q3 + 1.5::double * (q3 - q1)) / 100, 4) AS fence
         FROM c JOIN q USING (event_type) WHERE cents > q3 + 1.5::double * (q3 - q1)
     """,
-    "prior_zscore": f"""
+    "prior_zscore": """
         WITH c AS (SELECT *, round(o_totalprice * 100)::bigint AS cents FROM orders),
         w AS (SELECT o_orderkey, o_custkey, cents, count(*) OVER p AS n,
-                     sum(cents::hugeint) OVER p AS s, sum(cents::hugeint * cents) OVER p AS ss
+                     sum(cents::hugeint) OVER p AS s, stddev_samp(cents::double) OVER p AS sd
               FROM c WINDOW p AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-        z AS (SELECT *, (cents::double - s::double / n::double) / sqrt({VARIANCE}) AS zscore
-              FROM w WHERE n >= 5 AND {VARIANCE} > 0)
+        z AS (SELECT *, (cents::double - s::double / n::double) / sd AS zscore
+              FROM w WHERE n >= 5 AND sd > 1e-6)
         SELECT o_orderkey, o_custkey, n AS n_prior, round(zscore, 4) AS zscore FROM z WHERE abs(zscore) > 3
     """,
     "rolling_median": """

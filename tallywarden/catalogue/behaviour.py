@@ -120,7 +120,7 @@ ORACLE = {
     """,
     "sequence": """
         SELECT b.event_id, b.user_id, b.ts, max(a.ts) AS first_ts FROM events b JOIN events a USING (user_id)
-        WHERE b.event_type = 'purchase' AND a.event_type = 'error' AND (a.ts, a.event_id) < (b.ts, b.event_id)
+        WHERE b.event_type = 'purchase' AND a.event_type = 'error' AND a.ts < b.ts
           AND b.ts <= a.ts + INTERVAL 30 MINUTES
         GROUP BY ALL
     """,

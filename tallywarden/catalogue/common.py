@@ -4,10 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Exact-sum expressions on the SQL side, matching tallywarden.functions.exact.
-VARIANCE = "((ss::double - s::double * s::double / n::double) / (n::double - 1))"
-
-
 def rounded(name: str | Column, digits: int = 4, alias: str | None = None) -> Column:
     """Round for comparison; adding zero turns -0.0 into 0.0."""
     if isinstance(name, str):

@@ -51,7 +51,7 @@ def write_alerts_query(spark, sf_dir):
     hits = amounts.iqr_fence(events, "event_type", "value", 1.5)
     path = shared_folder(spark, "alerts")
     alerts = to_alerts(hits, "iqr_fence", "user_id", F.col("value"), F.col("event_type"), "event_id")
-    write_alerts(alerts, path, "2024-02-01")
+    write_alerts(alerts, path, "2024-02-01", ["iqr_fence"])
     return read_alerts(spark, path)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallywarden.catalogue.common import VARIANCE, rounded
+from tallywarden.catalogue.common import rounded
 from tallywarden.session import shared_folder
 from tallywarden.sources.alerts import to_alerts
 from tallywarden.sources.tables import load, stream_events
@@ -135,14 +135,14 @@ ORACLE = {
     "stream_enrich": """
         SELECT event_id, user_id, ts, c_mktsegment, c_nationkey FROM events LEFT JOIN customer ON user_id = c_custkey
     """,
-    "stream_profile": f"""
+    "stream_profile": """
         WITH c AS (SELECT *, round(value * 100)::bigint AS cents FROM events),
         w AS (SELECT event_id, user_id, ts, cents, count(*) OVER p AS n, sum(cents::hugeint) OVER p AS s,
-                     sum(cents::hugeint * cents) OVER p AS ss
+                     stddev_samp(cents::double) OVER p AS sd
               FROM c WINDOW p AS (PARTITION BY user_id ORDER BY ts, event_id
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-        z AS (SELECT *, (cents::double - s::double / n::double) / sqrt({VARIANCE}) AS zscore
-              FROM w WHERE n >= 5 AND {VARIANCE} > 0)
+        z AS (SELECT *, (cents::double - s::double / n::double) / sd AS zscore
+              FROM w WHERE n >= 5 AND sd > 1e-6)
         SELECT event_id, user_id, ts, n AS n_prior, round(zscore, 4) AS zscore FROM z WHERE abs(zscore) > 4
     """,
     "stream_alerts": """

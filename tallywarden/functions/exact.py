@@ -34,10 +34,21 @@ def mean(n: Column, s: Column) -> Column:
 
 
 def covariance(n: Column, sx: Column, sy: Column, sxy: Column) -> Column:
-    """Sample covariance from exact sums; null for fewer than two rows."""
-    n = n.cast("double")
-    spread = sxy.cast("double") - sx.cast("double") * sy.cast("double") / n
-    return F.when(n > 1, F.try_divide(spread, n - 1))
+    """Sample covariance from exact sums; null for fewer than two rows.
+
+    The sums are first moved, as integers, to the whole numbers next to the means. Only what is
+    left becomes a double, so that large values with a small spread keep their digits.
+    """
+    whole = n.cast("decimal(20,0)")
+
+    def near_mean(s: Column) -> Column:
+        return F.rint(mean(n, s)).cast("decimal(18,0)")
+
+    qx, qy = near_mean(sx), near_mean(sy)
+    rx, ry = sx - whole * qx, sy - whole * qy
+    moved = (sxy - qx * sy - qy * rx).cast("double")
+    spread = moved - F.try_divide(rx.cast("double") * ry.cast("double"), n.cast("double"))
+    return F.when(n > 1, F.try_divide(spread, n.cast("double") - 1))
 
 
 def deviation(n: Column, s: Column, ss: Column) -> Column:

@@ -58,15 +58,17 @@ def asof_last(
 ) -> DataFrame:
     """For each row of ``later``, the time and value of the latest row of ``earlier`` before it.
 
+    Before means strictly earlier; of several at the latest instant the one with the largest ``tie`` counts.
     Both sides are merged into one ordered pass, so no pairs are compared. Rows
     of ``later`` without an earlier row have nulls.
     """
+    # At one instant the wanted rows come first, so that its marks are not before them.
     marks = earlier.select(
         entity, ts, tie, F.lit(False).alias("_wanted"), F.struct(F.col(ts), F.col(value)).alias("_mark")
     )
     wanted = later.select(entity, ts, tie, F.lit(True).alias("_wanted"), F.lit(None).alias("_mark"))
-    merged = marks.unionByName(wanted)
-    by = ordering(merged, [entity], [ts, tie, "_wanted"], limit)
+    merged = marks.unionByName(wanted).withColumn("_mark_side", ~F.col("_wanted"))
+    by = ordering(merged, [entity], [ts, "_mark_side", tie], limit)
     found = last_before(merged, by, {"_last": F.col("_mark")})
     return found.where("_wanted").select(
         entity, ts, tie, F.col("_last")[ts].alias("last_ts"), F.col("_last")[value].alias("last_value")
@@ -85,12 +87,16 @@ def sequence(
 ) -> DataFrame:
     """Rows matching ``then`` with a row matching ``first`` at most ``span`` before, each once.
 
-    Only the latest ``first`` row can decide that, so it is looked up instead of joined.
+    Before means strictly earlier. Only the latest ``first`` row can decide that, so it is looked up
+    instead of joined. A row that matches both plays both parts.
     """
-    kept = df.where(first | then)
-    by = ordering(kept, [entity], [ts, tie], limit)
-    found = last_before(kept, by, {"first_ts": F.when(first, F.col(ts))})
-    return found.where(then & (F.col(ts) <= F.col("first_ts") + F.expr(f"INTERVAL {span}")))
+    # At one instant the rows that ask come before those that answer.
+    parts = F.array_compact(F.array(F.when(then, 0), F.when(first, 1)))
+    kept = df.where(first | then).select("*", F.explode(parts).alias("_part"))
+    by = ordering(kept, [entity], [ts, "_part", tie], limit)
+    found = last_before(kept, by, {"first_ts": F.when(F.col("_part") == 1, F.col(ts))})
+    soon = F.col(ts) <= F.col("first_ts") + F.expr(f"INTERVAL {span}")
+    return found.where((F.col("_part") == 0) & soon).drop("_part")
 
 
 def sessions(

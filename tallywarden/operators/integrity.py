@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallywarden.functions.exact import scaled, total
 from tallywarden.plans.ordered import Ordering, last_before, ordering
-from tallywarden.plans.skew import ROWS_PER_TASK
+from tallywarden.plans.skew import ROWS_PER_TASK, match
 from tallywarden.session import written
 
 
@@ -149,7 +149,7 @@ def near_duplicates(
         )
 
     return (
-        placed.join(seen, [entity, "_row", "_col"])
+        match(placed, seen, [entity, "_row", "_col"])
         .where((F.col("_mine") > 1) | F.exists("_around", near))
         .select(*df.columns)
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import re
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from tallywarden.schemas import ALERT
 
@@ -25,20 +27,33 @@ def to_alerts(
     )
 
 
-def write_alerts(df: DataFrame, path: str, run_date: str) -> None:
-    """Write alerts partitioned by run date and detector, replacing only that run's detectors.
+def write_alerts(df: DataFrame, path: str, run_date: str, detectors: list[str]) -> None:
+    """Write the alerts of ``detectors``, partitioned by run date and detector.
 
-    Rebalancing gathers a detector's rows into few files, and still splits a busy
-    detector over several tasks.
+    What an earlier run of the same date left for these detectors is replaced, also where
+    nothing was found this time. Other detectors keep theirs; alerts of detectors that are
+    not listed raise an error. Rebalancing gathers a detector's rows into few files, and
+    still splits a busy detector over several tasks.
     """
+    strange = [d for d in detectors if not re.fullmatch(r"[A-Za-z0-9_-]+", d)]
+    if strange:
+        raise ValueError(f"not the name of a detector: {strange}")
+    listed = F.coalesce(F.col("detector").isin(detectors), F.lit(False))
+    checked = df.where(listed | F.raise_error(F.lit("an alert's detector is not listed")).cast("boolean"))
+    found = Observation()
     (
-        df.withColumn("run_date", F.to_date(F.lit(run_date)))
+        checked.observe(found, *(F.count_if(F.col("detector") == d).alias(d) for d in detectors))
+        .withColumn("run_date", F.to_date(F.lit(run_date)))
         .hint("rebalance", "detector")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("run_date", "detector")
         .parquet(path)
     )
+    nothing = df.sparkSession.createDataFrame([], df.drop("detector").schema)
+    # Metrics of an input that Spark found to be empty can be missing.
+    for detector in (d for d in detectors if not found.get.get(d)):
+        nothing.write.mode("overwrite").parquet(f"{path}/run_date={run_date}/detector={detector}")
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Small cases worked out by hand: empty input, no spread, nulls, ties, values on the threshold."""
 
+import statistics
 from datetime import datetime, timedelta
 
 import pytest
@@ -135,7 +136,7 @@ def test_asof_takes_the_latest_earlier_row(frame):
     earlier = frame([(1, 1, at(0), 1.0), (2, 1, at(10), 2.0), (3, 2, at(0), 3.0)])
     later = frame([(4, 1, at(10), 0.0), (5, 1, at(11), 0.0), (6, 3, at(1), 0.0)])
     found = behaviour.asof_last(earlier, later, "who", "ts", "id", "amount").orderBy("id").collect()
-    assert [(r["id"], r["last_value"]) for r in found] == [(4, 2.0), (5, 2.0), (6, None)]
+    assert [(r["id"], r["last_value"]) for r in found] == [(4, 1.0), (5, 2.0), (6, None)]
 
 
 def test_drift_gives_empty_bins_a_small_share(frame):
@@ -319,11 +320,17 @@ def test_writing_a_run_again_replaces_only_its_own_rows(spark, frame, tmp_path):
     rows = frame([(1, 7, at(0), 5.0), (2, 8, at(0), 6.0)])
     alerts = {d: to_alerts(rows, d, "who", F.col("amount"), F.lit("x"), "id") for d in ("a", "b")}
     path = f"{tmp_path}/alerts"
-    write_alerts(alerts["a"].unionByName(alerts["b"]), path, "2024-01-01")
-    write_alerts(alerts["a"].where("entity_id = 7"), path, "2024-01-01")
-    write_alerts(alerts["a"], path, "2024-01-02")
+    write_alerts(alerts["a"].unionByName(alerts["b"]), path, "2024-01-01", ["a", "b"])
+    write_alerts(alerts["a"].where("entity_id = 7"), path, "2024-01-01", ["a"])
+    write_alerts(alerts["a"], path, "2024-01-02", ["a"])
     counts = read_alerts(spark, path).groupBy("detector", F.col("run_date").cast("string")).count().collect()
     assert sorted(map(tuple, counts)) == [("a", "2024-01-01", 1), ("a", "2024-01-02", 2), ("b", "2024-01-01", 2)]
+    # A run that finds nothing leaves nothing of the earlier one, and other detectors as they were.
+    write_alerts(alerts["a"].where("false"), path, "2024-01-01", ["a"])
+    counts = read_alerts(spark, path).groupBy("detector", F.col("run_date").cast("string")).count().collect()
+    assert sorted(map(tuple, counts)) == [("a", "2024-01-02", 2), ("b", "2024-01-01", 2)]
+    with pytest.raises(Exception, match="not listed"):
+        write_alerts(alerts["b"], path, "2024-01-01", ["a"])
 
 
 def test_near_duplicates_refuse_an_empty_grid(frame):
@@ -370,3 +377,40 @@ def test_linked_groups_report_a_limit_that_is_too_low(frame):
 def test_multivariate_flags_the_far_row(frame):
     rows = [(i, i % 2, at(i), (10.0 if i % 2 else 100.0) + i % 3) for i in range(400)] + [(999, 0, at(0), 160.0)]
     assert ids(amounts.multivariate(frame(rows), ["amount"], 2, 5.0)) == [999]
+
+
+def test_scores_of_large_amounts_with_a_small_spread(frame):
+    amounts_ = [50_000_000.00, 50_000_000.01, 50_000_000.02] * 4 + [50_000_005.00]
+    rows = frame([(i, 1, at(i), a) for i, a in enumerate(amounts_)])
+    (hit,) = amounts.prior_zscore(rows, "who", ["ts", "id"], "amount", 5, 100.0).collect()
+    cents = [round(a * 100) for a in amounts_[:-1]]
+    assert hit["zscore"] == pytest.approx((5_000_000_500 - statistics.mean(cents)) / statistics.stdev(cents), rel=1e-9)
+    everything = [*cents, 5_000_000_500]
+    (hit,) = amounts.zscore_global(rows, "amount", 3.0).collect()
+    assert hit["zscore"] == pytest.approx(
+        (5_000_000_500 - statistics.mean(everything)) / statistics.stdev(everything), rel=1e-9
+    )
+
+
+def test_unknown_amounts_give_an_unknown_total_whatever_the_plan(frame):
+    # One entity is large; the other has a known amount long before a span with none.
+    rows = frame([(i, 1, at(i), 1.0) for i in range(40)] + [(100, 2, at(0), 3.0), (101, 2, at(600), None), (102, 2, at(601), None)])
+    for limit in (5, 10**6):
+        totals = behaviour.trailing_totals(rows, ["who"], "ts", "60 MINUTES", F.col("amount"), limit).where("who = 2")
+        assert sorted((r["n"], r["amount"]) for r in totals.collect() if r["amount"] is None) == [(1, None), (2, None)]
+
+
+def test_before_means_strictly_earlier(frame):
+    rows = frame([(1, 1, at(0), 1.0), (2, 1, at(5), 2.0), (3, 1, at(5), 3.0), (4, 2, at(5), 4.0), (5, 2, at(5), 5.0)])
+    marks, wanted = rows.where("id <> 3"), rows.where("id = 3 OR id = 5")
+    found = behaviour.asof_last(marks, wanted, "who", "ts", "id", "amount").collect()
+    assert sorted((r["id"], r["last_value"]) for r in found) == [(3, 1.0), (5, None)]
+    first, then = F.col("id") != 3, F.col("id").isin(2, 3, 5)
+    hits = behaviour.sequence(rows, "who", "ts", "id", first, then, "1 HOUR").collect()
+    assert sorted(r["id"] for r in hits) == [2, 3]
+
+
+def test_near_duplicates_of_an_unknown_entity_are_found(frame):
+    rows = frame([(1, None, at(0), 5.0), (2, None, at(1), 5.0), (3, 4, at(0), 5.0)])
+    hits = integrity.near_duplicates(rows, "who", "id", "ts", "amount", 1, 3).collect()
+    assert sorted(r["id"] for r in hits) == [1, 2]
