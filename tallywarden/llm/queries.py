@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallywarden.llm import byte_bpe, chat, jaccard, lines, mixing, nearest, repeats, token_counts, toxicity, winnowing
+from tallywarden.llm import byte_bpe, chat, jaccard, lines, merkle, mixing, nearest, repeats, token_counts, toxicity, winnowing
 from tallywarden.llm.common import documents
+from tallywarden.llm.oracle import merkle_sql
 
 # Parts of the training mixture in bytes; all other sources share what is left.
 SHARES = {"src0": 0.10, "src1": 0.08, "src2": 0.08, "src3": 0.02}
@@ -58,6 +59,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return merkle.manifest(docs, merkle.tampered(docs))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -71,6 +77,7 @@ QUERIES = {
         op8_token_counts,
         op9_toxic_grammar,
         op10_byte_bpe,
+        op13_merkle_manifest,
     )
 }
 
@@ -148,4 +155,5 @@ ORACLE = {
     ),
     "op3_voronoi_topk": TOPK_SQL,
     "op5_chat_format": CHAT_SQL,
+    "op13_merkle_manifest": merkle_sql(),
 }
