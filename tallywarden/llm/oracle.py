@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywarden.llm import merkle
+from tallywarden.llm import merkle, prefix_trie
 
 
 def crc32_sql(text: str) -> str:
@@ -66,3 +66,34 @@ subroots AS (SELECT tree AS part, node, row_number() OVER (ORDER BY tree) - 1 AS
 {_follow('high', f"SELECT doc_id, '' AS tree, s.pos AS pos, leaf, s.node AS subroot, folded, proof FROM doc_{levels} d JOIN subroots s ON s.part = d.tree", 'top', upper)}
 SELECT doc_id, leaf, subroot, t.node AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t.node AS verified
 FROM high_{upper} JOIN top_{upper} t ON true"""
+
+
+def trie_sql() -> str:
+    """``prefix_trie.rebuilt_trie``; a node is named by the digests of its turns in a row."""
+    return f"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, md5(length(role) || '|' || role || text) AS key, strlen(text) AS size,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM said),
+ids AS (
+  SELECT conv_id, conv_id - conv_id % {prefix_trie.BLOCK} AS base,
+    {crc32_sql('conv_id::VARCHAR')} % {prefix_trie.MOST_BORROWED + 1} AS h FROM (SELECT DISTINCT conv_id FROM own)),
+turns AS (
+  SELECT i.conv_id, 0 AS part, n, key, size FROM ids i JOIN own o ON o.conv_id = i.base WHERE n <= h
+  UNION ALL SELECT i.conv_id, 1, n, key, size FROM ids i JOIN own o ON o.conv_id = i.conv_id WHERE n > h),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part, n) AS pos FROM turns),
+steps AS (
+  SELECT conv_id, pos, size, string_agg(key, '') OVER (PARTITION BY conv_id ORDER BY pos) AS path,
+    pos = count(*) OVER (PARTITION BY conv_id) AS last FROM placed
+  UNION ALL SELECT conv_id, 0, 0, '', NOT EXISTS (SELECT 1 FROM placed p WHERE p.conv_id = i.conv_id) FROM ids i),
+nodes AS (
+  SELECT path, any_value(pos) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM steps GROUP BY path),
+children AS (SELECT path[1:-33] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+counted AS (SELECT d.*, coalesce(c.n, 0) AS n_children FROM nodes d LEFT JOIN children c USING (path)),
+sums AS (
+  SELECT a.path, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.size)::BIGINT AS saved_tokens
+  FROM counted a JOIN counted b ON b.depth >= a.depth AND starts_with(b.path, a.path) GROUP BY a.path)
+SELECT c.conv_id, c.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves, saved_tokens, c.ends_sha256
+FROM counted c JOIN sums USING (path) LEFT JOIN nodes p ON c.depth > 0 AND p.path = c.path[1:-33]"""

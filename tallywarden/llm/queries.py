@@ -4,9 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallywarden.llm import byte_bpe, chat, jaccard, lines, merkle, mixing, nearest, repeats, token_counts, toxicity, winnowing
+from tallywarden.llm import (
+    byte_bpe,
+    chat,
+    jaccard,
+    lines,
+    merkle,
+    mixing,
+    nearest,
+    prefix_trie,
+    repeats,
+    token_counts,
+    toxicity,
+    winnowing,
+)
 from tallywarden.llm.common import documents
-from tallywarden.llm.oracle import merkle_sql
+from tallywarden.llm.oracle import merkle_sql, trie_sql
 
 # Parts of the training mixture in bytes; all other sources share what is left.
 SHARES = {"src0": 0.10, "src1": 0.08, "src2": 0.08, "src3": 0.02}
@@ -59,6 +72,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return merkle.manifest(docs, merkle.tampered(docs))
@@ -77,6 +94,7 @@ QUERIES = {
         op8_token_counts,
         op9_toxic_grammar,
         op10_byte_bpe,
+        op11_prefix_trie,
         op13_merkle_manifest,
     )
 }
@@ -155,5 +173,6 @@ ORACLE = {
     ),
     "op3_voronoi_topk": TOPK_SQL,
     "op5_chat_format": CHAT_SQL,
+    "op11_prefix_trie": trie_sql(),
     "op13_merkle_manifest": merkle_sql(),
 }
