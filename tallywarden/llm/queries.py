@@ -8,6 +8,7 @@ from tallywarden.llm import (
     byte_bpe,
     chat,
     jaccard,
+    language_model,
     lines,
     merkle,
     mixing,
@@ -76,6 +77,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.rebuilt_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(documents(spark, sf_dir), language_model.seventh_held_out())
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return merkle.manifest(docs, merkle.tampered(docs))
@@ -95,6 +100,7 @@ QUERIES = {
         op9_toxic_grammar,
         op10_byte_bpe,
         op11_prefix_trie,
+        op12_elias_fano_lm,
         op13_merkle_manifest,
     )
 }
