@@ -20,7 +20,6 @@ N and V are 0 and every token has probability 1. Columns of other names are not
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,7 +34,7 @@ from tallywarden.llm.ngram_trie import DISCOUNT, STEPS, NgramTrie
 from tallywarden.plans.skew import match
 
 # UTF-8 bytes of text that one shard's words come from, and that one batch of triples is taken from.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 10 << 20
 PIECE_BYTES = 8 << 20
 # Documents (expected) that frequent words are looked for in, and the least share of tokens looked for.
 SAMPLED, LEAST_SHARE = 2_000, 1e-4
@@ -57,18 +56,19 @@ def lower_ascii(text: Column) -> Column:
 
 
 def packed(*arrays: np.ndarray | bytes) -> bytes:
-    """Arrays and byte strings in one compressed block; integers are split into planes of bytes."""
+    """Arrays and byte strings in one compressed block; integers from 0 up go as planes of their bytes."""
     parts, head = [], []
     for a in arrays:
         if isinstance(a, bytes):
-            parts.append(a)
-            head.append((0, len(a)))
+            kind, part = -1, a
+        elif a.dtype.kind == "f":
+            kind, part = 0, a.tobytes()
         else:
-            kind = {"int32": 4, "int64": 8, "float64": 9}[a.dtype.name]
-            parts.append(a.tobytes() if kind == 9 else a.view(np.uint8).reshape(-1, kind).T.tobytes())
-            head.append((kind, a.nbytes))
-    front = struct.pack("<q", len(head)) + b"".join(struct.pack("<qq", *h) for h in head)
-    return zstandard.ZstdCompressor(level=1).compress(front + b"".join(parts))
+            kind = max(1, -(-int(a.max()).bit_length() // 8)) if a.size else 1
+            part = b"".join((a >> 8 * k).astype(np.uint8).tobytes() for k in range(kind))
+        parts.append(part)
+        head.append(struct.pack("<qq", kind, len(part)))
+    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<q", len(head)) + b"".join(head + parts))
 
 
 def unpacked(block: bytes) -> list[np.ndarray | bytes]:
@@ -79,13 +79,17 @@ def unpacked(block: bytes) -> list[np.ndarray | bytes]:
         kind, size = struct.unpack_from("<qq", data, 8 + 16 * i)
         part = data[at : at + size]
         at += size
-        if kind == 0:
+        if kind < 0:
             out.append(part)
-        elif kind == 9:
+        elif kind == 0:
             out.append(np.frombuffer(part, np.float64))
         else:
+            wide = np.int32 if kind < 4 else np.int64
             planes = np.frombuffer(part, np.uint8).reshape(kind, -1)
-            out.append(np.ascontiguousarray(planes.T).view({4: np.int32, 8: np.int64}[kind]).ravel())
+            value = planes[0].astype(wide)
+            for k in range(1, kind):
+                value |= planes[k].astype(wide) << 8 * k
+            out.append(value)
     return out
 
 
@@ -97,72 +101,91 @@ def table_of(rows: dict[str, object], n: int) -> pa.RecordBatch:
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Word numbers, the words, and the number of words of each text."""
+    """Word numbers, the words in order, and the number of words of each text."""
     split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     flat = split.flatten()
     full = pc.not_equal(flat, "")
-    doc = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    parts = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+    real = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    ends = np.cumsum(parts)
     coded = flat.filter(full).dictionary_encode()
-    per_text = np.bincount(doc[full.to_numpy(zero_copy_only=False)], minlength=len(texts))
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, per_text
+    order = pc.array_sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(order.size, np.int32)
+    rank[order] = np.arange(order.size, dtype=np.int32)
+    return rank[coded.indices.to_numpy(zero_copy_only=False)], coded.dictionary.take(pa.array(order)), real[ends] - real[ends - parts]
+
+
+def hashes_of(words: pa.Array) -> np.ndarray:
+    """A 31-bit polynomial hash of each word's bytes; no word is empty."""
+    text = words.cast(pa.large_binary())
+    bounds = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    if len(text) == 0:
+        return np.zeros(0, np.int64)
+    letters = np.frombuffer(text.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].astype(np.uint64) + np.uint64(1)
+    place = np.arange(letters.size) - np.repeat(bounds[:-1] - bounds[0], np.diff(bounds))
+    powers = np.cumprod(np.full(int(place.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    sums = np.add.reduceat(letters * powers[place], bounds[:-1] - bounds[0])
+    return (sums >> np.uint64(33)).astype(np.int64)
 
 
 def triples_of(piece: pa.RecordBatch, batch: int, shards: int, frequent: dict[str, int]) -> Iterator[pa.RecordBatch]:
     """The rows that one piece of documents (doc_id, text, held_out) sends: one for each shard, and its documents."""
     word, names, per_text = tokens(piece.column("text"))
-    texts, words = piece.num_rows, names.to_pylist() + [START, END]
-    start, end = len(words) - 2, len(words) - 1
-    size = per_text + 2
-    ends = np.cumsum(size) - 1
-    full = np.full(int(size.sum()), end, np.int64)
+    names = pa.concat_arrays([names, pa.array([START, END])])
+    texts, words = piece.num_rows, len(names)
+    start, end = words - 2, words - 1
+    ends = np.cumsum(per_text + 2) - 1
+    full = np.full(int(ends[-1]) + 1, end, np.int32)
     begins = ends - per_text - 1
     full[begins] = start
     inner = np.ones(full.size, bool)
     inner[begins] = inner[ends] = False
     full[inner] = word
-    at = np.flatnonzero(full != end)  # every place but the ends of documents
-    doc = np.repeat(np.arange(texts), per_text + 1)
-    v, w = full[at], full[at + 1]
-    u = np.where(v == start, start, full[at - 1])
-    held = piece.column("held_out").to_numpy(zero_copy_only=False).astype(np.int64)
-
-    hashes = np.fromiter((zlib.crc32(x.encode()) for x in words), np.int64, len(words))
-    rank = np.fromiter((frequent.get(x, -1) for x in words), np.int64, len(words))
-    often = rank[v] >= 0
-    key = np.where(v == start, hashes[w], np.where(often, hashes[u] * 31 + hashes[v], hashes[v]))
-    shard = key % shards
+    before = np.roll(full, 1)
+    before[begins] = start
+    inner[begins] = True  # every place but the ends of documents
+    after = np.roll(full, -1)
+    v, u, w = full[inner], before[inner], after[inner]
+    del full, before, after, inner
+    doc = np.repeat(np.arange(texts, dtype=np.int32), per_text + 1)
+    held = piece.column("held_out").to_numpy(zero_copy_only=False).astype(np.int32)
+
+    hashes = hashes_of(names)
+    rank = pc.fill_null(pc.index_in(names, pa.array(list(frequent), pa.string())), -1).to_numpy()
+    shard = hashes[v] % shards
+    split = np.flatnonzero(rank[v] >= 0)
+    shard[split] = (hashes[u[split]] * 31 + hashes[v[split]]) % shards
+    first = np.flatnonzero(v == start)
+    shard[first] = hashes[w[first]] % shards
     # Of frequent words each document keeps its counts, until the words' own are known.
-    mine = np.flatnonzero(often)
-    pair, times = np.unique(doc[mine] * max(len(frequent), 1) + rank[v[mine]], return_counts=True)
-    body = packed(per_text.astype(np.int32), pair, times.astype(np.int32))
+    pair, times = np.unique(doc[split].astype(np.int64) * max(len(frequent), 1) + rank[v[split]], return_counts=True)
+    body = packed(per_text, pair, times)
     ids = piece.select(["doc_id", "held_out"])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, ids.schema) as out:
         out.write_batch(ids)
     yield table_of({"shard": [batch % shards], "kind": [DOCUMENTS], "batch": [batch], "body": [packed(body, sink.getvalue().to_pybytes())]}, 1)
 
-    order = np.argsort((shard * len(words) + v) * texts + doc)
-    shard, v, u, w, doc = shard[order], v[order], u[order], w[order], doc[order]
-    bounds = np.searchsorted(shard, np.arange(shards + 1)) if shards < shard.size else None
-    present = np.unique(shard) if bounds is None else np.flatnonzero(np.diff(bounds))
-    out_shards, bodies = [], []
-    flags = np.zeros(len(words), bool)
-    for s in present:
-        here = slice(*(np.searchsorted(shard, [s, s + 1]) if bounds is None else bounds[s : s + 2]))
-        three = (v[here], u[here], w[here])
-        if 24 * three[0].size > len(words):
+    order = np.argsort((shard * words + v) * texts + doc)
+    shard = shard[order]
+    present, cuts = np.unique(shard, return_index=True)
+    v, u, w, doc = v[order], u[order], w[order], doc[order]
+    listed = names.to_pylist()
+    bodies, flags, number = [], np.zeros(words, bool), np.zeros(words, np.int32)
+    for a, b in zip(cuts, [*cuts[1:], v.size], strict=True):
+        three = (v[a:b], u[a:b], w[a:b])
+        if 24 * (b - a) > words:
             flags[:] = False
             for x in three:
                 flags[x] = True
             used = np.flatnonzero(flags)
         else:
             used = np.unique(np.concatenate(three))
-        local = [np.searchsorted(used, x).astype(np.int32) for x in three]
-        text = "\n".join([words[i] for i in used.tolist()]).encode()
-        local[0] = np.diff(local[0], prepend=np.int32(0)).astype(np.int32)
-        out_shards.append(int(s))
-        bodies.append(packed(text, *local, (doc[here] * 2 + held[doc[here]]).astype(np.int32)))
-    yield table_of({"shard": out_shards, "kind": [SUMS] * len(bodies), "batch": [batch] * len(bodies), "body": bodies}, len(bodies))
+        number[used] = np.arange(used.size, dtype=np.int32)
+        local = [number[x] for x in three]
+        local[0] = np.diff(local[0], prepend=np.int32(0))
+        bodies.append(packed("\n".join([listed[i] for i in used.tolist()]).encode(), *local, doc[a:b] * 2 + held[doc[a:b]]))
+    yield table_of({"shard": present, "kind": [SUMS] * len(bodies), "batch": [batch] * len(bodies), "body": bodies}, len(bodies))
 
 
 def sender(shards: int, frequent: dict[str, int], piece_bytes: int) -> Callable:
@@ -180,6 +203,23 @@ def sender(shards: int, frequent: dict[str, int], piece_bytes: int) -> Callable:
     return send
 
 
+def distinct(v: np.ndarray, u: np.ndarray, w: np.ndarray, words: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The number of each row's triple, and the distinct triples in order."""
+    if words < 1 << 21:
+        key = (v.astype(np.int64) * words + u) * words + w
+        order = np.argsort(key)
+        key = key[order]
+        new = key[1:] != key[:-1]
+    else:
+        order = np.lexsort((w, u, v))
+        new = (np.diff(v[order]) != 0) | (np.diff(u[order]) != 0) | (np.diff(w[order]) != 0)
+    new = np.concatenate([[True], new])
+    number = np.empty(v.size, np.int64)
+    number[order] = np.cumsum(new) - 1
+    at = order[new]
+    return number, (v[at].astype(np.int64), u[at].astype(np.int64), w[at].astype(np.int64))
+
+
 def answered(shard: pa.Table, frequent: dict[str, int]) -> Iterator[pa.RecordBatch]:
     """Count one shard's triples, build its tries, and answer its batches."""
     kinds = shard.column("kind").to_numpy()
@@ -196,63 +236,68 @@ def answered(shard: pa.Table, frequent: dict[str, int]) -> Iterator[pa.RecordBat
         ways.append((np.cumsum(v, dtype=np.int32), u, w, doc))
         sizes.append(v.size)
     coded = pa.concat_arrays(names).dictionary_encode()
-    numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
     vocabulary, words = coded.dictionary, len(coded.dictionary)
     starts = np.cumsum([0, *(len(x) for x in names)])
     v, u, w = (np.concatenate([numbers[starts[i] : starts[i + 1]][way[k]] for i, way in enumerate(ways)]) for k in range(3))
     doc = np.concatenate([way[3] for way in ways])
-    batch = np.repeat(np.arange(len(rows)), sizes)
-    del ways, names, numbers, coded
+    # Documents are numbered through all batches of the shard.
+    first_doc = np.cumsum([0, *(int(way[3].max() >> 1) + 1 for way in ways)])
     taught = doc & 1 == 0
-    doc = (batch << 31) | (doc >> 1)
-    listed = vocabulary.to_pylist()
-    whole_ = np.fromiter((x != START and x not in frequent for x in listed), bool, words)
-    first = np.fromiter((x == START for x in listed), bool, words)
-
-    pairs, pair = np.unique(v * words + u, return_inverse=True)
-    triples, triple = np.unique(pair * words + w, return_inverse=True)
-    counts = np.bincount(triple[taught], minlength=triples.size)
-    tv, tu, tw = pairs[triples // words] // words, pairs[triples // words] % words, triples % words
-    del pair
-    own = (counts > 0) & ~first[tv]
+    doc = (doc >> 1) + np.repeat(first_doc[:-1], sizes)
+    del ways, names, numbers, coded
+    first = pc.equal(vocabulary, START).to_numpy(zero_copy_only=False)
+    whole_ = ~(first | pc.is_in(vocabulary, pa.array(list(frequent), pa.string())).to_numpy(zero_copy_only=False))
+
+    triple, (tv, tu, tw) = distinct(v, u, w, words)
+    del u, w
+    counts = np.bincount(triple[taught], minlength=tv.size)
+    own = np.flatnonzero((counts > 0) & ~first[tv])
     trie = NgramTrie(tv[own], tu[own], tw[own], counts[own], words, whole_)
-    steps, done = trie.cost(tv, tu, tw)
-    begins = first[tv]
-    steps[begins], done[begins] = 0, False
+    steps, done = np.zeros(tv.size, np.int64), np.zeros(tv.size, bool)
+    # The triples that made the trie have their places in it; those of other documents are looked up.
+    steps[own], done[own] = trie.triple_codes, True
+    asked = np.bincount(triple[~taught], minlength=tv.size) > 0
+    asked = np.flatnonzero(asked & ~first[tv])
+    steps[asked], done[asked] = trie.cost(tv[asked], tu[asked], tw[asked])
 
     # Sums for each document of a batch, over the words that are whole in this shard.
     known = trie.total
+    docs, place = np.arange(first_doc[-1]), doc
+    if docs.size > 4 * doc.size:
+        docs, place = np.unique(doc, return_inverse=True)
     log = np.log10(known + 1)
-    docs, place = np.unique(doc, return_inverse=True)
-    token = whole_[v]
-    base = np.bincount(place[token], log[v[token]], docs.size)
-    n_known = np.bincount(place[token], known[v[token]] > 0, docs.size).astype(np.int32)
+    log[~whole_] = 0
+    base = np.bincount(place, log[v], docs.size)
+    n_known = np.bincount(place, (whole_ & (known > 0))[v], docs.size).astype(np.int64)
     settled = done[triple]
-    total = np.bincount(place[settled], steps[triple[settled]], docs.size).astype(np.int64)
-    cuts = np.searchsorted(docs >> 31, np.arange(len(rows) + 1))
+    total = np.bincount(place, np.where(settled, steps[triple], 0), docs.size).astype(np.int64)
+    cuts = np.searchsorted(docs, first_doc)
     sums = []
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        sums.append(packed((docs[a:b] & ((1 << 31) - 1)).astype(np.int32), n_known[a:b], total[a:b], base[a:b]))
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        some = a + np.flatnonzero((total[a:b] > 0) | (base[a:b] > 0))  # else nothing to add
+        sums.append(packed(np.diff(docs[some] - first_doc[i], prepend=0), n_known[some], total[some], base[some]))
     yield table_of({"kind": [SUMS] * len(sums), "batch": batches, "body": sums}, len(sums))
 
     seen = np.flatnonzero(whole_ & (known > 0))
     yield table_of({"kind": pa.array(np.full(seen.size, WORD)), "w": vocabulary.take(pa.array(seen)), "n": pa.array(known[seen].astype(np.int64))}, seen.size)
     part = (counts > 0) & ~whole_[tv]
-    both, at = np.unique(tv[part] * words + tw[part], return_inverse=True)
+    both, at = np.unique(tv[part].astype(np.int64) * words + tw[part], return_inverse=True)
     often = np.bincount(at, counts[part], both.size).astype(np.int64)
     yield table_of(
         {"kind": pa.array(np.full(both.size, PAIR)), "v": vocabulary.take(pa.array(both // words)), "w": vocabulary.take(pa.array(both % words)), "n": pa.array(often)},
         both.size,
     )
     left = np.flatnonzero(~settled)
-    asked, times = np.unique(place[left] * triples.size + triple[left], return_counts=True)
-    where, which = docs[asked // max(triples.size, 1)], asked % max(triples.size, 1)
+    asked, times = np.unique(doc[left] * tv.size + triple[left], return_counts=True)
+    where, which = asked // tv.size, asked % tv.size
+    of = np.searchsorted(first_doc, where, side="right") - 1
     kind = np.where(whole_[tv[which]], ASK_WORD, ASK_PAIR)
     yield table_of(
         {
             "kind": pa.array(kind),
-            "batch": pa.array(batches[where >> 31]),
-            "doc": pa.array((where & ((1 << 31) - 1)).astype(np.int32)),
+            "batch": pa.array(batches[of]),
+            "doc": pa.array((where - first_doc[of]).astype(np.int32)),
             "v": vocabulary.take(pa.array(tv[which])),
             "w": vocabulary.take(pa.array(tw[which])),
             "n": pa.array(times),
@@ -271,7 +316,8 @@ def assembled(group: pa.Table, counts: np.ndarray, id_type: pa.DataType) -> pa.T
     n = per_text.size
     known, steps, base = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
     for i in np.flatnonzero(kinds == SUMS):
-        doc, some, cost, log = unpacked(bodies[int(i)].as_py())
+        gaps, some, cost, log = unpacked(bodies[int(i)].as_py())
+        doc = np.cumsum(gaps)
         known[doc] += some
         steps[doc] += cost
         base[doc] += log

@@ -49,11 +49,13 @@ class EliasFano:
         # Eight bytes are read at a time, at any bit.
         self.width = min(56, max(0, (max(universe, 1) // max(self.n, 1)).bit_length() - 1))
         low = values & ((1 << self.width) - 1)
-        lows = (low[:, None] >> np.arange(self.width)) & 1
+        lows = np.empty((self.n, self.width), np.uint8)
+        for k in range(self.width):
+            lows[:, k] = (low >> k) & 1
         marks = np.zeros(self.n + (universe >> self.width) + 2, np.uint8)
         marks[(values >> self.width) + np.arange(self.n)] = 1
-        self.parts = [_packed(lows.astype(np.uint8).ravel()), _packed(marks), np.zeros(0, np.int64)]
-        ones = _ONES[self.parts[1].reshape(-1, 8)].sum(1)
+        self.parts = [_packed(lows.ravel()), _packed(marks), np.zeros(0, np.int64)]
+        ones = _ONES.astype(np.uint8)[self.parts[1].reshape(-1, 8)].sum(1, dtype=np.int64)
         self.parts[2] = np.concatenate([[0], np.cumsum(ones)])
 
     def low(self, i: np.ndarray) -> np.ndarray:
