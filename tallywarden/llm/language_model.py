@@ -19,6 +19,7 @@ N and V are 0 and every token has probability 1. Columns of other names are not
 
 from __future__ import annotations
 
+import ctypes
 import struct
 from collections.abc import Callable, Iterator
 
@@ -34,8 +35,8 @@ from tallywarden.llm.ngram_trie import DISCOUNT, STEPS, NgramTrie
 from tallywarden.plans.skew import match
 
 # UTF-8 bytes of text that one shard's words come from, and that one batch of triples is taken from.
-SHARD_BYTES = 10 << 20
-PIECE_BYTES = 8 << 20
+SHARD_BYTES = 8 << 20
+PIECE_BYTES = 6 << 20
 # Documents (expected) that frequent words are looked for in, and the least share of tokens looked for.
 SAMPLED, LEAST_SHARE = 2_000, 1e-4
 # Marks before and after a document; no word has white space.
@@ -188,6 +189,14 @@ def triples_of(piece: pa.RecordBatch, batch: int, shards: int, frequent: dict[st
     yield table_of({"shard": present, "kind": [SUMS] * len(bodies), "batch": [batch] * len(bodies), "body": bodies}, len(bodies))
 
 
+def released() -> None:
+    """Give memory of finished work back, for a worker lives through many pieces and shards."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; elsewhere nothing is needed
+    if trim:
+        trim(0)
+
+
 def sender(shards: int, frequent: dict[str, int], piece_bytes: int) -> Callable:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = TaskContext.get().partitionId() << 32
@@ -199,6 +208,7 @@ def sender(shards: int, frequent: dict[str, int], piece_bytes: int) -> Callable:
                 if b > a:
                     yield from triples_of(rows.slice(a, b - a), batch, shards, frequent)
                     batch += 1
+                    released()
 
     return send
 
@@ -254,6 +264,7 @@ def answered(shard: pa.Table, frequent: dict[str, int]) -> Iterator[pa.RecordBat
     counts = np.bincount(triple[taught], minlength=tv.size)
     own = np.flatnonzero((counts > 0) & ~first[tv])
     trie = NgramTrie(tv[own], tu[own], tw[own], counts[own], words, whole_)
+    released()
     steps, done = np.zeros(tv.size, np.int64), np.zeros(tv.size, bool)
     # The triples that made the trie have their places in it; those of other documents are looked up.
     steps[own], done[own] = trie.triple_codes, True
@@ -371,7 +382,9 @@ def scores(docs: DataFrame, held_out: Column, shard_bytes: int = SHARD_BYTES, pi
     sent = rows.mapInArrow(sender(shards, frequent, piece_bytes), ROWS)
 
     def answer(shard: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(answered(shard, told.value)), SCHEMA)
+        found = pa.Table.from_batches(list(answered(shard, told.value)), SCHEMA)
+        released()
+        return found
 
     out = kept(sent.repartition(shards, "shard").groupBy("shard").applyInArrow(answer, ROWS), "answers")
 
