@@ -6,7 +6,7 @@ middle word. So one shuffle, in packed batches, carries both what the model lear
 a shard counts its n-grams, builds its tries and answers each batch with one sum a document. The middle word
 is also the token itself, so its count in the corpus, which the base score needs, is known there too.
 
-Words that are more than a shard's worth of the corpus are found in a sample, and their
+Words that are a hundredth of the corpus, or more than a shard's worth, are found in a sample, and their
 triples dealt out by the first two words instead. Their pairs, and the first words of documents, are then
 counted by a shuffle of counts; what no trie of a shard could answer (unseen pairs, and unseen triples of
 such words) is answered by joins with these counts and with the counts of single words. The
@@ -37,8 +37,9 @@ from tallywarden.plans.skew import match
 # UTF-8 bytes of text that one shard's words come from, and that one batch of triples is taken from.
 SHARD_BYTES = 8 << 20
 PIECE_BYTES = 6 << 20
-# Documents (expected) that frequent words are looked for in, and the least share of tokens looked for.
-SAMPLED, LEAST_SHARE = 2_000, 1e-4
+# Documents (expected) that frequent words are looked for in, and the shares of tokens looked for: a shard's, but
+# within these limits, so that up to a hundred shards treat the same words as frequent.
+SAMPLED, LEAST_SHARE, MOST_SHARE = 2_000, 1e-4, 1e-2
 # Marks before and after a document; no word has white space.
 START, END = " <", " >"
 BREAK = "[\\x20\\x09-\\x0D]+"
@@ -376,7 +377,7 @@ def scores(docs: DataFrame, held_out: Column, shard_bytes: int = SHARD_BYTES, pi
     rows = docs.select("doc_id", whole("text").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
     shards = max(-(-(size["bytes"] or 0) // shard_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    frequent = {w: i for i, w in enumerate(frequent_words(rows, size["rows"], max(1 / shards, LEAST_SHARE)))}
+    frequent = {w: i for i, w in enumerate(frequent_words(rows, size["rows"], max(min(1 / shards, MOST_SHARE), LEAST_SHARE)))}
     told = spark.sparkContext.broadcast(frequent)  # 1 / LEAST_SHARE words at most
 
     sent = rows.mapInArrow(sender(shards, frequent, piece_bytes), ROWS)
