@@ -9,8 +9,7 @@ from tallywarden.session import shared_folder
 from tallywarden.sources.alerts import to_alerts
 from tallywarden.sources.tables import load, stream_events
 from tallywarden.schemas import ALERT
-from tallywarden.streaming import sinks, windows
-from tallywarden.streaming.profile import profile_scorer
+from tallywarden.streaming import sinks, state, windows
 
 
 def _naive(*names):
@@ -63,8 +62,8 @@ def stream_enrich(spark, sf_dir):
 
 def stream_profile(spark, sf_dir):
     folder = shared_folder(spark, "profile")
-    scorer = profile_scorer(folder, "user_id", ["ts", "event_id"], "value", 5, 4.0)
-    sinks.run_batches(stream_events(spark, sf_dir), scorer, f"{folder}/checkpoint")
+    stream = state.with_past(stream_events(spark, sf_dir), "user_id", "value")
+    sinks.run_batches(stream, state.state_scorer(folder, "user_id", ["ts", "event_id"], "value", 5, 4.0), f"{folder}/checkpoint")
     schema = "event_id bigint, ts timestamp, user_id bigint, value double, n_prior bigint, zscore double"
     alerts = spark.read.schema(schema).parquet(f"{folder}/alerts")
     return alerts.select("event_id", "user_id", *_naive("ts"), "n_prior", rounded("zscore"))
@@ -81,10 +80,15 @@ def stream_alerts(spark, sf_dir):
 
 
 def late_report(spark, sf_dir):
-    counted = windows.tumbling(stream_events(spark, sf_dir), "user_id", "value", "60 minutes")
-    _, query = sinks.run_to_table(counted, "late")
-    report = sinks.late_report(spark, query)
-    return report.agg(F.sum("input_rows").alias("input_rows"), F.sum("late_rows").alias("late_rows"))
+    # Ten days arrive at a time, every fiftieth event with the ten days after its own.
+    folder = shared_folder(spark, "late")
+    events = load(spark, sf_dir, "events")
+    arrival = F.floor(F.datediff("ts", F.lit("2024-01-01")) / 10) + F.when(F.col("event_id") % 50 == 0, 1).otherwise(0)
+    counter = sinks.late_counter(f"{folder}/late", "10 minutes", "60 minutes")
+    for n in range(events.agg(F.max(arrival)).first()[0] + 1):
+        events.where(arrival == n).write.mode("append").parquet(f"{folder}/events.parquet")
+        sinks.run_batches(stream_events(spark, folder), counter, f"{folder}/checkpoint")
+    return sinks.late_rows(spark, f"{folder}/late").withColumn("watermark", F.col("watermark").cast("timestamp_ntz"))
 
 
 QUERIES = {
@@ -149,5 +153,15 @@ ORACLE = {
         SELECT 'large_amount' AS detector, user_id AS entity_id, event_id AS txn_id, value AS score,
                event_type AS detail FROM events WHERE value > 150
     """,
-    "late_report": "SELECT count(*) AS input_rows, 0::bigint AS late_rows FROM events",
+    "late_report": """
+        WITH a AS (SELECT ts, date_diff('day', TIMESTAMP '2024-01-01', ts) // 10
+                     + CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END AS batch_id FROM events),
+        m AS (SELECT batch_id, max(ts) AS newest FROM a GROUP BY batch_id),
+        w AS (SELECT batch_id, date_trunc('millisecond', max(newest) OVER (ORDER BY batch_id
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) - INTERVAL 10 MINUTES AS watermark FROM m)
+        SELECT batch_id, count(*) AS input_rows, count(*) FILTER (ts < watermark) AS behind_rows,
+          count(*) FILTER (time_bucket(INTERVAL 60 MINUTES, ts) + INTERVAL 60 MINUTES <= watermark) AS late_rows,
+          any_value(watermark) AS watermark
+        FROM a JOIN w USING (batch_id) GROUP BY batch_id
+    """,
 }

@@ -20,6 +20,32 @@ from tallywarden.streaming.sinks import write_batch
 SUMS = ("n", "s", "ss")
 
 
+def outliers(
+    batch: DataFrame, past: DataFrame, entity: str, order: list[str], amount: str, min_n: int, k: float, limit: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Rows of a batch far from what came before them: ``past`` (entity and exact sums) and earlier rows of the batch."""
+    cents = scaled(amount)
+    wide = cents.cast("decimal(18,0)")
+    own = {"n": F.lit(1), "s": wide, "ss": (wide * wide).cast("decimal(28,0)")}
+    carried = past.select(F.col(entity).alias("_entity"), *(F.col(c).alias(f"_past_{c}") for c in SUMS))
+    by = ordering(batch, [entity], order, limit)
+    within = running_sums(batch, by, {f"_{c}": own[c] for c in SUMS})
+    before = {c: F.coalesce(F.col(f"_past_{c}"), F.lit(0)) + F.col(f"_{c}") - own[c] for c in SUMS}
+    return (
+        within.join(carried, F.col(entity) == F.col("_entity"), "left")
+        .withColumns({f"_b{c}": before[c] for c in SUMS})
+        .withColumn("n_prior", F.col("_bn").cast("bigint"))
+        .withColumn(
+            "zscore",
+            F.try_divide(
+                cents - mean(F.col("_bn"), F.col("_bs")), deviation(F.col("_bn"), F.col("_bs"), F.col("_bss"))
+            ),
+        )
+        .where((F.col("n_prior") >= min_n) & (F.abs("zscore") > k))
+        .select(*batch.columns, "n_prior", "zscore")
+    )
+
+
 def profile_scorer(
     folder: str,
     entity: str,
@@ -57,8 +83,7 @@ def profile_scorer(
         # A row without an amount or entity has no score and teaches nothing.
         batch = batch.where(F.col(entity).isNotNull() & F.col(amount).isNotNull()).persist()
         try:
-            cents = scaled(amount)
-            wide = cents.cast("decimal(18,0)")
+            wide = scaled(amount).cast("decimal(18,0)")
             square = (wide * wide).cast("decimal(28,0)")
             fresh = batch.groupBy(entity).agg(
                 F.count(F.lit(1)).cast("decimal(38,0)").alias("n"),
@@ -68,27 +93,7 @@ def profile_scorer(
             past = earlier(batch, batch_id)
             here = batch.select(F.col(entity).alias("_here")).distinct()
             carried = merged([past.join(here, F.col(entity) == F.col("_here"), "left_semi")])
-            carried = carried.withColumnsRenamed({c: f"_past_{c}" for c in SUMS})
-            by = ordering(batch, [entity], order, limit)
-            within = running_sums(batch, by, {"_n": F.lit(1), "_s": wide, "_ss": square})
-            own = {"n": F.lit(1), "s": wide, "ss": square}
-            before = {
-                c: F.coalesce(F.col(f"_past_{c}"), F.lit(0)) + F.col(f"_{c}") - own[c] for c in SUMS
-            }
-            scored = (
-                within.join(carried, entity, "left")
-                .withColumns({"_bn": before["n"], "_bs": before["s"], "_bss": before["ss"]})
-                .withColumn("n_prior", F.col("_bn").cast("bigint"))
-                .withColumn(
-                    "zscore",
-                    F.try_divide(
-                        cents - mean(F.col("_bn"), F.col("_bs")),
-                        deviation(F.col("_bn"), F.col("_bs"), F.col("_bss")),
-                    ),
-                )
-                .where((F.col("n_prior") >= min_n) & (F.abs("zscore") > k))
-                .select(*batch.columns, "n_prior", "zscore")
-            )
+            scored = outliers(batch, carried, entity, order, amount, min_n, k, limit)
             write_batch(scored, f"{folder}/alerts", batch_id)
             full = batch_id % compact_every == 0
             write_batch(merged([past, fresh]) if full else fresh, f"{folder}/profile", batch_id)

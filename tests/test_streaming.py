@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallywarden.operators import amounts
 from tallywarden.sources.tables import stream_events
-from tallywarden.streaming import sinks, windows
+from tallywarden.streaming import sinks, state, windows
 from tallywarden.streaming.profile import profile_scorer
 
 T0 = datetime(2024, 1, 1)
@@ -94,3 +94,92 @@ def test_alert_sink_is_idempotent(spark, tmp_path):
     sink(alerts, 0)
     sink(alerts, 1)
     assert spark.read.parquet(f"{tmp_path}/alerts").count() == 4
+
+
+def spread_rows():
+    return [event(i, i, user=1 if i % 3 else 2 + i % 2, value=float(10 + (i * 7) % 13 + (300 if i % 29 == 0 else 0))) for i in range(120)]
+
+
+def alerts_key(df):
+    return sorted((r["event_id"], r["n_prior"], round(r["zscore"], 9)) for r in df.collect())
+
+
+@pytest.mark.parametrize("limit", [5, 10**6])
+def test_state_over_files_and_a_restart_equals_batch(spark, feed, tmp_path, limit):
+    rows = spread_rows()
+    out = f"{tmp_path}/state"
+    for part in (rows[:30], rows[30:45]), (rows[45:90], rows[90:]):
+        folder = feed(*part)  # the second time the query starts again from its checkpoint
+        stream = state.with_past(stream_events(spark, folder, "10 minutes", 1), "user_id", "value")
+        sinks.run_batches(stream, state.state_scorer(out, "user_id", ["ts", "event_id"], "value", 3, 3.0, limit), f"{out}/checkpoint")
+    got = spark.read.parquet(f"{out}/alerts")
+    assert got.select("batch_id").distinct().count() > 1
+    want = amounts.prior_zscore(spark.createDataFrame(rows, SCHEMA), "user_id", ["ts", "event_id"], "value", 3, 3.0)
+    assert alerts_key(got) == alerts_key(want) != []
+
+
+def test_a_batch_reads_the_state_of_its_own_entities_only(spark, feed, tmp_path):
+    folder = feed([event(i, i, user=i) for i in range(200)], [event(300, 300, user=7)])
+    out = f"{tmp_path}/state"
+    seen = {}
+
+    def keep(batch, batch_id):
+        batch = batch.persist()
+        seen[batch_id] = [(r["user_id"], int(r["_prior_n"])) for r in batch.where("_prior").collect()]
+        batch.unpersist()
+
+    query = sinks.run_batches(state.with_past(stream_events(spark, folder, "10 minutes", 1), "user_id", "value"), keep, f"{out}/checkpoint")
+    assert len(seen[0]) == 200 and seen[1] == [(7, 1)]
+    last = [p for p in query.recentProgress if p["batchId"] == 1][0]["stateOperators"][0]
+    assert last["numRowsTotal"] >= 200 and last["numRowsUpdated"] == 1
+    # One entity's state is looked up a few times, whatever the number of entities in the store.
+    assert last["customMetrics"]["rocksdbGetCount"] <= 4
+
+
+def test_a_quiet_entity_is_forgotten(spark, feed, tmp_path):
+    folder = feed([event(1, 0), event(2, 5)], [event(3, 500, user=2)], [event(4, 600)], [event(5, 610)])
+    out = f"{tmp_path}/state"
+    seen = {}
+
+    def keep(batch, batch_id):
+        seen[batch_id] = [(r["user_id"], int(r["_prior_n"])) for r in batch.where("_prior").collect()]
+
+    stream = state.with_past(stream_events(spark, folder, "10 minutes", 1), "user_id", "value", quiet_ms=60 * 60_000)
+    sinks.run_batches(stream, keep, f"{out}/checkpoint")
+    assert [r for b in sorted(seen) for r in seen[b]] == [(1, 0), (2, 0), (1, 0), (1, 1)]
+
+
+def test_unknown_rows_and_exact_sums(spark, feed, tmp_path):
+    large = 90_000_000_000.01
+    rows = [event(i, i, user=5, value=large + i) for i in range(6)] + [event(50, 50, user=5, value=3 * large)]
+    folder = feed([(*r[:2], None, *r[3:]) for r in rows[:1]] + rows[:3], rows[3:] + [event(60, 60, user=5, value=None)])
+    out = f"{tmp_path}/state"
+    stream = state.with_past(stream_events(spark, folder, "10 minutes", 1), "user_id", "value")
+    sinks.run_batches(stream, state.state_scorer(out, "user_id", ["ts", "event_id"], "value", 3, 3.0), f"{out}/checkpoint")
+    want = amounts.prior_zscore(spark.createDataFrame(rows, SCHEMA), "user_id", ["ts", "event_id"], "value", 3, 3.0)
+    assert alerts_key(spark.read.parquet(f"{out}/alerts")) == alerts_key(want) != []
+
+
+def test_late_rows_are_counted_one_by_one(spark, feed, tmp_path):
+    folder = feed(
+        [event(1, 0), event(2, 300)],
+        # Watermark 290: three rows of one closed window, one of an open one, one behind it in an open window.
+        [event(3, 1), event(4, 2), event(5, 3), event(6, 295), event(7, 280), event(8, 500)],
+        [event(9, 200)],
+    )
+    counter = sinks.late_counter(f"{tmp_path}/late", "10 minutes", "60 minutes")
+    sinks.run_batches(stream_events(spark, folder, "10 minutes", 1), counter, f"{tmp_path}/checkpoint")
+    got = {r["batch_id"]: tuple(r)[1:4] for r in sinks.late_rows(spark, f"{tmp_path}/late").collect()}
+    assert got == {0: (2, 0, 0), 1: (6, 4, 3), 2: (1, 1, 1)}
+
+
+def test_late_rows_of_more_than_a_hundred_batches(spark, tmp_path):
+    counter = sinks.late_counter(f"{tmp_path}/late", "1 minute", "1 minute")
+    for i in range(103):
+        # Every tenth batch repeats an old time; the first batch of all is run twice.
+        counter(spark.createDataFrame([event(i, 0 if i % 10 == 9 else 10 * i)], SCHEMA), i)
+    counter(spark.createDataFrame([], SCHEMA), 103)
+    counter(spark.createDataFrame([event(102, 1020)], SCHEMA), 102)
+    rows = sinks.late_rows(spark, f"{tmp_path}/late").orderBy("batch_id").collect()
+    assert len(rows) == 104 and [r["batch_id"] for r in rows if r["late_rows"]] == list(range(9, 103, 10))
+    assert rows[103]["input_rows"] == 0 and rows[103]["watermark"] == T0 + timedelta(minutes=1019)
