@@ -68,6 +68,13 @@ def mahalanobis(spark, sf_dir):
     )
 
 
+def mahalanobis_3(spark, sf_dir):
+    rows = ops.mahalanobis_distance(load(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], 6.0)
+    return rows.select(
+        "l_orderkey", "l_linenumber", "l_quantity", rounded("l_extendedprice", 2), rounded("l_discount", 2), rounded("d2")
+    )
+
+
 def multivariate(spark, sf_dir):
     lines = load(spark, sf_dir, "lineitem")
     hits = ops.multivariate(lines, ["l_quantity", "l_extendedprice", "l_discount"], 4, 1.6)
@@ -85,6 +92,7 @@ QUERIES = {
     "benford_by_entity": benford_by_entity,
     "round_amounts": round_amounts,
     "mahalanobis": mahalanobis,
+    "mahalanobis_3": mahalanobis_3,
     "multivariate": multivariate,
 }
 
@@ -171,4 +179,17 @@ ORACLE = {
                round(d2, 4) AS d2
         FROM d WHERE d2 > 4
     """,
+    "mahalanobis_3": """
+        WITH c AS (SELECT *, round(l_quantity * 100)::bigint AS a, round(l_extendedprice * 100)::bigint AS b,
+                          round(l_discount * 100)::bigint AS c FROM lineitem),
+        m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, stddev_samp(a) AS sa, stddev_samp(b) AS sb,
+                     stddev_samp(c) AS sc, corr(a, b) AS p, corr(a, c) AS q, corr(b, c) AS r FROM c),
+        z AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, (a - ma) / sa AS x,
+                     (b - mb) / sb AS y, (c - mc) / sc AS z, p, q, r FROM c, m),
+        d AS (SELECT *, ((1 - r * r) * x * x + (1 - q * q) * y * y + (1 - p * p) * z * z
+                         + 2 * (q * r - p) * x * y + 2 * (p * r - q) * x * z + 2 * (p * q - r) * y * z)
+                        / (1 + 2 * p * q * r - p * p - q * q - r * r) AS d2 FROM z)
+        SELECT l_orderkey, l_linenumber, l_quantity, round(l_extendedprice, 2) AS l_extendedprice,
+               round(l_discount, 2) + 0.0 AS l_discount, round(d2, 4) AS d2 FROM d WHERE d2 > 6
+    """,
 }

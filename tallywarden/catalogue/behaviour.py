@@ -79,6 +79,11 @@ def period_change(spark, sf_dir):
     return hits.select("o_custkey", "period", *(rounded(c, 2) for c in ("total", "previous")), rounded("ratio"))
 
 
+def calendar_change(spark, sf_dir):
+    hits = ops.calendar_change(load(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_totalprice", "quarter", 5.0)
+    return hits.select("o_custkey", "first_period", "last_period", *(rounded(c, 2) for c in ("total", "previous")), "change")
+
+
 QUERIES = {
     "velocity": velocity,
     "structuring": structuring,
@@ -91,6 +96,7 @@ QUERIES = {
     "gap_stats": gap_stats,
     "drift_psi": drift_psi,
     "period_change": period_change,
+    "calendar_change": calendar_change,
 }
 
 _SHARE_BEFORE = "greatest(n_before / (sum(n_before) OVER ())::double, 1e-6::double)"
@@ -174,4 +180,21 @@ ORACLE = {
                round(total / previous, 4) AS ratio
         FROM l WHERE total / previous >= 5
     """,
+    "calendar_change": """
+        WITH t AS (SELECT o_custkey, date_trunc('quarter', o_orderdate) AS period,
+                          sum(round(o_totalprice * 100)::bigint) AS cents FROM orders GROUP BY ALL),
+        spine AS (SELECT o_custkey, unnest(generate_series(min(period)::timestamp,
+                         (SELECT max(period) FROM t)::timestamp, INTERVAL 3 MONTHS)) AS period FROM t GROUP BY o_custkey),
+        filled AS (SELECT s.o_custkey, s.period::timestamp AS period, coalesce(cents, 0) AS cents
+                   FROM spine s LEFT JOIN t ON t.o_custkey = s.o_custkey AND t.period = s.period),
+        l AS (SELECT *, lag(cents) OVER w AS before, (cents = 0 AND coalesce(lag(cents) OVER w, 1) = 0)::int AS goes_on
+              FROM filled WINDOW w AS (PARTITION BY o_custkey ORDER BY period)),
+        runs AS (SELECT *, sum(1 - goes_on) OVER (PARTITION BY o_custkey ORDER BY period) AS run FROM l),
+        r AS (SELECT o_custkey, run, min(period) AS first_period, max(period) AS last_period, max(cents) AS now,
+                     arg_min(before, period) AS before FROM runs GROUP BY o_custkey, run)
+        SELECT o_custkey, first_period, last_period, round(now::double / 100, 2) AS total,
+               round(before::double / 100, 2) AS previous,
+               CASE WHEN now = 0 THEN 'silence' WHEN before = 0 THEN 'restart' ELSE 'rise' END AS change
+        FROM r WHERE before IS NOT NULL AND ((now = 0) <> (before = 0) OR (before > 0 AND now::double / before::double >= 5))
+    """,
 }

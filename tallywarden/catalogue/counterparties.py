@@ -38,6 +38,10 @@ def shared_counterparties(spark, sf_dir):
     return ops.shared_counterparties(_edges(spark, sf_dir), flagged, 5)
 
 
+def shared_pairs(spark, sf_dir):
+    return ops.shared_pairs(_edges(spark, sf_dir), 30)
+
+
 def degree_outliers(spark, sf_dir):
     found = ops.degree_outliers(_edges(spark, sf_dir), 2.0)
     return found.select("side", "entity_id", "degree", rounded("score"))
@@ -56,6 +60,7 @@ QUERIES = {
     "hhi": hhi,
     "top_counterparties": top_counterparties,
     "shared_counterparties": shared_counterparties,
+    "shared_pairs": shared_pairs,
     "degree_outliers": degree_outliers,
     "linked_groups": linked_groups,
 }
@@ -88,6 +93,10 @@ ORACLE = {
         SELECT payer, count(*) AS n_payees, count(*) FILTER (payee IN (FROM w)) AS n_shared
         FROM p WHERE payer NOT IN (FROM f) GROUP BY ALL HAVING n_shared >= 5
     """,
+    "shared_pairs": f"""
+        WITH {_PAIRS} SELECT a.payer AS payer_a, b.payer AS payer_b, count(*) AS n_shared
+        FROM p a JOIN p b ON a.payee = b.payee AND a.payer < b.payer GROUP BY ALL HAVING n_shared >= 30
+    """,
     "degree_outliers": f"""
         WITH {_PAIRS}, d AS (SELECT 'out' AS side, payer AS entity_id, count(*) AS degree FROM p GROUP BY payer
                              UNION ALL SELECT 'in', payee, count(*) FROM p GROUP BY payee),

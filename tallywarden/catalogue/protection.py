@@ -30,14 +30,14 @@ def screen_exact(spark, sf_dir):
     failing = events.where("event_type = 'error' AND value > 120").select(F.col("user_id").alias("c_custkey"))
     # The list spells the names differently, as lists from elsewhere do.
     listed = customers.join(failing, "c_custkey", "left_semi").select(
-        F.upper(F.replace("c_name", F.lit("#"), F.lit(" - "))).alias("entry")
+        F.upper(F.translate(F.replace("c_name", F.lit("#"), F.lit(" - ")), "ueo", "üéô")).alias("entry")
     )
     return ops.screen_exact(customers, "c_name", listed, "entry").select("c_custkey", "c_name")
 
 
 def screen_fuzzy(spark, sf_dir):
     suppliers = load(spark, sf_dir, "supplier")
-    listed = suppliers.where("s_acctbal < 500").select(F.col("s_name").alias("entry"))
+    listed = suppliers.where("s_acctbal < 500").select(F.translate("s_name", "ui", "úï").alias("entry"))
     hits = ops.screen_fuzzy(suppliers.select("s_suppkey", "s_name"), "s_name", listed, "entry", 1)
     return hits.select("s_suppkey", "s_name", "entry", "distance")
 
@@ -55,7 +55,7 @@ QUERIES = {
     "scan_sensitive": scan_sensitive,
 }
 
-_NORMAL = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+_NORMAL = "trim(regexp_replace(strip_accents(lower({})), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 _WEIGHED = "CASE WHEN (i % 2 = 0) THEN (d::int * 2) - (CASE WHEN d::int > 4 THEN 9 ELSE 0 END) ELSE d::int END"
 
 ORACLE = {
@@ -65,16 +65,16 @@ ORACLE = {
         SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY ALL HAVING n < 10
     """,
     "screen_exact": f"""
-        WITH l AS (SELECT upper(replace(c_name, '#', ' - ')) AS entry FROM customer WHERE c_custkey IN
+        WITH l AS (SELECT upper(translate(replace(c_name, '#', ' - '), 'ueo', 'üéô')) AS entry FROM customer WHERE c_custkey IN
                    (SELECT user_id FROM events WHERE event_type = 'error' AND value > 120))
         SELECT c_custkey, c_name FROM customer
         WHERE {_NORMAL.format("c_name")} IN (SELECT {_NORMAL.format("entry")} FROM l)
     """,
     "screen_fuzzy": f"""
-        SELECT a.s_suppkey, a.s_name, b.s_name AS entry,
-               levenshtein({_NORMAL.format("a.s_name")}, {_NORMAL.format("b.s_name")})::int AS distance
-        FROM supplier a, supplier b
-        WHERE b.s_acctbal < 500 AND levenshtein({_NORMAL.format("a.s_name")}, {_NORMAL.format("b.s_name")}) <= 1
+        WITH l AS (SELECT translate(s_name, 'ui', 'úï') AS entry FROM supplier WHERE s_acctbal < 500)
+        SELECT a.s_suppkey, a.s_name, entry,
+               levenshtein({_NORMAL.format("a.s_name")}, {_NORMAL.format("entry")})::int AS distance
+        FROM supplier a, l WHERE levenshtein({_NORMAL.format("a.s_name")}, {_NORMAL.format("entry")}) <= 1
     """,
     "scan_sensitive": f"""
         WITH m AS (SELECT source, len(regexp_extract_all(text, '{EMAIL}')) AS e,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column, functions as F
 
 # Patterns for personal and card data in free text.
@@ -10,12 +13,25 @@ PHONE = r"\+[0-9]{1,3}[ -]?\(?[0-9]{3}\)?[ -][0-9]{3}[ -][0-9]{4}"
 CARD = r"\b[0-9](?:[ -]?[0-9]){12,18}\b"
 
 
+@cache
+def _accented() -> tuple[str, str]:
+    """Letters of Unicode's basic plane that are one other letter with marks, and those letters."""
+    bare = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in (*range(0xC0, 0x2000), *range(0x2C60, 0x2E00), *range(0xA720, 0xAC00))}
+    single = {k: v[0] for k, v in bare.items() if len(v) > 1 and all(unicodedata.combining(m) for m in v[1:])}
+    return "".join(single), "".join(single.values())
+
+
+def without_accents(col: Column) -> Column:
+    """Letters without their accents, whether these are part of the letter or follow it."""
+    return F.regexp_replace(F.translate(col, *_accented()), r"[\u0300-\u036F]+", "")
+
+
 def normalise(col: Column) -> Column:
-    """Lower case, letters and digits of any script only, single spaces; null if none are left.
+    """Lower case, no accents, letters and digits of any script only, single spaces; null if none are left.
 
     Texts without letters or digits say nothing about a name, so they must not equal each other.
     """
-    spaced = F.trim(F.regexp_replace(F.lower(col), r"[^\p{L}\p{N}]+", " "))
+    spaced = F.trim(F.regexp_replace(without_accents(F.lower(col)), r"[^\p{L}\p{N}]+", " "))
     return F.when(spaced != "", spaced)
 
 

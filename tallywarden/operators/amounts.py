@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -209,6 +210,56 @@ def mahalanobis(df: DataFrame, x: str, y: str, threshold: float) -> DataFrame:
     return known.withColumn("d2", distance).where(F.col("d2") > threshold)
 
 
+def inverse(matrix: list[list[float]], tiny: float = 1e-12) -> list[list[float]] | None:
+    """Inverse of a symmetric positive matrix by its Cholesky factor; None if a pivot vanishes."""
+    n = len(matrix)
+    lower = [[0.0] * n for _ in range(n)]
+    for i in range(n):
+        for j in range(i + 1):
+            rest = matrix[i][j] - sum(lower[i][k] * lower[j][k] for k in range(j))
+            if i != j:
+                lower[i][j] = rest / lower[j][j]
+            elif rest <= tiny:
+                return None
+            else:
+                lower[i][i] = rest**0.5
+    # Rows of the factor's inverse, by substitution.
+    back = [[0.0] * n for _ in range(n)]
+    for i in range(n):
+        back[i][i] = 1 / lower[i][i]
+        for j in range(i):
+            back[i][j] = -sum(lower[i][k] * back[k][j] for k in range(j, i)) / lower[i][i]
+    return [[sum(back[k][i] * back[k][j] for k in range(max(i, j), n)) for j in range(n)] for i in range(n)]
+
+
+def mahalanobis_distance(df: DataFrame, features: list[str], threshold: float | None = None) -> DataFrame:
+    """Add ``d2``, the squared distance of a row in any number of correlated features.
+
+    Means and covariances come from one pass whose single row reaches the driver, where the correlations are
+    inverted; rows are then scored with plain numbers. ``d2`` is null for rows with an unknown feature and for
+    all rows if a feature is constant or a mixture of others. With a ``threshold`` only rows above it are returned.
+    """
+    units = {f: scaled(f) for f in features}
+    means, covariances = moments(df.dropna(subset=features), units)
+    names = [*means, *(f"{a}\n{b}" for a, b in covariances)]
+    numbers = df.sparkSession.range(1).select(F.array(*means.values(), *covariances.values()).alias("all")).first()["all"]
+    value = dict(zip(names, numbers, strict=True))
+
+    def cov(a: str, b: str) -> float | None:
+        return value.get(f"{a}\n{b}", value.get(f"{b}\n{a}"))
+
+    spread = [(cov(f, f) or 0.0) ** 0.5 for f in features]
+    inverted = None
+    if all(spread):
+        inverted = inverse([[cov(a, b) / (sa * sb) for b, sb in zip(features, spread)] for a, sa in zip(features, spread)])
+    if inverted is None:
+        return df.withColumn("d2", F.lit(None).cast("double")).where("false" if threshold is not None else "true")
+    steps = [(units[f] - value[f]) / s for f, s in zip(features, spread)]
+    terms = [steps[i] * steps[j] * (inverted[i][j] * (1 if i == j else 2)) for i in range(len(steps)) for j in range(i + 1)]
+    scored = df.withColumn("d2", reduce(lambda x, y: x + y, terms))
+    return scored if threshold is None else scored.where(F.col("d2") > threshold)
+
+
 def multivariate(
     df: DataFrame, features: list[str], clusters: int, k: float, rounds: int = 10, seed: int = 7
 ) -> DataFrame:

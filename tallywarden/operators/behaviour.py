@@ -236,3 +236,58 @@ def period_change(
         .withColumn("ratio", F.try_divide("total", "previous"))
         .where(F.col("ratio") >= ratio)
     )
+
+
+# Lengths of the calendar's periods.
+STEP = {"day": "1 DAY", "week": "7 DAYS", "month": "1 MONTH", "quarter": "3 MONTHS", "year": "1 YEAR"}
+
+
+def calendar_change(df: DataFrame, entity: str, ts: str, amount: str, period: str, ratio: float) -> DataFrame:
+    """Rises, restarts and silences of each entity, against the calendar period before.
+
+    A period without transactions has a total of 0. An entity's calendar runs from its first period to the
+    table's last; silent periods in a row are one row from ``first_period`` to ``last_period``, so nothing
+    is stored for empty periods. ``change`` is ``rise`` (at least ``ratio`` times the previous total),
+    ``restart`` (after silence) or ``silence``. Rows without a time or amount are left out; null entities are one.
+    """
+    start = F.date_trunc(period, ts).cast("timestamp_ntz")
+    known = df.where(F.col(ts).isNotNull() & F.col(amount).isNotNull())
+    totals = known.groupBy(F.col(entity), start.alias("_period")).agg(total(scaled(amount)).alias("_cents"))
+    end = F.lit(known.agg(F.max(start)).first()[0]).cast("timestamp_ntz")
+    step = F.expr(f"INTERVAL {STEP[period]}")
+    window = Window.partitionBy(entity).orderBy("_period")
+    beside = totals.select(
+        "*",
+        F.lag("_period").over(window).alias("_before"),
+        F.lag("_cents").over(window).alias("_earlier"),
+        F.lead("_period").over(window).alias("_after"),
+    )
+    previous = F.when(F.col("_before") + step == F.col("_period"), F.col("_earlier")).when(F.col("_before").isNotNull(), 0)
+    nothing = F.lit(0).cast("decimal(30,0)")
+    active = F.struct(
+        F.col("_period").alias("first_period"),
+        F.col("_period").alias("last_period"),
+        F.col("_cents").cast("decimal(30,0)").alias("_now"),
+        previous.cast("decimal(30,0)").alias("_then"),
+    )
+    silent = F.struct(
+        (F.col("_period") + step).alias("first_period"),
+        (F.coalesce(F.col("_after") - step, end)).alias("last_period"),
+        nothing.alias("_now"),
+        F.col("_cents").cast("decimal(30,0)").alias("_then"),
+    )
+    quiet = F.col("_period") + step <= F.coalesce(F.col("_after") - step, end)
+    runs = beside.select(entity, F.inline(F.array_compact(F.array(active, F.when(quiet, silent)))))
+    change = (
+        F.when((F.col("_now") == 0) & (F.col("_then") > 0), "silence")
+        .when((F.col("_then") == 0) & (F.col("_now") > 0), "restart")
+        .when((F.col("_then") > 0) & (F.try_divide(F.col("_now").cast("double"), F.col("_then").cast("double")) >= ratio), "rise")
+    )
+    return runs.select(
+        entity,
+        "first_period",
+        "last_period",
+        (F.col("_now").cast("double") / 100).alias("total"),
+        (F.col("_then").cast("double") / 100).alias("previous"),
+        change.alias("change"),
+    ).where("change IS NOT NULL")

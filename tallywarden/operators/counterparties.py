@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tallywarden.functions.exact import scaled, total, total_product
 from tallywarden.operators.amounts import mad_score
+from tallywarden.plans.ordered import ordering, running_sums
 from tallywarden.plans.quantiles import VALUES_PER_TASK
+from tallywarden.plans.skew import ROWS_PER_TASK
 from tallywarden.session import written
 
 
@@ -90,6 +92,40 @@ def shared_counterparties(edges: DataFrame, flagged: DataFrame, min_shared: int)
     )
 
 
+def payee_prefixes(pairs: DataFrame, min_shared: int, limit: int = ROWS_PER_TASK) -> DataFrame:
+    """The rarest payees of each payer: enough of them that payers sharing ``min_shared`` payees share one.
+
+    Payees are ordered by rarity, ties by id. Of n payees the first n - min_shared + 1 are kept, with their
+    place ``pos`` (from 1) and n; payers with fewer than ``min_shared`` payees have none. Payees that almost
+    everyone pays come last and seldom remain.
+    """
+    spread = pairs.groupBy(F.col("payee").alias("_payee")).agg(F.count(F.lit(1)).alias("degree"))
+    rated = written(pairs.join(spread, F.col("payee") == F.col("_payee")).drop("_payee"))
+    sizes = rated.groupBy(F.col("payer").alias("_payer")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_shared)
+    by = ordering(rated, ["payer"], ["degree", "payee"], limit)
+    placed = running_sums(rated, by, {"pos": F.lit(1)}).join(sizes, F.col("payer") == F.col("_payer"))
+    return placed.where(F.col("pos") <= F.col("n") - min_shared + 1).select("payer", "payee", "pos", "n")
+
+
+def shared_pairs(edges: DataFrame, min_shared: int, limit: int = ROWS_PER_TASK) -> DataFrame:
+    """Pairs of payers with at least ``min_shared`` payees in common, and how many they share.
+
+    Exact for any data, hubs included. Only payers that meet in their prefixes are compared, and only if
+    the payees that can still follow there are enough; the rest is counted payee by payee, so no payer's
+    payees are gathered into one row. Rows without a payer or payee share nothing.
+    """
+    known = edges.where("payer IS NOT NULL AND payee IS NOT NULL").select("payer", "payee").distinct()
+    pairs = written(known)
+    prefixes = written(payee_prefixes(pairs, min_shared, limit))
+    left, right = (prefixes.select(F.col("payee").alias(f"_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("payer", "pos", "n"))) for x in "ab")
+    ahead = 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    met = left.join(right, (F.col("_a") == F.col("_b")) & (F.col("payer_a") < F.col("payer_b")) & (ahead >= min_shared))
+    candidates = written(met.select("payer_a", "payer_b").distinct())
+    first = candidates.join(pairs, F.col("payer_a") == F.col("payer")).select("payer_a", "payer_b", F.col("payee").alias("_payee"))
+    both = first.join(pairs, (F.col("payer_b") == F.col("payer")) & (F.col("_payee") == F.col("payee")))
+    return both.groupBy("payer_a", "payer_b").agg(F.count(F.lit(1)).alias("n_shared")).where(F.col("n_shared") >= min_shared)
+
+
 def degree_outliers(edges: DataFrame, k: float, limit: int = VALUES_PER_TASK) -> DataFrame:
     """Payers and payees whose number of distinct counterparties is unusual for their side."""
     pairs = written(edges.select("payer", "payee").distinct())
