@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallywarden.catalogue.common import rounded
-from tallywarden.operators import amounts, behaviour, reporting as ops
+from tallywarden.operators import amounts, behaviour, reporting as ops, sketches
+from tallywarden.session import shared_folder
 from tallywarden.sources.alerts import to_alerts
 from tallywarden.sources.tables import load
 
@@ -56,11 +57,18 @@ def amount_profile(spark, sf_dir):
 
 def amount_profile_approx(spark, sf_dir):
     lines = load(spark, sf_dir, "lineitem")
-    return ops.amount_profile(lines, "l_returnflag", "l_extendedprice", PROBS, approximate=True)
+    path = shared_folder(spark, "sketches")
+    sketches.store_days(sketches.daily_sketches(lines, "l_returnflag", "l_shipdate", "l_suppkey", "l_extendedprice", "month"), path)
+    rows = sketches.checked_quantiles(lines, "l_returnflag", "l_extendedprice", spark.read.parquet(path), PROBS)
+    return rows.select(F.col("group").alias("l_returnflag"), "n", *(f"{c}_within" for c in PROBS))
 
 
 def distinct_entities(spark, sf_dir):
-    return ops.distinct_entities(load(spark, sf_dir, "events"), "event_type", "user_id")
+    events = load(spark, sf_dir, "events")
+    path = shared_folder(spark, "sketches")
+    sketches.store_days(sketches.daily_sketches(events, "event_type", "ts", "user_id", "value"), path)
+    rows = sketches.checked_distinct(events, "event_type", "user_id", spark.read.parquet(path))
+    return rows.select(F.col("group").alias("event_type"), "exact", "within_bound")
 
 
 def evaluate(spark, sf_dir):
@@ -127,6 +135,13 @@ ORACLE = {
                round(quantile_cont(l_extendedprice, 0.75), 4) AS q75, round(quantile_cont(l_extendedprice, 0.99), 4) AS q99
         FROM lineitem GROUP BY ALL
     """,
+    "amount_profile_approx": """
+        SELECT l_returnflag, count(*) AS n, true AS q25_within, true AS q50_within, true AS q75_within, true AS q99_within
+        FROM lineitem GROUP BY l_returnflag
+    """,
+    "distinct_entities": """
+        SELECT event_type, count(DISTINCT user_id) AS exact, true AS within_bound FROM events GROUP BY event_type
+    """,
     "evaluate": """
         WITH v AS (SELECT *, round(value * 100)::bigint AS cents FROM events),
         q AS (SELECT event_type, quantile_cont(cents, 0.25) AS q1, quantile_cont(cents, 0.75) AS q3,

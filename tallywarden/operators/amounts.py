@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tallywarden.functions.exact import deviation, mean, moments, scaled, total
 from tallywarden.plans.ordered import FRAME, OWN, ordering, preceding_frames, running_sums
 from tallywarden.plans.quantiles import VALUES_PER_TASK, exact_quantiles
-from tallywarden.plans.skew import ROWS_PER_TASK, attach, join_small, key_profile
+from tallywarden.plans.skew import ROWS_PER_TASK, attach, join_small, key_profile, match
 from tallywarden.session import written
 
 # Scales the median absolute deviation to a standard deviation for normal data.
@@ -131,22 +131,22 @@ def peer_rank(
     """Entities whose total is in the top share of their peer group, by percent rank.
 
     ``peers`` has one row per entity with its group. Rows are added up before
-    the group is looked up, so a busy entity costs one row per task. Equal
-    totals share a rank, so only distinct totals are ordered.
+    the group is looked up, so a busy entity costs one row per task. A null entity or
+    group counts as one of its own. Equal totals share a rank, so only distinct totals are ordered.
     """
     sums = df.groupBy(entity).agg(total(scaled(amount)).alias("_total"))
-    totals = written(sums.join(peers.select(entity, peer), entity))
+    totals = written(match(sums, peers.select(entity, peer), [entity]))
     tied = totals.groupBy(peer, "_total").agg(F.count(F.lit(1)).alias("_tied"))
     upto = running_sums(tied, ordering(tied, [peer], ["_total"], limit), {"_upto": F.col("_tied")})
     sizes = totals.groupBy(peer).agg(F.count(F.lit(1)).alias("_size"))
     rank = F.try_divide(F.col("_upto") - F.col("_tied"), F.col("_size") - 1)
     ranked = (
-        upto.join(sizes, peer)
+        match(upto, sizes, [peer])
         .withColumn("percent_rank", F.coalesce(rank, F.lit(0.0)))
         .where(F.col("percent_rank") >= p)
         .select(peer, "_total", "percent_rank")
     )
-    return totals.join(ranked, [peer, "_total"]).select(
+    return match(totals, ranked, [peer, "_total"]).select(
         entity, peer, (F.col("_total").cast("double") / 100).alias("total"), "percent_rank"
     )
 

@@ -19,14 +19,16 @@ def risk_score(alerts: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Alerts and weighted score per entity; a detector without a weight counts zero.
 
     Alerts are first counted per entity and detector, so that the weights are
-    applied to counts and a busy entity is counted by many tasks.
+    applied to counts and a busy entity is counted by many tasks. Weights are added up as
+    decimals, so that a score does not depend on the order of its alerts.
     """
     counts = alerts.groupBy("entity_id", "detector").agg(F.count(F.lit(1)).alias("_n"))
     weight = F.coalesce(
-        *(F.when(F.col("detector") == d, F.lit(float(w))) for d, w in weights.items()), F.lit(0.0)
+        *(F.when(F.col("detector") == d, F.lit(str(w)).cast("decimal(18,9)")) for d, w in weights.items()),
+        F.lit(0).cast("decimal(18,9)"),
     )
     return counts.groupBy("entity_id").agg(
-        F.sum("_n").alias("n_alerts"), F.sum(F.col("_n") * weight).alias("score")
+        F.sum("_n").alias("n_alerts"), F.sum((F.col("_n") * weight).cast("decimal(28,9)")).cast("double").alias("score")
     )
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallywarden.functions.text import normalise, without_accents
-from tallywarden.operators import amounts, behaviour, counterparties, protection
+from tallywarden.operators import amounts, behaviour, counterparties, protection, reporting, sketches
 
 
 def rings(seed):
@@ -96,3 +96,41 @@ def test_a_singular_matrix_gives_no_distance(spark):
         assert amounts.mahalanobis_distance(df, names, 1.0).count() == 0
     assert amounts.mahalanobis_distance(df.where("false"), ["a", "d"]).count() == 0
     assert amounts.mahalanobis_distance(df, ["a", "d"]).where("d2 IS NULL").count() == 0
+
+
+def test_stored_days_merge_and_are_replaced(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [("a" if i % 3 else None, datetime(2024, 1, 1 + i % 9), rng.randint(1, 4000), float(rng.lognormvariate(3, 1))) for i in range(9000)]
+    rows += [("empty", datetime(2024, 1, 1), None, None)]
+    df = spark.createDataFrame(rows, "grp string, ts timestamp_ntz, who bigint, amount double")
+    path = f"{tmp_path}/sketches"
+    make = lambda d: sketches.daily_sketches(d, "grp", "ts", "who", "amount")
+    sketches.store_days(make(df.where("day(ts) < 7")), path)
+    sketches.store_days(make(df.where("day(ts) >= 5")), path)  # days 5 and 6 once more
+    stored = spark.read.parquet(path)
+    assert stored.agg(F.sum("n")).first()[0] == len(rows)
+    exact = {r["group"]: r for r in sketches.checked_distinct(df, "grp", "who", stored).collect()}
+    want = {g: len({r[2] for r in rows if r[0] == g and r[2]}) for g in ("a", None, "empty")}
+    assert {g: r["exact"] for g, r in exact.items()} == want and all(r["within_bound"] for r in exact.values())
+    found = {r["group"]: r for r in sketches.checked_quantiles(df, "grp", "amount", stored, {"q10": 0.1, "q90": 0.9}).collect()}
+    assert set(found) == {"a", None} and all(r["q10_within"] and r["q90_within"] for r in found.values())
+    # Some days only: the answer comes from their sketches.
+    some = sketches.distinct_estimate(stored.where("day = DATE '2024-01-02'")).where("group = 'a'").first()["estimate"]
+    assert some == pytest.approx(len({r[2] for r in rows if r[0] == "a" and r[1].day == 2}), rel=sketches.COUNT_BOUND)
+    # A wrong sketch is noticed.
+    doubled = df.withColumns({"who": F.col("who") % 100, "amount": F.col("amount") * 2})
+    assert not any(r["within_bound"] for r in sketches.checked_distinct(df.where("grp = 'a'"), "grp", "who", make(doubled)).collect())
+    assert not any(r["q90_within"] for r in sketches.checked_quantiles(df, "grp", "amount", make(doubled), {"q90": 0.9}).collect())
+
+
+def test_unknown_entities_and_groups_have_a_rank(spark):
+    pay = spark.createDataFrame([(None, 9.0), (1, 5.0), (2, 7.0), (3, 1.0)], "who bigint, amount double")
+    peers = spark.createDataFrame([(None, "x"), (1, "x"), (2, None), (3, None)], "who bigint, peer string")
+    found = amounts.peer_rank(pay, "who", "amount", peers, "peer", 0.5)
+    assert {(r["who"], r["peer"], r["percent_rank"]) for r in found.collect()} == {(None, "x", 1.0), (2, None, 1.0)}
+
+
+def test_scores_of_decimal_weights_do_not_depend_on_order(spark):
+    alerts = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("a", 2), ("z", 2)], "detector string, entity_id bigint")
+    found = reporting.risk_score(alerts, {"a": 0.1, "b": 0.2, "c": 0.3}).collect()
+    assert {(r["entity_id"], r["n_alerts"], r["score"]) for r in found} == {(1, 3, 0.6), (2, 2, 0.1)}
