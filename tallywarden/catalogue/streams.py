@@ -40,6 +40,14 @@ def stream_sessions(spark, sf_dir):
     return _windowed(windows.sessions(stream_events(spark, sf_dir), "user_id", "value", "30 minutes"), "sessions")
 
 
+def stream_sessions_stitched(spark, sf_dir):
+    hours = 6 * 3600
+    parts = windows.partial_sessions(stream_events(spark, sf_dir), "user_id", "value", "30 minutes", hours)
+    table, query = sinks.run_to_table(parts, "partial-sessions")
+    rows = windows.stitched(table, "user_id", "30 minutes", hours, sinks.final_watermark(query))
+    return rows.select("user_id", *_naive("window_start", "window_end"), "n", rounded("amount", 2))
+
+
 def stream_dedup(spark, sf_dir):
     # Two feeds that deliver the same events.
     feeds = stream_events(spark, sf_dir).union(stream_events(spark, sf_dir))
@@ -96,6 +104,7 @@ QUERIES = {
     "stream_tumbling": stream_tumbling,
     "stream_sliding": stream_sliding,
     "stream_sessions": stream_sessions,
+    "stream_sessions_stitched": stream_sessions_stitched,
     "stream_dedup": stream_dedup,
     "stream_sequence": stream_sequence,
     "stream_enrich": stream_enrich,
@@ -130,6 +139,16 @@ ORACLE = {
                      count(*) AS n, {_SUM} FROM n GROUP BY user_id, session)
         SELECT * EXCLUDE (session) FROM g WHERE window_end <= {_CLOSED}
     """,
+    "stream_sessions_stitched": f"""
+        WITH s AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS starts
+                   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+        n AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id
+                                          ROWS UNBOUNDED PRECEDING) AS session FROM s),
+        g AS (SELECT user_id, session, min(ts) AS window_start, max(ts) + INTERVAL 30 MINUTES AS window_end,
+                     count(*) AS n, {_SUM} FROM n GROUP BY user_id, session)
+        SELECT * EXCLUDE (session) FROM g 
+        WHERE time_bucket(INTERVAL 6 HOURS, window_end) + INTERVAL 6 HOURS + INTERVAL 30 MINUTES <= {_CLOSED}
+    """,
     "stream_dedup": "SELECT event_id, ts, user_id FROM events",
     "stream_sequence": """
         SELECT event_id, user_id, ts FROM events b WHERE event_type = 'purchase' AND EXISTS

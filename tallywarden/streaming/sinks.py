@@ -51,6 +51,11 @@ def alert_sink(path: str) -> Callable[[DataFrame, int], None]:
     return lambda alerts, batch_id: write_batch(alerts, path, batch_id)
 
 
+def final_watermark(query: StreamingQuery) -> str:
+    """The watermark of a query's last batch."""
+    return query.recentProgress[-1]["eventTime"]["watermark"]
+
+
 def late_report(spark: SparkSession, query: StreamingQuery) -> DataFrame:
     """Per batch: rows read, rows dropped as late, rows held in state.
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallywarden.functions.exact import scaled, total
+from tallywarden.plans.ordered import last_before, ordering, running_sums
+from tallywarden.plans.skew import ROWS_PER_TASK
 
 
 def _measures(amount: str) -> list[Column]:
@@ -41,6 +43,51 @@ def sessions(events: DataFrame, entity: str, amount: str, gap: str) -> DataFrame
     return _flat(events.groupBy(F.session_window("ts", gap), entity).agg(*_measures(amount)), "session_window")
 
 
+def partial_sessions(events: DataFrame, entity: str, amount: str, gap: str, bucket_seconds: int) -> DataFrame:
+    """Sessions cut at time buckets: entity, bucket, first_ts, last_ts, n and cents.
+
+    The bucket is part of the state's key. An entity that never rests is so spread over tasks, and no state row
+    or task holds more of a session than a bucket of it. ``stitched`` puts the parts together.
+    """
+    bucket = F.floor(F.unix_micros("ts") / F.lit(bucket_seconds * 1_000_000)).cast("bigint").alias("bucket")
+    grouped = events.groupBy(F.session_window("ts", gap), entity, bucket).agg(
+        F.count(F.lit(1)).alias("n"), total(scaled(amount)).alias("cents")
+    )
+    return grouped.select(
+        entity,
+        "bucket",
+        F.col("session_window.start").alias("first_ts"),
+        (F.col("session_window.end") - F.expr(f"INTERVAL {gap}")).alias("last_ts"),
+        "n",
+        "cents",
+    )
+
+
+def stitched(
+    parts: DataFrame, entity: str, gap: str, bucket_seconds: int, watermark: str, limit: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Whole sessions from stored parts: parts no further apart than ``gap`` are one session.
+
+    Only sessions that nothing can continue any more are returned: a part that begins before a session's end
+    lies in the bucket of that end or earlier, and has been stored once the ``watermark`` (UTC) is a gap beyond that bucket.
+    An entity has a row for each bucket and pause, and a large one is cut as in batch mode.
+    """
+    by = ordering(parts, [entity], ["first_ts"], limit)
+    pause = F.expr(f"INTERVAL {gap}")
+    known = last_before(parts, by, {"_before": F.col("last_ts")})
+    begins = F.when(F.col("_before").isNull() | (F.col("first_ts") > F.col("_before") + pause), 1).otherwise(0)
+    numbered = running_sums(known, by, {"_session": begins})
+    sessions_ = numbered.groupBy(entity, "_session").agg(
+        F.sum("n").alias("n"),
+        (F.sum("cents").cast("double") / 100).alias("amount"),
+        F.min("first_ts").alias("window_start"),
+        (F.max("last_ts") + pause).alias("window_end"),
+    )
+    width = F.lit(bucket_seconds * 1_000_000)
+    bucket_end = F.timestamp_micros(((F.floor(F.unix_micros("window_end") / width) + 1) * width).cast("bigint"))
+    return sessions_.where(bucket_end + pause <= F.to_timestamp(F.lit(watermark))).drop("_session")
+
+
 def _flat(df: DataFrame, window: str) -> DataFrame:
     rest = [c for c in df.columns if c != window]
     return df.select(

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tallywarden.operators import amounts
+from tallywarden.operators import amounts, behaviour
 from tallywarden.sources.tables import stream_events
 from tallywarden.streaming import sinks, state, windows
 from tallywarden.streaming.profile import profile_scorer
@@ -183,3 +183,28 @@ def test_late_rows_of_more_than_a_hundred_batches(spark, tmp_path):
     rows = sinks.late_rows(spark, f"{tmp_path}/late").orderBy("batch_id").collect()
     assert len(rows) == 104 and [r["batch_id"] for r in rows if r["late_rows"]] == list(range(9, 103, 10))
     assert rows[103]["input_rows"] == 0 and rows[103]["watermark"] == T0 + timedelta(minutes=1019)
+
+
+@pytest.mark.parametrize("limit", [4, 10**6])
+def test_stitched_sessions_equal_batch(spark, feed, limit):
+    # One entity goes on for hours over many buckets and two files, another pauses.
+    rows = [event(i, 7 * i, user=1, value=float(i)) for i in range(80)] + [event(100 + i, 45 * i, user=2) for i in range(12)]
+    rows += [event(200, 600, user=1), event(201, 620, user=1), event(202, 651, user=3), event(203, 680, user=3)]
+    folder = feed([r for r in rows if r[1] < T0 + timedelta(hours=4)], [r for r in rows if r[1] >= T0 + timedelta(hours=4)], [event(300, 2000, user=9)])
+    parts = windows.partial_sessions(stream_events(spark, folder, "10 minutes", 1), "user_id", "value", "30 minutes", 3600)
+    table, query = sinks.run_to_table(parts, "test-parts")
+    # No part, and so no state row, reaches beyond its bucket.
+    assert table.where("floor(unix_seconds(last_ts) / 3600) <> bucket OR floor(unix_seconds(first_ts) / 3600) <> bucket").count() == 0
+    got = windows.stitched(table, "user_id", "30 minutes", 3600, sinks.final_watermark(query), limit)
+    want = behaviour.sessions(spark.createDataFrame(rows, SCHEMA), "user_id", "ts", "event_id", "value", "30 minutes")
+    key = lambda df, start, end: sorted((r["user_id"], r[start], r[end], r["n"], r["amount"]) for r in df.collect())
+    assert key(got, "window_start", "window_end") == key(want, "session_start", "session_end")
+
+
+def test_sessions_that_may_go_on_are_held_back(spark, feed):
+    folder = feed([event(i, 20 * i, user=1) for i in range(10)] + [event(50, 205, user=2)])
+    parts = windows.partial_sessions(stream_events(spark, folder), "user_id", "value", "30 minutes", 3600)
+    table, query = sinks.run_to_table(parts, "test-open")
+    # The watermark of 195 minutes has passed some buckets' parts, but not the session's last one.
+    assert table.count() > 0
+    assert windows.stitched(table, "user_id", "30 minutes", 3600, sinks.final_watermark(query)).count() == 0
