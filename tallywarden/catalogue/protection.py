@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallywarden.functions.text import CARD, EMAIL, PHONE
 from tallywarden.operators import protection as ops
+from tallywarden.session import shared_folder
 from tallywarden.sources.tables import load
 
 SALT = "example-salt"
@@ -42,6 +43,16 @@ def screen_fuzzy(spark, sf_dir):
     return hits.select("s_suppkey", "s_name", "entry", "distance")
 
 
+def screen_recall(spark, sf_dir):
+    # The list is indexed and stored once.
+    suppliers = load(spark, sf_dir, "supplier")
+    listed = suppliers.where("s_acctbal < 500").select(F.translate("s_name", "ui", "úï").alias("entry"))
+    path = shared_folder(spark, "names")
+    ops.index_names(listed, "entry", 2).write.parquet(path)
+    found = ops.screening_recall(suppliers, "s_name", listed, "entry", 2, spark.read.parquet(path))
+    return found.select("n_exact", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
 def scan_sensitive(spark, sf_dir):
     return ops.scan_sensitive(load(spark, sf_dir, "documents"), "text", "source")
 
@@ -52,6 +63,7 @@ QUERIES = {
     "k_anonymity": k_anonymity,
     "screen_exact": screen_exact,
     "screen_fuzzy": screen_fuzzy,
+    "screen_recall": screen_recall,
     "scan_sensitive": scan_sensitive,
 }
 
@@ -76,6 +88,12 @@ ORACLE = {
                levenshtein({_NORMAL.format("a.s_name")}, {_NORMAL.format("entry")})::int AS distance
         FROM supplier a, l WHERE levenshtein({_NORMAL.format("a.s_name")}, {_NORMAL.format("entry")}) <= 1
     """,
+    "screen_recall": f"""
+        WITH l AS (SELECT DISTINCT {_NORMAL.format("translate(s_name, 'ui', 'úï')")} AS entry
+                   FROM supplier WHERE s_acctbal < 500),
+        s AS (SELECT DISTINCT {_NORMAL.format("s_name")} AS name FROM supplier)
+        SELECT count(*) AS n_exact, true AS recall_reached FROM s, l WHERE levenshtein(name, entry) <= 2
+    """,
     "scan_sensitive": f"""
         WITH m AS (SELECT source, len(regexp_extract_all(text, '{EMAIL}')) AS e,
                           len(regexp_extract_all(text, '{PHONE}')) AS p,

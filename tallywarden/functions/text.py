@@ -86,3 +86,19 @@ def _one_deletion(text: Column) -> Column:
             lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))),
         ),
     ).otherwise(F.array().cast("array<string>"))
+
+
+def band_signatures(name: Column, bands: int, rows: int) -> Column:
+    """MinHash signatures of a name's letter pairs, one for each band of ``rows`` hashes.
+
+    Names that share a large part of their pairs share a signature with high probability: 1 - (1 - j^rows)^bands
+    for a Jaccard similarity j. The name's ends count as letters, so that a name of one letter has pairs too.
+    """
+    padded = F.concat(F.lit("^"), name, F.lit("$"))
+    pairs = F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, F.lit(2)))
+
+    def least(seed: int) -> Column:
+        return F.array_min(F.transform(pairs, lambda g: F.xxhash64(g, F.lit(seed))))
+
+    signatures = [F.xxhash64(F.lit(b), *(least(b * rows + r) for r in range(rows))) for b in range(bands)]
+    return F.when(name.isNotNull(), F.array(*signatures))

@@ -8,6 +8,7 @@ from tallywarden.functions.text import (
     CARD,
     EMAIL,
     PHONE,
+    band_signatures,
     luhn_valid,
     masked,
     normalise,
@@ -71,6 +72,63 @@ def screen_fuzzy(
     return ours.join(near, "_name").join(theirs, "_entry").drop("_name", "_entry")
 
 
+# Bands of an index of names, and hashes in each.
+BANDS, ROWS_PER_BAND = 20, 2
+# Names up to this length share too few letter pairs with near ones. They are indexed by what is left after deletions.
+SHORT = 10
+
+
+def _signatures(name: Column, max_dist: int, longest: int) -> Column:
+    """Signatures of a name's bands and, up to a length, of all texts it can be shortened to."""
+    shortened = F.transform(within_deletions(name, max_dist), lambda v: F.xxhash64(F.lit("shortened"), v))
+    bands = band_signatures(name, BANDS, ROWS_PER_BAND)
+    both = F.when(F.length(name) <= longest, F.concat(bands, shortened)).otherwise(bands)
+    return F.when(F.length(name) <= F.lit(SHORT), shortened).otherwise(both)
+
+
+def index_names(watchlist: DataFrame, listed: str, max_dist: int) -> DataFrame:
+    """Index of a list of names for screenings with up to ``max_dist`` edits, to be stored and used any number of times.
+
+    Each distinct normalised name is there under its signatures: ``BANDS`` of them, or for names of up to
+    ``SHORT`` characters all that deletions make of them, a number that ``SHORT`` bounds.
+    """
+    entries = watchlist.select(normalise(F.col(listed)).alias("entry")).where("entry IS NOT NULL").distinct()
+    return entries.select("entry", F.explode(_signatures(F.col("entry"), max_dist, SHORT)).alias("signature"))
+
+
+def screen_indexed(df: DataFrame, name: str, index: DataFrame, max_dist: int) -> DataFrame:
+    """Rows with indexed names at most ``max_dist`` edits from their own: ``entry`` and ``distance`` are added.
+
+    Names that share a signature are compared letter by letter, so every hit is a true one. None is missed
+    among names of up to ``SHORT`` characters, few among longer ones. ``screen_fuzzy`` misses none at all but
+    needs about (length ^ max_dist) / max_dist! rows a name.
+    """
+    ours = df.withColumn("_name", normalise(F.col(name)))
+    names = ours.select("_name").where(F.col("_name").isNotNull()).distinct()
+    signed = names.select("_name", F.explode(_signatures(F.col("_name"), max_dist, SHORT + max_dist)).alias("_signature"))
+    together = signed.join(index, F.col("_signature") == F.col("signature"))
+    near = (
+        together.select("_name", "entry")
+        .distinct()
+        .withColumn("distance", F.levenshtein("_name", "entry", max_dist))
+        .where("distance >= 0")
+        .withColumnRenamed("_name", "_found")
+    )
+    return ours.join(near, F.col("_name") == F.col("_found")).drop("_name", "_found")
+
+
+def screening_recall(df: DataFrame, name: str, watchlist: DataFrame, listed: str, max_dist: int, index: DataFrame) -> DataFrame:
+    """How many of the exact near matches an index finds: n_exact, n_found and recall, one row."""
+    exact = screen_fuzzy(df.select(name), name, watchlist.select(listed), listed, max_dist)
+    pairs = exact.select(normalise(F.col(name)).alias("_a"), normalise(F.col(listed)).alias("_b"), F.lit(1).alias("_exact"), F.lit(0).alias("_found"))
+    found = screen_indexed(df.select(name), name, index, max_dist)
+    both = pairs.unionByName(found.select(normalise(F.col(name)).alias("_a"), F.col("entry").alias("_b"), F.lit(0).alias("_exact"), F.lit(1).alias("_found")))
+    each = both.groupBy("_a", "_b").agg(F.max("_exact").alias("_exact"), F.max("_found").alias("_found"))
+    return each.agg(
+        F.coalesce(F.sum("_exact"), F.lit(0)).alias("n_exact"), F.coalesce(F.sum("_found"), F.lit(0)).alias("n_found")
+    ).withColumn("recall", F.try_divide("n_found", "n_exact"))
+
+
 def scan_sensitive(df: DataFrame, text: str, by: str) -> DataFrame:
     """Per store of records: how many hold e-mail addresses, phone and card numbers, and how many of each.
 

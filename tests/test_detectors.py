@@ -134,3 +134,31 @@ def test_scores_of_decimal_weights_do_not_depend_on_order(spark):
     alerts = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("a", 2), ("z", 2)], "detector string, entity_id bigint")
     found = reporting.risk_score(alerts, {"a": 0.1, "b": 0.2, "c": 0.3}).collect()
     assert {(r["entity_id"], r["n_alerts"], r["score"]) for r in found} == {(1, 3, 0.6), (2, 2, 0.1)}
+
+
+def test_indexed_screening_finds_nearly_all_of_the_exact_hits(spark):
+    rng = random.Random(8)
+    syllables = ["ka", "ro", "lin", "mar", "te", "sö", "bel", "dan", "vi", "ho"]
+    listed = [" ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 3))) for _ in range(300)]
+
+    def edited(name):
+        at = rng.randrange(len(name))
+        return name[:at] + rng.choice(["", "x", name[at] + "y"]) + name[at + 1 :]
+
+    people = [(i, edited(edited(n)) if i % 2 else edited(n).upper()) for i, n in enumerate(listed * 2)] + [(9999, None), (9998, "--")]
+    df = spark.createDataFrame(people, "id int, name string")
+    entries = spark.createDataFrame([(n,) for n in [*listed, None]], "entry string")
+    index = protection.index_names(entries, "entry", 2)
+    sizes = index.groupBy(F.length("entry") > protection.SHORT, "entry").count().toDF("long", "entry", "n")
+    assert {r["n"] for r in sizes.where("long").collect()} == {protection.BANDS} and sizes.agg(F.max("n")).first()[0] <= 56
+    found = protection.screen_indexed(df, "name", index, 2).collect()
+    exact = protection.screen_fuzzy(df, "name", entries, "entry", 2).select("id", normalise(F.col("entry")).alias("e"), "distance").distinct()
+    want = {tuple(r) for r in exact.collect()}
+    got = {(r["id"], r["entry"], r["distance"]) for r in found}
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 500
+    short = {w for w in want if len(w[1]) <= protection.SHORT}
+    assert short <= got and short
+    (row,) = protection.screening_recall(df, "name", entries, "entry", 2, index).collect()
+    assert 0.9 <= row["recall"] <= 1 and row["n_found"] <= row["n_exact"]
+    (row,) = protection.screening_recall(df.where("false"), "name", entries, "entry", 2, index).collect()
+    assert (row["n_exact"], row["n_found"], row["recall"]) == (0, 0, None)
