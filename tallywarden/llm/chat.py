@@ -26,7 +26,7 @@ def turn_prefixes(turns: DataFrame, limit: int = ROWS_PER_TASK) -> DataFrame:
     """Number the turns of each conversation from 1 and add the digest of all turns up to each.
 
     Turns go by ``turn``, nulls first, ties by role and text. Null roles and texts are read as empty. Rows
-    without a ``conv_id`` are one conversation.
+    without a ``conv_id`` are one conversation. An empty log has no turns.
     """
     said = turns.select(
         "conv_id",
@@ -35,7 +35,7 @@ def turn_prefixes(turns: DataFrame, limit: int = ROWS_PER_TASK) -> DataFrame:
         F.coalesce("text", F.lit("")).alias("text"),
     )
     said = said.withColumn("_said", F.md5(F.concat(F.length("role"), F.lit("|"), "role", "text")))
-    by = ordering(said, ["conv_id"], ["turn", "_said"], limit)
+    by = ordering(said, ["conv_id"], ["turn", "role", "text"], limit)
     numbered = running_sums(said, by, {"_n": F.lit(1)})
     at = F.md5(F.concat_ws("|", F.col("_n").cast("string"), "_said"))
 
