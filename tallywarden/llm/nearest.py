@@ -32,30 +32,37 @@ def integer_vectors(embeddings: DataFrame, scale: int = 64) -> DataFrame:
     """
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = embeddings.where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)))
-    vec = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("int"))
+    vec = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long"))
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec"))
 
 
 def matrix(packed: pd.Series, width: int) -> np.ndarray:
+    """Packed vectors as whole numbers; components take four bytes, or eight where any needs them."""
     if not len(packed):
-        return np.zeros((0, width))
-    return np.frombuffer(b"".join(packed), dtype="<i4").reshape(len(packed), width).astype(np.float64)
+        return np.zeros((0, width), np.int64)
+    kind = f"<i{len(packed.iloc[0]) // width}"
+    return np.frombuffer(b"".join(packed), dtype=kind).reshape(len(packed), width).astype(np.int64)
 
 
 def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of whole numbers as int64, exact at any size that fits."""
-    largest = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1]
+    """Inner products of whole numbers as int64, exact at any size that fits; beyond it an error."""
+    largest = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * a.shape[1]
     if largest < 2**53:
-        return (a @ b.T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T
+        return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
+    if largest < 2**63:
+        return a @ b.T
+    exact = a.astype(object) @ b.T.astype(object)
+    if any(abs(x) >= 2**63 for x in exact.ravel()):
+        raise OverflowError("a score does not fit a long")
+    return exact.astype(np.int64)
 
 
-def grouped(vectors: DataFrame, width: int, pivots: np.ndarray) -> DataFrame:
+def grouped(vectors: DataFrame, width: int, pivots: np.ndarray, kind: str = "<i4") -> DataFrame:
     """Pack each distinct vector and add its pivot, its distance from it and its length."""
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            x = np.zeros((len(rows), width), dtype="<i4")
+            x = np.zeros((len(rows), width), dtype=kind)
             for i, v in enumerate(rows["vec"]):
                 x[i, : len(v)] = v
             wide = x.astype(np.float64)
@@ -80,7 +87,7 @@ def top_scores(embeddings: DataFrame, asks: Column, k: int = 20, scale: int = 64
     """The k highest scores of each query row against all other rows, ties to the smaller id.
 
     ``asks`` marks the query rows by ``vec_id``. Shorter vectors count as padded with zeros. Rows equal in id
-    and vector count once. With fewer than k other rows all are returned; an empty table gives none.
+    and vector count once. Components may be as large as scores fit a long; a score that does not is an error. With fewer than k other rows all are returned; an empty table gives none.
     Returns query_id, rank (from 1), vec_id, score.
     """
     spark = embeddings.sparkSession
@@ -96,16 +103,18 @@ def top_scores(embeddings: DataFrame, asks: Column, k: int = 20, scale: int = 64
     queries = kept(rows.where(asks).select("vid", F.col("vec_id").alias("query_id")), "queries")
     asked = queries.select("vid").distinct().withColumn("asks", F.lit(True))
     vectors = kept(distinct.join(asked, "vid", "left").fillna(False, ["asks"]), "vectors")
-    seen = vectors.agg(F.max(F.size("vec")).alias("width"), F.count(F.lit(1)).alias("n")).first()
+    largest = F.max(F.greatest(F.abs(F.array_max("vec")), F.abs(F.array_min("vec")))).alias("largest")
+    seen = vectors.agg(F.max(F.size("vec")).alias("width"), F.count(F.lit(1)).alias("n"), largest).first()
     width, n = seen["width"] or 1, seen["n"]
+    kind = "<i4" if (seen["largest"] or 0) < 2**31 else "<i8"
 
     # Hash order makes the sample random and the same in every run.
     sample = [r["vec"] for r in vectors.orderBy("vid").limit(SAMPLE).select("vec").collect()]
-    known = np.zeros((len(sample), width))
+    known = np.zeros((len(sample), width), np.int64)
     for i, v in enumerate(sample):
         known[i, : len(v)] = v
-    centres = known[:pivots] if len(known) else np.zeros((1, width))
-    cells = kept(grouped(vectors, width, centres), "cells")
+    centres = known[:pivots].astype(np.float64) if len(known) else np.zeros((1, width))
+    cells = kept(grouped(vectors, width, centres, kind), "cells")
 
     @F.pandas_udf("double")
     def reached(packed: pd.Series) -> pd.Series:
@@ -130,9 +139,11 @@ def top_scores(embeddings: DataFrame, asks: Column, k: int = 20, scale: int = 64
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            x = matrix(part["packed"], width)
-            # A little more than the bound, for the rounding of roots.
-            most = x @ centres[which].T + radius[None, :] * np.sqrt((x**2).sum(1))[:, None] * (1 + 1e-9) + 1
+            x = matrix(part["packed"], width).astype(np.float64)
+            length = np.sqrt((x**2).sum(1))[:, None]
+            # A little more than the bound, for the rounding of roots and products.
+            slack = 1 + 1e-9 * length * (radius + np.sqrt((centres[which] ** 2).sum(1)))[None, :]
+            most = x @ centres[which].T + radius[None, :] * length + slack
             row, cell = np.nonzero(most >= floor[None, :])
             taken = part.iloc[row]
             yield pd.DataFrame({"cell": which[cell], "vid": taken["vid"].values, "ids": taken["ids"].values, "packed": taken["packed"].values})
