@@ -33,6 +33,11 @@ def whole(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def free_prefix(columns: list[str]) -> str:
+    """More underscores than any column begins with, so that names made with it clash with none."""
+    return "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in columns), default=0))
+
+
 def text_key(text: str | Column) -> Column:
     return F.unhex(F.md5(whole(text)))
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallywarden.llm.common import whole
+from tallywarden.llm.common import free_prefix, whole
 
 # Means above this are drawn as the sum of several draws with equal parts of the mean.
 MEAN_PER_DRAW = 8.0
@@ -65,29 +65,32 @@ def mix_sources(docs: DataFrame, shares: dict[str, float], epochs: float = 1.0,
     """Documents repeated to the target shares, in a global random order.
 
     Adds ``copy`` (from 1) and ``shuffle_key``; columns of these names are replaced. Documents
-    drawn zero times are left out. A null source belongs to the others. A null id draws
+    drawn zero times are left out; an empty table gives none. A null text counts as empty. A share of a source that
+    has no documents is not dealt to others. A null source belongs to the others. A null id draws
     by its text. Repeated rows draw the same number, each of its own. The rows are dealt to partitions
     by ``shuffle_key`` and sorted by it within each.
     """
     own = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
+    free = free_prefix(docs.columns)
+    named_of, rate_of, table, number, times_ = (free + name for name in ("named_of", "rate_of", "table", "draws", "times"))
     rates = repetition_rates(docs, shares, epochs)
     draws = F.greatest(F.ceil(F.col("_rate") / MEAN_PER_DRAW), F.lit(1)).cast("int")
     rates = rates.select("_named", draws.alias("_draws"), (F.col("_rate") / draws).alias("_mean"))
-    rates = rates.select("_named", "_draws", inverse_table(F.col("_mean")).alias("_table"))
+    rates = rates.select(F.col("_named").alias(rate_of), F.col("_draws").alias(number), inverse_table(F.col("_mean")).alias(table))
     named = F.when(F.col("source").isin(list(shares)), F.col("source"))
-    placed = docs.select(*own).withColumn("_named_of", named)
+    placed = docs.select(*own).withColumn(named_of, named)
     # The table of rates has a row per named source and one more.
-    joined = placed.join(F.broadcast(rates), F.col("_named_of").eqNullSafe(F.col("_named")))
+    joined = placed.join(F.broadcast(rates), F.col(named_of).eqNullSafe(F.col(rate_of)))
     name = F.coalesce(F.col("doc_id").cast("string"), F.md5(whole("text")))
 
     def drawn(count: Column, draw: Column) -> Column:
         at = uniform(F.lit(str(seed)), draw.cast("string"), name)
         # Bound once, so that the hash isn't taken for each step of the table.
-        return count + F.transform(F.array(at), lambda u: F.size(F.filter("_table", lambda c: c <= u)))[0]
+        return count + F.transform(F.array(at), lambda u: F.size(F.filter(table, lambda c: c <= u)))[0]
 
-    counts = F.aggregate(F.sequence(F.lit(1), F.col("_draws")), F.lit(0), drawn)
-    times = joined.select(*own, counts.alias("_times")).where("_times > 0")
-    copies = times.select(*own, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("copy"))
+    counts = F.aggregate(F.sequence(F.lit(1), F.col(number)), F.lit(0), drawn)
+    times = joined.select(*own, counts.alias(times_)).where(F.col(times_) > 0)
+    copies = times.select(*own, F.explode(F.sequence(F.lit(1), F.col(times_))).alias("copy"))
     key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed} order"), name, "copy")), 1, 15), 16, 10)
     keyed = copies.withColumn("shuffle_key", key.cast("long"))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id")
