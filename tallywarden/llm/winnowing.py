@@ -2,7 +2,9 @@
 
 Every ``GRAM`` words in a row are hashed. Of every ``WINDOW`` hashes in a row the
 smallest is kept, the rightmost of equals, with its position. Two texts that share
-GRAM + WINDOW - 1 words in a row therefore share a kept hash. All of it is column
+GRAM + WINDOW - 1 words in a row therefore share a kept hash. Texts too short for that
+keep all their hashes and some of their letters', and a word as long as a sentence counts
+letter by letter, as scripts without spaces have them. All of it is column
 expressions, so it runs inside the JVM without shuffling the text for it.
 """
 
@@ -16,6 +18,8 @@ from tallywarden.llm.common import text_key, whole
 
 GRAM = 3
 WINDOW = 8
+# Longer words are taken letter by letter. Texts with fewer words keep all grams, of words and of letters.
+LONG_WORD, SHORT, LETTERS = 24, 20, 3
 # A kept hash has 36 bits; the 27 below them hold its position counted from the largest.
 POSITION_BITS = 27
 LAST_POSITION = (1 << POSITION_BITS) - 1
@@ -36,6 +40,16 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, " "), "")
 
 
+def units(text: Column) -> Column:
+    """The words of a text; of words of more than ``LONG_WORD`` characters, the characters."""
+
+    def split(all_words: Column) -> Column:
+        apart = F.flatten(F.transform(all_words, lambda w: F.when(F.length(w) > LONG_WORD, F.split(w, "")).otherwise(F.array(w))))
+        return F.when(F.exists(all_words, lambda w: F.length(w) > LONG_WORD), F.array_remove(apart, "")).otherwise(all_words)
+
+    return bound(words(text), split)
+
+
 def packed(hashed: Column, position: Column) -> Column:
     """Hash and position in one number: the smallest is the smallest hash, rightmost first."""
     return F.shiftleft(F.shiftrightunsigned(hashed, 64 - 36), POSITION_BITS).bitwiseOR(
@@ -47,17 +61,18 @@ def fingerprint(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
     """Kept hashes with positions, packed, in the order of the text.
 
     Fewer than ``gram`` words are hashed as one; a text without words has no hashes. The
-    guarantee: texts with gram + window - 1 words in a row in common share a kept hash.
+    guarantee: texts with gram + window - 1 words in a row in common share a kept hash. Texts of fewer than ``SHORT``
+    words keep all hashes, followed by those of ``LETTERS`` characters in a row: with the longest word, some 500.
     """
 
-    def grams(h: Column) -> Column:
+    def grams(h: Column, size: int) -> Column:
         return F.when(
-            F.size(h) >= gram,
+            F.size(h) >= size,
             F.transform(
-                F.sequence(F.lit(0), F.size(h) - gram),
-                lambda i: packed(F.xxhash64(*(F.get(h, i + j) for j in range(gram))), i),
+                F.sequence(F.lit(0), F.size(h) - size),
+                lambda i: packed(F.xxhash64(*(F.get(h, i + j) for j in range(size))), i),
             ),
-        ).otherwise(F.when(F.size(h) > 0, F.array(packed(F.xxhash64(h), F.lit(0)))).otherwise(F.array().cast("array<long>")))
+        )
 
     def minima(g: Column) -> Column:
         return F.when(
@@ -65,10 +80,21 @@ def fingerprint(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
             F.array_distinct(
                 F.transform(F.sequence(F.lit(1), F.size(g) - window + 1), lambda i: F.array_min(F.slice(g, i, window)))
             ),
-        ).otherwise(F.when(F.size(g) > 0, F.array(F.array_min(g))).otherwise(g))
+        ).otherwise(g)
+
+    nothing = F.array().cast("array<long>")
+
+    def of_few(w: Column, h: Column) -> Column:
+        one = F.when(F.size(h) > 0, F.array(packed(F.xxhash64(h), F.lit(0)))).otherwise(nothing)
+        letters = F.transform(F.array_remove(F.split(F.array_join(w, " "), ""), ""), lambda c: F.xxhash64(c))
+        spelled = bound(letters, lambda c: grams(c, LETTERS))
+        return F.concat(F.coalesce(grams(h, gram), one), F.coalesce(spelled, nothing))
+
+    def kept(w: Column) -> Column:
+        hashes = F.transform(w, lambda x: F.xxhash64(x))
+        return bound(hashes, lambda h: F.when(F.size(h) >= max(SHORT, gram), bound(grams(h, gram), minima)).otherwise(of_few(w, h)))
 
-    hashes = F.transform(words(text), lambda w: F.xxhash64(w))
-    return bound(bound(hashes, grams), minima)
+    return bound(units(text), kept)
 
 
 def shown(kept: Column) -> Column:
@@ -153,7 +179,7 @@ def compare_with_edited(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, and how alike they and the next document's are.
 
     The edited text has the last half of the code points replaced by the first as many of the next document.
-    Null texts are empty. Repeated rows each have a row.
+    Null texts are empty. Repeated rows each have a row. An empty table gives none. Other columns are not looked at.
     """
     rows = with_next(docs, {"_print": fingerprint(F.col("text"))})
     half = F.floor(F.length("text") / 2).cast("int")

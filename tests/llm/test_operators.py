@@ -149,20 +149,40 @@ def test_mixture_rates_and_copies(spark, docs):
     assert abs(np.mean(counts) - 20) < 0.3 and abs(np.var(counts) - 20) < 2
 
 
+def winnowed(spark, parts, size):
+    """Positions kept of all hashes of so many parts in a row."""
+    df = spark.createDataFrame([(parts[i : i + size],) for i in range(len(parts) - size + 1)], "w array<string>").coalesce(1)
+    h = [x[0] for x in df.select(F.shiftrightunsigned(F.xxhash64(*(F.xxhash64(F.get("w", F.lit(i))) for i in range(size))), 28)).collect()]
+    if len(h) <= winnowing.WINDOW:
+        return list(range(len(h)))
+    picks = set()
+    for i in range(len(h) - winnowing.WINDOW + 1):
+        part = h[i : i + winnowing.WINDOW]
+        picks.add(max(i + j for j, x in enumerate(part) if x == min(part)))
+    return sorted(picks)
+
+
 def test_winnowing_against_brute_force(spark, docs):
-    got = docs.select("text", winnowing.fingerprint(F.coalesce("text", F.lit(""))).alias("f")).collect()
+    more = spark.createDataFrame([("これは長い文です。" * 9,), ("one two",), ("a b c d e f g h i j",), (" ".join("abcdefghijklmnopqrst"),), ("x" * 25,)], "text string")
+    got = docs.select("text").union(more).select("text", winnowing.fingerprint(F.coalesce("text", F.lit(""))).alias("f")).collect()
     for r in got:
         words = [w for w in re.split("[ \n\t\r]", r["text"] or "") if w]
-        if len(words) < winnowing.GRAM:
-            assert len(r["f"]) == bool(words)
+        words = [u for w in words for u in (w if len(w) > winnowing.LONG_WORD else [w])]
+        where = [winnowing.LAST_POSITION - (x & winnowing.LAST_POSITION) for x in r["f"]]
+        if len(words) >= winnowing.SHORT:
+            assert sorted(where) == winnowed(spark, words, winnowing.GRAM)
             continue
-        df = spark.createDataFrame([(words[i : i + 3],) for i in range(len(words) - 2)], "w array<string>").coalesce(1)
-        h = [x[0] for x in df.select(F.shiftrightunsigned(F.xxhash64(*(F.xxhash64(F.get("w", F.lit(i))) for i in range(3))), 28)).collect()]
-        picks = set()
-        for i in range(max(1, len(h) - winnowing.WINDOW + 1)):
-            part = h[i : i + winnowing.WINDOW]
-            picks.add(max(i + j for j, x in enumerate(part) if x == min(part)))
-        assert {winnowing.LAST_POSITION - (x & winnowing.LAST_POSITION) for x in r["f"]} == picks
+        letters = list(" ".join(words))
+        all_grams = list(range(len(words) - 2)) if len(words) > 2 else [0] * bool(words)
+        assert where == all_grams + list(range(len(letters) - winnowing.LETTERS + 1))
+
+
+@pytest.mark.parametrize("text", ["ab cd ef", "one two three four five six seven eight nine ten", "今日はとても良い天気ですね。" * 60, "Donaudampfschiff", prose(19), prose(40), "日本語 の テキスト です"])
+def test_half_a_text_shows_at_every_length(spark, text):
+    other = "completely different material, " * 200
+    docs = spark.createDataFrame([(1, text), (2, other)], "doc_id long, text string")
+    row = winnowing.compare_with_edited(docs).where("doc_id = 1").first()
+    assert 0 < row["near_edited"] < 1 and row["near_next"] < 0.05
 
 
 def test_edited_texts(docs, empty):
