@@ -92,10 +92,10 @@ def shared_counterparties(edges: DataFrame, flagged: DataFrame, min_shared: int)
     )
 
 
-def payee_prefixes(pairs: DataFrame, min_shared: int, limit: int = ROWS_PER_TASK) -> DataFrame:
-    """The rarest payees of each payer: enough of them that payers sharing ``min_shared`` payees share one.
+def payee_prefixes(pairs: DataFrame, min_shared: int, limit: int = ROWS_PER_TASK, meet: int = 1) -> DataFrame:
+    """The rarest payees of each payer: enough of them that payers sharing ``min_shared`` payees share ``meet`` of these.
 
-    Payees are ordered by rarity, ties by id. Of n payees the first n - min_shared + 1 are kept, with their
+    Payees are ordered by rarity, ties by id. Of n payees the first n - min_shared + meet are kept, with their
     place ``pos`` (from 1) and n; payers with fewer than ``min_shared`` payees have none. Payees that almost
     everyone pays come last and seldom remain.
     """
@@ -104,7 +104,7 @@ def payee_prefixes(pairs: DataFrame, min_shared: int, limit: int = ROWS_PER_TASK
     sizes = rated.groupBy(F.col("payer").alias("_payer")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_shared)
     by = ordering(rated, ["payer"], ["degree", "payee"], limit)
     placed = running_sums(rated, by, {"pos": F.lit(1)}).join(sizes, F.col("payer") == F.col("_payer"))
-    return placed.where(F.col("pos") <= F.col("n") - min_shared + 1).select("payer", "payee", "pos", "n")
+    return placed.where(F.col("pos") <= F.col("n") - min_shared + meet).select("payer", "payee", "pos", "n")
 
 
 def shared_pairs(edges: DataFrame, min_shared: int, limit: int = ROWS_PER_TASK) -> DataFrame:
@@ -116,11 +116,13 @@ def shared_pairs(edges: DataFrame, min_shared: int, limit: int = ROWS_PER_TASK)
     """
     known = edges.where("payer IS NOT NULL AND payee IS NOT NULL").select("payer", "payee").distinct()
     pairs = written(known)
-    prefixes = written(payee_prefixes(pairs, min_shared, limit))
+    # With larger overlaps to find, payers have to meet several times in slightly longer prefixes.
+    meet = max(1, min_shared // 6)
+    prefixes = written(payee_prefixes(pairs, min_shared, limit, meet))
     left, right = (prefixes.select(F.col("payee").alias(f"_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("payer", "pos", "n"))) for x in "ab")
     ahead = 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    met = left.join(right, (F.col("_a") == F.col("_b")) & (F.col("payer_a") < F.col("payer_b")) & (ahead >= min_shared))
-    candidates = written(met.select("payer_a", "payer_b").distinct())
+    met = left.join(right, (F.col("_a") == F.col("_b")) & (F.col("payer_a") < F.col("payer_b")) & (ahead > min_shared - meet))
+    candidates = written(met.groupBy("payer_a", "payer_b").count().where(F.col("count") >= meet).drop("count"))
     first = candidates.join(pairs, F.col("payer_a") == F.col("payer")).select("payer_a", "payer_b", F.col("payee").alias("_payee"))
     both = first.join(pairs, (F.col("payer_b") == F.col("payer")) & (F.col("_payee") == F.col("payee")))
     return both.groupBy("payer_a", "payer_b").agg(F.count(F.lit(1)).alias("n_shared")).where(F.col("n_shared") >= min_shared)
