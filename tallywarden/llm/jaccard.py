@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tallywarden.llm.common import importable, kept, may_be_in, whole
+from tallywarden.llm.common import dropped, importable, kept, may_be_in, whole
 from tallywarden.operators.counterparties import linked_groups
 
 # Link at similarity of SHARE / 100 and more; words in an n-gram.
@@ -335,7 +335,10 @@ def similar_groups(docs: DataFrame, words: int = WORDS, share: int = SHARE, poin
     def links(pairs: DataFrame) -> DataFrame:
         pairs = kept(pairs, "pairs")
         sids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        return kept(verified(pairs, texts_of(docs, sids, words), words, share), "links")
+        texts = texts_of(docs, sids, words)
+        found = kept(verified(pairs, texts, words, share), "links")
+        dropped(pairs, texts)
+        return found
 
     first_links = links(led_pairs(classes, share))
     components = linked_groups(first_links, "a", "b").select(F.col("node").alias("sid"), F.col("group").alias("component"))
@@ -347,11 +350,13 @@ def similar_groups(docs: DataFrame, words: int = WORDS, share: int = SHARE, poin
     joined = joined.withColumn("component", F.coalesce("component", "sid"))
     alone = classes.where(~maybe).select(*columns, F.col("sid").alias("component"))
     in_groups = kept(joined.unionByName(alone), "groups")
+    dropped(classes, components)
     narrow = in_groups.select(F.explode("first").alias("key"), F.xxhash64("component").alias("c"))
     contested = narrow.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
     contested = kept(contested.select("key"), "contested")
     members = in_groups.select("sid", "component", "n", "point", F.explode("first").alias("key")).where(may_be_in(contested, "key"))
     more_links = links(tree_pairs(members, share, points))
+    dropped(in_groups, contested)
 
     groups = linked_groups(first_links.unionByName(more_links), "a", "b")
     groups = known.where("n > 0").join(groups, F.col("sid") == F.col("node"), "left")
