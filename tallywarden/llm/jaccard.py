@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tallywarden.llm.common import dropped, importable, kept, may_be_in, whole
+from tallywarden.llm.common import dropped, importable, kept, may_be_in, text_key, whole
 from tallywarden.operators.counterparties import linked_groups
 
 # Link at similarity of SHARE / 100 and more; words in an n-gram.
@@ -186,35 +186,30 @@ def frequent_table(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, words: int, share: int) -> DataFrame:
-    """Set size, digest, point, smallest members and prefix of each document."""
+    """Set size, digest, point, smallest members, prefix and digest of the text of each document."""
     table = frequent_table(docs, words)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Shingler(words)
         for rows in batches:
             out = []
-            for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
+            for doc_id, text, tkey in zip(rows["doc_id"], rows["text"], rows["tkey"], strict=True):
                 s = own.shingles(text)
                 often = (table[(s & np.uint64(TABLE - 1)).astype(np.int64)] >> ((s >> np.uint64(16)) & np.uint64(63))) & np.uint64(1)
                 first = s[np.argsort(often, kind="stable")][: prefix_length(len(s), share) if len(s) else 0]
-                out.append((doc_id, len(s), same_set(s), point(s).tobytes(), s[:LEADERS].view("<i8"), first.view("<i8")))
-            frame = pd.DataFrame(out, columns=["doc_id", "n", "sid", "point", "least", "first"])
+                out.append((doc_id, len(s), same_set(s), point(s).tobytes(), s[:LEADERS].view("<i8"), first.view("<i8"), tkey))
+            frame = pd.DataFrame(out, columns=["doc_id", "n", "sid", "point", "least", "first", "tkey"])
             yield frame.astype({"doc_id": rows["doc_id"].dtype})
 
-    schema = "doc_id long, n long, sid binary, point binary, least array<long>, first array<long>"
-    return docs.select("doc_id", "text").mapInPandas(sign, schema)
+    schema = "doc_id long, n long, sid binary, point binary, least array<long>, first array<long>, tkey binary"
+    return docs.select("doc_id", "text", text_key("text").alias("tkey")).mapInPandas(sign, schema)
 
 
-def texts_of(docs: DataFrame, sids: DataFrame, words: int) -> DataFrame:
-    """(sid, text): one text for each of the given sets."""
-
-    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Shingler(words)
-        for rows in batches:
-            yield pd.DataFrame({"sid": [same_set(own.shingles(t)) for t in rows["text"]], "text": rows["text"]})
-
-    found = docs.select("text").mapInPandas(named, "sid binary, text string").where(may_be_in(sids, "sid"))
-    return kept(found.join(sids, "sid", "left_semi").dropDuplicates(["sid"]), "texts")
+def texts_of(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(sid, text) of the given sets, of which (sid, tkey) names a text each; only these texts are shuffled."""
+    named = docs.select(text_key("text").alias("tkey"), "text").where(may_be_in(sets, "tkey"))
+    # Copies of a text are one row before they meet the sets.
+    return kept(named.dropDuplicates(["tkey"]).join(sets, "tkey").select("sid", "text"), "texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, share: int) -> DataFrame:
@@ -329,15 +324,17 @@ def similar_groups(docs: DataFrame, words: int = WORDS, share: int = SHARE, poin
     classes = known.where("n > 0").groupBy("sid").agg(
         F.count(F.lit(1)).alias("copies"),
         *(F.any_value(c).alias(c) for c in ("n", "point", "least", "first")),
+        F.min("tkey").alias("tkey"),
     )
     classes = kept(classes, "classes")
 
     def links(pairs: DataFrame) -> DataFrame:
         pairs = kept(pairs, "pairs")
         sids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        texts = texts_of(docs, sids, words)
+        sets = kept(classes.select("sid", "tkey").join(sids, "sid", "left_semi"), "sets")
+        texts = texts_of(docs, sets)
         found = kept(verified(pairs, texts, words, share), "links")
-        dropped(pairs, texts)
+        dropped(pairs, sets, texts)
         return found
 
     first_links = links(led_pairs(classes, share))
@@ -350,13 +347,13 @@ def similar_groups(docs: DataFrame, words: int = WORDS, share: int = SHARE, poin
     joined = joined.withColumn("component", F.coalesce("component", "sid"))
     alone = classes.where(~maybe).select(*columns, F.col("sid").alias("component"))
     in_groups = kept(joined.unionByName(alone), "groups")
-    dropped(classes, components)
+    dropped(components)
     narrow = in_groups.select(F.explode("first").alias("key"), F.xxhash64("component").alias("c"))
     contested = narrow.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
     contested = kept(contested.select("key"), "contested")
     members = in_groups.select("sid", "component", "n", "point", F.explode("first").alias("key")).where(may_be_in(contested, "key"))
     more_links = links(tree_pairs(members, share, points))
-    dropped(in_groups, contested)
+    dropped(classes, in_groups, contested)
 
     groups = linked_groups(first_links.unionByName(more_links), "a", "b")
     groups = known.where("n > 0").join(groups, F.col("sid") == F.col("node"), "left")
