@@ -9,7 +9,9 @@ on the whole sets.
 An R-tree over a whole corpus would be one task's work, so points are dealt to
 trees first, without losing a pair: sets of similarity t share one of their first
 (1 - t) n + 1 members in any fixed order. The order puts frequent n-grams last, which keeps the
-trees small. Only groups matter, so a first round links what resembles one leader, and the trees
+trees small. A pair is put out only where its first common member can be, which leaves it enough members
+to follow. Large sets, for which the groups of a point are too few, are bounded by wider counts before their
+texts are read. Only groups matter, so a first round links what resembles one leader, and the trees
 look for links between different groups alone.
 """
 
@@ -38,6 +40,8 @@ POINTS = 1_000
 LEAF = 16
 PAIRS_AT_ONCE = 65_536
 MOST_COUNT = 255
+# Sets of so many members and more have wide counts too, of a group for every two to four members.
+WIDE_FROM = 1_024
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -101,6 +105,21 @@ def point(s: np.ndarray) -> np.ndarray:
     return (counts if counts.max() < MOST_COUNT else np.full(GROUPS, MOST_COUNT)).astype(np.uint8)
 
 
+def wide_point(s: np.ndarray) -> bytes:
+    """Counts of a large set in a power of two of groups, so that the counts of a larger one fold into its groups; empty for others."""
+    if len(s) < WIDE_FROM:
+        return b""
+    bits = len(s).bit_length() - 2
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return (counts if counts.max() < MOST_COUNT else np.full(1 << bits, MOST_COUNT)).astype(np.uint8).tobytes()
+
+
+def wide_overlap(a: bytes, b: bytes) -> int:
+    """The largest overlap that two sets with these wide counts can have."""
+    p, q = (np.frombuffer(x, dtype=np.uint8).astype(np.int64) for x in sorted((a, b), key=len))
+    return int(np.minimum(p, q.reshape(len(p), -1).sum(1)).sum())
+
+
 def points_of(packed: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(packed), dtype=np.uint8).reshape(-1, GROUPS)
 
@@ -186,7 +205,7 @@ def frequent_table(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, words: int, share: int) -> DataFrame:
-    """Set size, digest, point, smallest members, prefix and digest of the text of each document."""
+    """Set size, digest, point, wide counts, smallest members, prefix and digest of the text of each document."""
     table = frequent_table(docs, words)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,11 +216,11 @@ def signed(docs: DataFrame, words: int, share: int) -> DataFrame:
                 s = own.shingles(text)
                 often = (table[(s & np.uint64(TABLE - 1)).astype(np.int64)] >> ((s >> np.uint64(16)) & np.uint64(63))) & np.uint64(1)
                 first = s[np.argsort(often, kind="stable")][: prefix_length(len(s), share) if len(s) else 0]
-                out.append((doc_id, len(s), same_set(s), point(s).tobytes(), s[:LEADERS].view("<i8"), first.view("<i8"), tkey))
-            frame = pd.DataFrame(out, columns=["doc_id", "n", "sid", "point", "least", "first", "tkey"])
+                out.append((doc_id, len(s), same_set(s), point(s).tobytes(), wide_point(s), s[:LEADERS].view("<i8"), first.view("<i8"), tkey))
+            frame = pd.DataFrame(out, columns=["doc_id", "n", "sid", "point", "wide", "least", "first", "tkey"])
             yield frame.astype({"doc_id": rows["doc_id"].dtype})
 
-    schema = "doc_id long, n long, sid binary, point binary, least array<long>, first array<long>, tkey binary"
+    schema = "doc_id long, n long, sid binary, point binary, wide binary, least array<long>, first array<long>, tkey binary"
     return docs.select("doc_id", "text", text_key("text").alias("tkey")).mapInPandas(sign, schema)
 
 
@@ -229,6 +248,23 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, share: int) -> Data
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInPandas(check, "a binary, b binary")
 
 
+def near_by_wide(pairs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
+    """The pairs (a, b) that may link by their wide counts, where both sets have these."""
+    large = classes.where(F.length("wide") > 0)
+    a, b = (large.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}")) for c in "ab")
+    both = pairs.join(a, "a", "left").join(b, "b", "left")
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            sides = zip(rows["n_a"], rows["n_b"], rows["wide_a"], rows["wide_b"], strict=True)
+            good = [wide_overlap(x, y) >= least_overlap(n, m, share) for n, m, x, y in sides]
+            yield rows.loc[np.array(good, dtype=bool), ["a", "b"]]
+
+    known = F.col("wide_a").isNotNull() & F.col("wide_b").isNotNull()
+    large_pairs = both.where(known).mapInPandas(near, "a binary, b binary")
+    return both.where(~known).select("a", "b").unionByName(large_pairs)
+
+
 def led_pairs(classes: DataFrame, share: int) -> DataFrame:
     """Pairs of each set with the leaders named by its smallest members: the most frequent set that has the member."""
     named = classes.select(F.explode("least").alias("h"), "sid", "n", "point", "copies")
@@ -251,7 +287,9 @@ def led_pairs(classes: DataFrame, share: int) -> DataFrame:
 def tree_pairs(members: DataFrame, share: int, points: int = POINTS) -> DataFrame:
     """Pairs of sets of different groups that share a key and may link by the bound of a tree.
 
-    ``members`` has (key, sid, component, n, point). Keys with more than ``points`` members are dealt to
+    ``members`` has (key, at, sid, component, n, point), where ``at`` is the key's place in the order of the set's members.
+    A pair is put out by its first common member: members before it are in one set only, so that the overlap is
+    at most what is left of either. Other keys put it out again, or not at all. Keys with more than ``points`` members are dealt to
     parts, and each pair of parts is a task's work.
     """
     large = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / points).cast("int").alias("parts")).where("parts > 1")
@@ -260,17 +298,18 @@ def tree_pairs(members: DataFrame, share: int, points: int = POINTS) -> DataFram
     placed = members.join(kept(large, "large"), "key", "left").withColumn("parts", parts)
     placed = placed.withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    dealt = placed.select("key", "sid", "component", "n", "point", "part", other)
+    dealt = placed.select("key", "sid", "component", "n", "at", "point", "part", other)
     dealt = dealt.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
     cell = F.xxhash64("key", "low", "high").alias("cell")
-    dealt = dealt.select(cell, "sid", "component", "n", "point", F.col("part") == F.col("low"), (F.col("low") == F.col("high")).alias("alone"))
-    dealt = dealt.toDF("cell", "sid", "component", "n", "point", "asks", "alone")
+    dealt = dealt.select(cell, "sid", "component", "n", "at", "point", F.col("part") == F.col("low"), (F.col("low") == F.col("high")).alias("alone"))
+    dealt = dealt.toDF("cell", "sid", "component", "n", "at", "point", "asks", "alone")
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         """The pairs of all cells among these rows, which are sorted by cell."""
         cell, asks, alone = (rows[c].to_numpy() for c in ("cell", "asks", "alone"))
         component = pd.factorize(rows["component"])[0]
         p, n = points_of(rows["point"]), rows["n"].to_numpy()
+        left = n - rows["at"].to_numpy()
         starts = np.flatnonzero(np.diff(cell, prepend=cell[:1] - 1))
         ends = np.append(starts[1:], len(cell))
         found = []
@@ -279,6 +318,7 @@ def tree_pairs(members: DataFrame, share: int, points: int = POINTS) -> DataFram
         for step in range(1, LEAF):
             i = np.flatnonzero(in_leaf[:-step] & (cell[:-step] == cell[step:]) & (component[:-step] != component[step:]))
             i = i[alone[i] | (asks[i] != asks[i + step])]
+            i = i[np.minimum(left[i], left[i + step]) >= least_overlap(n[i], n[i + step], share)]
             i = i[may_link(p[i], n[i], p[i + step], n[i + step], share)]
             found.append((i, i + step))
         for start, end in zip(starts, ends, strict=True):
@@ -288,8 +328,8 @@ def tree_pairs(members: DataFrame, share: int, points: int = POINTS) -> DataFram
                 if len(asking) and len(sought):
                     a, b = CountTree(p[sought], n[sought], share).search(p[asking], n[asking])
                     a, b = asking[a], sought[b]
-                    other = component[a] != component[b]
-                    found.append((a[other], b[other]))
+                    good = (component[a] != component[b]) & (np.minimum(left[a], left[b]) >= least_overlap(n[a], n[b], share))
+                    found.append((a[good], b[good]))
         a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
         sid = rows["sid"].to_numpy()
         pairs = {(min(x, y), max(x, y)) for x, y in zip(sid[a], sid[b], strict=True)}
@@ -323,13 +363,13 @@ def similar_groups(docs: DataFrame, words: int = WORDS, share: int = SHARE, poin
     known = kept(signed(docs, words, share), "signed")
     classes = known.where("n > 0").groupBy("sid").agg(
         F.count(F.lit(1)).alias("copies"),
-        *(F.any_value(c).alias(c) for c in ("n", "point", "least", "first")),
+        *(F.any_value(c).alias(c) for c in ("n", "point", "wide", "least", "first")),
         F.min("tkey").alias("tkey"),
     )
     classes = kept(classes, "classes")
 
     def links(pairs: DataFrame) -> DataFrame:
-        pairs = kept(pairs, "pairs")
+        pairs = kept(near_by_wide(pairs, classes, share), "pairs")
         sids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
         sets = kept(classes.select("sid", "tkey").join(sids, "sid", "left_semi"), "sets")
         texts = texts_of(docs, sets)
@@ -351,7 +391,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, share: int = SHARE, poin
     narrow = in_groups.select(F.explode("first").alias("key"), F.xxhash64("component").alias("c"))
     contested = narrow.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
     contested = kept(contested.select("key"), "contested")
-    members = in_groups.select("sid", "component", "n", "point", F.explode("first").alias("key")).where(may_be_in(contested, "key"))
+    members = in_groups.select("sid", "component", "n", "point", F.posexplode("first").alias("at", "key")).where(may_be_in(contested, "key"))
     more_links = links(tree_pairs(members, share, points))
     dropped(classes, in_groups, contested)
 

@@ -113,6 +113,51 @@ def test_count_tree_loses_no_point():
                 assert (i, j) in found
 
 
+def test_wide_counts_bound_the_overlap():
+    rng = np.random.default_rng(5)
+    low = False
+    for n in (jaccard.WIDE_FROM, 2_047, 2_048, 5_000, 9_000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64) << np.uint64(1))
+        for keep in (1.0, 0.9, 0.5, 0.01):
+            more = np.unique(rng.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64))
+            b = np.unique(np.concatenate([rng.choice(a, int(keep * len(a)), replace=False), more[: n - int(keep * n)], more[: n // 5]]))
+            both = len(np.intersect1d(a, b))
+            bound = jaccard.wide_overlap(jaccard.wide_point(a), jaccard.wide_point(b))
+            assert both <= bound == jaccard.wide_overlap(jaccard.wide_point(b), jaccard.wide_point(a))
+            low |= bound < 0.7 * len(a)
+    assert low
+    assert jaccard.wide_point(a[:100]) == b""
+    # One group that is too full for a byte bounds nothing.
+    full = np.arange(2_000, dtype=np.uint64)
+    assert jaccard.wide_overlap(jaccard.wide_point(full), jaccard.wide_point(full)) >= 2_000
+
+
+@pytest.mark.parametrize("points", [1_000, 3])
+def test_long_documents_with_shared_passages(spark, points):
+    rng = random.Random(12)
+
+    def said(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    passage = said(120)
+    bodies = [said(1_300) + passage for _ in range(12)]
+    near = [b[:i] + said(1) + b[i + 1 :] for b in bodies[:4] for i in (100, 700)]
+    # About one shingle in six differs, some pairs on either side of the limit.
+    edge = [b[:200] + said(k) + b[200 + k :] for b in bodies[4:8] for k in (105, 108, 120)]
+    texts = [" ".join(w) for w in bodies + near + edge]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(docs, points=points).collect()}
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in (t.split() for t in texts)]
+    group = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+                old, new = sorted((group[i], group[j]), reverse=True)
+                group = [new if g == old else g for g in group]
+    assert len(set(group)) > 12
+    assert got == dict(enumerate(group))
+
+
 @pytest.mark.parametrize("small", [200, 2])
 def test_lines_keep_one_of_each_group(docs, small):
     out = {r["doc_id"]: r for r in lines.dedup_lines(docs, small).collect()}
