@@ -252,17 +252,16 @@ def near_by_wide(pairs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
     """The pairs (a, b) that may link by their wide counts, where both sets have these."""
     large = classes.where(F.length("wide") > 0)
     a, b = (large.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}")) for c in "ab")
-    both = pairs.join(a, "a", "left").join(b, "b", "left")
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            sides = zip(rows["n_a"], rows["n_b"], rows["wide_a"], rows["wide_b"], strict=True)
-            good = [wide_overlap(x, y) >= least_overlap(n, m, share) for n, m, x, y in sides]
-            yield rows.loc[np.array(good, dtype=bool), ["a", "b"]]
+            good = (rows["wide_a"].isna() | rows["wide_b"].isna()).to_numpy()
+            large = rows[~good]
+            sides = zip(large["n_a"].astype(int), large["n_b"].astype(int), large["wide_a"], large["wide_b"], strict=True)
+            good[~good] = [wide_overlap(x, y) >= least_overlap(n, m, share) for n, m, x, y in sides]
+            yield rows.loc[good, ["a", "b"]]
 
-    known = F.col("wide_a").isNotNull() & F.col("wide_b").isNotNull()
-    large_pairs = both.where(known).mapInPandas(near, "a binary, b binary")
-    return both.where(~known).select("a", "b").unionByName(large_pairs)
+    return pairs.join(a, "a", "left").join(b, "b", "left").mapInPandas(near, "a binary, b binary")
 
 
 def led_pairs(classes: DataFrame, share: int) -> DataFrame:
@@ -369,7 +368,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, share: int = SHARE, poin
     classes = kept(classes, "classes")
 
     def links(pairs: DataFrame) -> DataFrame:
-        pairs = kept(near_by_wide(pairs, classes, share), "pairs")
+        pairs = kept(pairs, "pairs")
         sids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
         sets = kept(classes.select("sid", "tkey").join(sids, "sid", "left_semi"), "sets")
         texts = texts_of(docs, sets)
@@ -392,7 +391,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, share: int = SHARE, poin
     contested = narrow.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
     contested = kept(contested.select("key"), "contested")
     members = in_groups.select("sid", "component", "n", "point", F.posexplode("first").alias("at", "key")).where(may_be_in(contested, "key"))
-    more_links = links(tree_pairs(members, share, points))
+    more_links = links(near_by_wide(tree_pairs(members, share, points), classes, share))
     dropped(classes, in_groups, contested)
 
     groups = linked_groups(first_links.unionByName(more_links), "a", "b")
