@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType
 
 from tallywarden.llm.common import dropped, importable, kept, may_be_in, text_key, whole
 from tallywarden.operators.counterparties import linked_groups
@@ -220,7 +221,7 @@ def signed(docs: DataFrame, words: int, share: int) -> DataFrame:
             frame = pd.DataFrame(out, columns=["doc_id", "n", "sid", "point", "wide", "least", "first", "tkey"])
             yield frame.astype({"doc_id": rows["doc_id"].dtype})
 
-    schema = "doc_id long, n long, sid binary, point binary, wide binary, least array<long>, first array<long>, tkey binary"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, sid binary, point binary, wide binary, least array<long>, first array<long>, tkey binary"
     return docs.select("doc_id", "text", text_key("text").alias("tkey")).mapInPandas(sign, schema)
 
 
@@ -355,10 +356,11 @@ def similar_groups(docs: DataFrame, words: int = WORDS, share: int = SHARE, poin
 
     The component's id is the smallest doc_id that links lead to, itself included. Documents
     without words link with nothing. Null texts are empty; null ids never name a component unless all
-    its ids are null. Repeated rows each have a row. ``share`` is in hundredths.
+    its ids are null. Ids are integers, or digests of bytes. Repeated rows each have a row. ``share`` is in hundredths.
     """
     importable(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text"))
+    doc_id = F.col("doc_id") if docs.schema["doc_id"].dataType == BinaryType() else F.col("doc_id").cast("long")
+    docs = docs.select(doc_id.alias("doc_id"), whole("text").alias("text"))
     known = kept(signed(docs, words, share), "signed")
     classes = known.where("n > 0").groupBy("sid").agg(
         F.count(F.lit(1)).alias("copies"),
