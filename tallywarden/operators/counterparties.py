@@ -145,8 +145,8 @@ def linked_groups(pairs: DataFrame, a: str, b: str, max_rounds: int = 64) -> Dat
     """Connected groups of linked ids; a group is named after its smallest id.
 
     Each round points every id to its smallest neighbour, follows the pointers
-    to their ends, and contracts the links to those ends. At least half of the
-    ids disappear per round, so the rounds grow with the logarithm of the ids.
+    to their ends, and contracts the links to those ends. Of two linked ids the
+    larger one always disappears; groups not done after ``max_rounds`` are an error.
     Every round is checkpointed to the shared folder: the plan stays short, and
     a lost executor costs one round at most.
     """

@@ -47,7 +47,9 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.sparkContext.getCheckpointDir()
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    # Executors of local-cluster are processes of their own, like those of any cluster.
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     root = tempfile.mkdtemp(prefix="tallywarden-")
     spark.sparkContext.setCheckpointDir(root)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallywarden.functions.text import luhn_valid, masked, normalise, within_deletions
 from tallywarden.operators import amounts, behaviour, counterparties, integrity, protection, reporting
+from tallywarden.session import shared_root
 from tallywarden.sources.alerts import to_alerts
 from tallywarden.sources.transactions import parse_props
 
@@ -414,3 +415,21 @@ def test_near_duplicates_of_an_unknown_entity_are_found(frame):
     rows = frame([(1, None, at(0), 5.0), (2, None, at(1), 5.0), (3, 4, at(0), 5.0)])
     hits = integrity.near_duplicates(rows, "who", "id", "ts", "amount", 1, 3).collect()
     assert sorted(r["id"] for r in hits) == [1, 2]
+
+
+@pytest.mark.parametrize("master", ["local-cluster[2,1,1024]", "spark://host:7077", "yarn"])
+def test_no_temporary_folder_on_a_cluster(master):
+    class Unset:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Unset(), Context()
+
+    Session.sparkContext.master = master
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_root(Session())
