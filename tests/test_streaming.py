@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tallywarden.catalogue.streams import stream_profile
 from tallywarden.operators import amounts, behaviour
 from tallywarden.sources.tables import stream_events
 from tallywarden.streaming import sinks, state, windows
@@ -160,6 +161,20 @@ def test_unknown_rows_and_exact_sums(spark, feed, tmp_path):
     assert alerts_key(spark.read.parquet(f"{out}/alerts")) == alerts_key(want) != []
 
 
+def test_profile_in_a_session_with_the_default_state_store(spark, feed):
+    values = [10.0, 11.0, 9.0, 10.0, 11.0, 9.0, 500.0, 10.0]
+    folder = feed([event(i, i, value=v) for i, v in enumerate(values)])
+    before = spark.conf.get(sinks.STORE)
+    default = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    spark.conf.set(sinks.STORE, default)
+    try:
+        found = stream_profile(spark, folder).collect()
+        assert spark.conf.get(sinks.STORE) == default
+    finally:
+        spark.conf.set(sinks.STORE, before)
+    assert [(r["event_id"], r["n_prior"]) for r in found] == [(6, 6)]
+
+
 def test_late_rows_are_counted_one_by_one(spark, feed, tmp_path):
     folder = feed(
         [event(1, 0), event(2, 300)],
