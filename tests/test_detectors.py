@@ -162,3 +162,20 @@ def test_indexed_screening_finds_nearly_all_of_the_exact_hits(spark):
     assert 0.9 <= row["recall"] <= 1 and row["n_found"] <= row["n_exact"]
     (row,) = protection.screening_recall(df.where("false"), "name", entries, "entry", 2, index).collect()
     assert (row["n_exact"], row["n_found"], row["recall"]) == (0, 0, None)
+
+
+def test_bitmaps_exclude_no_pair_that_shares_enough(spark):
+    # Payer 0 pays nearly everyone; payers 1 and 2 share 40 payees, 3 and 4 share 29.
+    sets = {0: range(900), 1: range(100, 150), 2: range(110, 160), 3: range(2000, 2035), 4: range(2006, 2041)}
+    rows = [(a, b) for a, payees in sets.items() for b in payees] + [(None, 100), (1, None)]
+    pairs = spark.createDataFrame(rows, "payer int, payee int")
+    maps = {r["payer"]: r for r in counterparties.payee_bitmaps(pairs.dropna()).collect()}
+    longs = [f"bits_{i}" for i in range(counterparties.BITMAP_LONGS)]
+    for a in sets:
+        assert maps[a]["slack"] == len(sets[a]) - sum((maps[a][c] % 2**64).bit_count() for c in longs)
+        for b in sets:
+            common = sum((maps[a][c] & maps[b][c] & (2**64 - 1)).bit_count() for c in longs)
+            assert len(set(sets[a]) & set(sets[b])) <= common + min(maps[a]["slack"], maps[b]["slack"])
+    edges = pairs.selectExpr("payer", "payee", "1L AS txn_id", "current_date() AS ts", "1.0D AS amount")
+    found = {(r["payer_a"], r["payer_b"]): r["n_shared"] for r in counterparties.shared_pairs(edges, 30).collect()}
+    assert found == {(0, 1): 50, (0, 2): 50, (1, 2): 40}
