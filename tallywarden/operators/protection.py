@@ -53,23 +53,27 @@ def screen_fuzzy(
     """
     ours = df.withColumn("_name", normalise(F.col(name)))
     theirs = watchlist.withColumn("_entry", normalise(F.col(listed)))
+    near = _near(_distinct(df, name, "_name"), _distinct(watchlist, listed, "_entry"), max_dist)
+    return ours.join(near, "_name").join(theirs, "_entry").drop("_name", "_entry")
+
+
+def _distinct(table: DataFrame, name: str, alias: str) -> DataFrame:
+    """Each normalised name once."""
+    return table.select(normalise(F.col(name)).alias(alias)).where(F.col(alias).isNotNull()).distinct()
 
-    def variants(table: DataFrame, column: str, alias: str) -> DataFrame:
-        return (
-            table.select(column)
-            .where(F.col(column).isNotNull())
-            .distinct()
-            .select(column, F.explode(within_deletions(F.col(column), max_dist)).alias(alias))
-        )
 
-    left, right = variants(ours, "_name", "_v1"), variants(theirs, "_entry", "_v2")
-    near = (
+def _near(names: DataFrame, entries: DataFrame, max_dist: int) -> DataFrame:
+    """Pairs of ``_name`` and ``_entry`` at most ``max_dist`` edits apart, with their distance, each once."""
+    left, right = (
+        table.select(column, F.explode(within_deletions(F.col(column), max_dist)).alias(alias))
+        for table, column, alias in ((names, "_name", "_v1"), (entries, "_entry", "_v2"))
+    )
+    return (
         left.join(right, F.col("_v1") == F.col("_v2"))
         .select("_name", "_entry", F.levenshtein("_name", "_entry", max_dist).alias("distance"))
         .where("distance >= 0")
         .distinct()
     )
-    return ours.join(near, "_name").join(theirs, "_entry").drop("_name", "_entry")
 
 
 # Bands of an index of names, and hashes in each.
@@ -104,25 +108,33 @@ def screen_indexed(df: DataFrame, name: str, index: DataFrame, max_dist: int) ->
     needs about (length ^ max_dist) / max_dist! rows a name.
     """
     ours = df.withColumn("_name", normalise(F.col(name)))
-    names = ours.select("_name").where(F.col("_name").isNotNull()).distinct()
+    near = _near_indexed(_distinct(df, name, "_name"), index, max_dist).withColumnRenamed("_name", "_found")
+    return ours.join(near, F.col("_name") == F.col("_found")).drop("_name", "_found")
+
+
+def _near_indexed(names: DataFrame, index: DataFrame, max_dist: int) -> DataFrame:
+    """Pairs of ``_name`` and indexed ``entry`` that share a signature and are near, with their distance, each once."""
     signed = names.select("_name", F.explode(_signatures(F.col("_name"), max_dist, SHORT + max_dist)).alias("_signature"))
     together = signed.join(index, F.col("_signature") == F.col("signature"))
-    near = (
+    return (
         together.select("_name", "entry")
         .distinct()
         .withColumn("distance", F.levenshtein("_name", "entry", max_dist))
         .where("distance >= 0")
-        .withColumnRenamed("_name", "_found")
     )
-    return ours.join(near, F.col("_name") == F.col("_found")).drop("_name", "_found")
 
 
 def screening_recall(df: DataFrame, name: str, watchlist: DataFrame, listed: str, max_dist: int, index: DataFrame) -> DataFrame:
-    """How many of the exact near matches an index finds: n_exact, n_found and recall, one row."""
-    exact = screen_fuzzy(df.select(name), name, watchlist.select(listed), listed, max_dist)
-    pairs = exact.select(normalise(F.col(name)).alias("_a"), normalise(F.col(listed)).alias("_b"), F.lit(1).alias("_exact"), F.lit(0).alias("_found"))
-    found = screen_indexed(df.select(name), name, index, max_dist)
-    both = pairs.unionByName(found.select(normalise(F.col(name)).alias("_a"), F.col("entry").alias("_b"), F.lit(0).alias("_exact"), F.lit(1).alias("_found")))
+    """How many of the exact near matches an index finds: n_exact, n_found and recall, one row.
+
+    Matches are pairs of different normalised names, found as ``screen_fuzzy`` and ``screen_indexed`` find them
+    but not rejoined with the copies of either name.
+    """
+    names = _distinct(df, name, "_name")
+    exact = _near(names, _distinct(watchlist, listed, "_entry"), max_dist)
+    pairs = exact.select(F.col("_name").alias("_a"), F.col("_entry").alias("_b"), F.lit(1).alias("_exact"), F.lit(0).alias("_found"))
+    found = _near_indexed(names, index, max_dist)
+    both = pairs.unionByName(found.select(F.col("_name").alias("_a"), F.col("entry").alias("_b"), F.lit(0).alias("_exact"), F.lit(1).alias("_found")))
     each = both.groupBy("_a", "_b").agg(F.max("_exact").alias("_exact"), F.max("_found").alias("_found"))
     return each.agg(
         F.coalesce(F.sum("_exact"), F.lit(0)).alias("n_exact"), F.coalesce(F.sum("_found"), F.lit(0)).alias("n_found")

@@ -179,3 +179,14 @@ def test_bitmaps_exclude_no_pair_that_shares_enough(spark):
     edges = pairs.selectExpr("payer", "payee", "1L AS txn_id", "current_date() AS ts", "1.0D AS amount")
     found = {(r["payer_a"], r["payer_b"]): r["n_shared"] for r in counterparties.shared_pairs(edges, 30).collect()}
     assert found == {(0, 1): 50, (0, 2): 50, (1, 2): 40}
+
+
+def test_recall_takes_each_pair_of_names_once(spark):
+    names = ["Anna Bergström", "anna bergstrom", "Anna Bergstrom Ltd", "Jo", "Jon", "..."]
+    df = spark.createDataFrame([(n,) for n in names] * 50, "name string")
+    listed = df.select(F.col("name").alias("entry"))
+    near = protection._near(protection._distinct(df, "name", "_name"), protection._distinct(listed, "entry", "_entry"), 2)
+    assert near.count() == 6  # four names with themselves, Jo and Jon both ways; the longer name is 4 edits off
+    index = protection.index_names(listed, "entry", 2)
+    row = protection.screening_recall(df, "name", listed, "entry", 2, index).first()
+    assert (row["n_exact"], row["n_found"]) == (6, 6)
