@@ -37,10 +37,25 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
-class Codec:
+class Decoder:
+    """The bytes of each rank of a file. A worker that only decodes holds no tokenizer."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as f:
+            ranks = [(base64.b64decode(a), int(b)) for a, b in map(bytes.split, f)]
+        self.bytes_of = [b""] * (max(rank for _, rank in ranks) + 1)
+        for token, rank in ranks:
+            self.bytes_of[rank] = token
+
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+
+
+class Codec(Decoder):
     """Encoder and decoder for one file of ranks."""
 
     def __init__(self, path: str, pattern: str):
+        super().__init__(path)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
@@ -65,11 +80,6 @@ class Codec:
         self.of_matches.pre_tokenizer = byte_level
         self.matches = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
-        # Decoding goes by the table of bytes, read backwards.
-        byte_of = {c: b for b, c in enumerate(shown)}
-        self.bytes_of = [b""] * (max(vocab.values()) + 1)
-        for token, rank in vocab.items():
-            self.bytes_of[rank] = bytes(byte_of[c] for c in token)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers.
@@ -103,9 +113,6 @@ class Codec:
             for e in self._batches(self.tokenizer, texts, offsets=True)
         ]
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
-
     @staticmethod
     def _batches(tokenizer, texts: list[str], offsets: bool = False):
         run = tokenizer.encode_batch if offsets else tokenizer.encode_batch_fast
@@ -124,6 +131,11 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+@cache
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def encode(
     docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", offsets: str | None = None
 ) -> DataFrame:
@@ -161,7 +173,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", out: s
 
     @F.pandas_udf("binary")
     def bytes_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = codec(path, pattern)
+        own = decoder(path)
         for packed in batches:
             yield pd.Series([own.decode(p or b"") for p in packed], dtype=object)
 

@@ -282,6 +282,20 @@ def test_token_counts_are_the_library_s(spark):
         assert r["n_tokens"] == len(model.encode(r["text"]))
 
 
+def test_decoding_holds_no_tokenizer():
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    only = byte_bpe.decoder(path)
+    assert not hasattr(only, "tokenizer") and only.decode(b"") == b""
+    text = "Ünïcode 日本 \U0001f600 \x00 end"
+    ids = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks_of(path), special_tokens={}).encode(text)
+    assert only.decode(np.array(ids, dtype="<u4").tobytes()) == text.encode()
+
+
+def ranks_of(path):
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 def test_byte_bpe_is_tiktoken(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     with open(path, "rb") as f:
