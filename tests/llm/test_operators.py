@@ -98,6 +98,27 @@ def test_jaccard_against_brute_force(docs, points):
     assert got == sorted(map(repr, want))
 
 
+def test_points_are_kept_once_while_trees_are_searched(docs, monkeypatch):
+    alive, held = {}, []
+
+    def kept(df, purpose, real=jaccard.kept):
+        table = real(df, purpose)
+        alive[table.kept_at] = (purpose, table.columns)
+        if purpose == "large":
+            held.extend(p for p, columns in alive.values() if {"point", "first", "least"} & set(columns))
+        return table
+
+    def dropped(*tables, real=jaccard.dropped):
+        real(*tables)
+        for t in tables:
+            alive.pop(t.kept_at, None)
+
+    monkeypatch.setattr(jaccard, "kept", kept)
+    monkeypatch.setattr(jaccard, "dropped", dropped)
+    jaccard.similar_groups(docs).collect()
+    assert held == ["groups"]
+
+
 def test_count_tree_loses_no_point():
     rng = np.random.default_rng(3)
     own = jaccard.Shingler(1)
