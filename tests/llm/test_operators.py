@@ -360,3 +360,17 @@ def test_empty_tables(spark, empty):
 def test_toxicity_without_labels(docs, spark):
     out = toxicity.predictions(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()
     assert len(out) == len(ROWS) and all(0 <= r["score"] <= 1 for r in out)
+
+
+def test_workers_of_count_trees_get_few_texts_at_once(spark, docs, monkeypatch):
+    key, sizes = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+
+    def kept(df, purpose, real=jaccard.kept):
+        sizes[purpose] = int(spark.conf.get(key))
+        return real(df, purpose)
+
+    before = spark.conf.get(key)
+    monkeypatch.setattr(jaccard, "kept", kept)
+    assert jaccard.similar_groups(docs).count() == len(ROWS)
+    assert {"signed", "pairs", "links"} <= set(sizes) and set(sizes.values()) == {jaccard.BATCH_ROWS}
+    assert spark.conf.get(key) == before
