@@ -34,3 +34,16 @@ def test_large_components_are_exact(spark):
     assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == want
     with pytest.raises(Exception, match="does not fit"):
         nearest.top_scores(df, F.col("vec_id") == 0, 20).collect()
+
+
+def test_filter_of_keys_stands_in_no_plan(spark):
+    from tallywarden.llm.common import may_be_in
+
+    few = spark.range(0, 400, 4).union(spark.createDataFrame([(None,)], "id long"))
+    rows = spark.range(400).union(spark.createDataFrame([(None,)], "id long"))
+    passed = rows.where(may_be_in(few, "id"))
+    got = [r["id"] for r in passed.collect()]
+    assert None in got and set(range(0, 400, 4)) <= set(got) and len(got) < 120
+    assert [r["id"] for r in rows.where(may_be_in(few.limit(0), "id")).collect()] == []
+    # As a constant the filter takes a hundred kilobytes when empty, and more than a megabyte when full.
+    assert len(passed._jdf.queryExecution().toString()) < 20_000
