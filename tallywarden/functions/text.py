@@ -88,6 +88,35 @@ def _one_deletion(text: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+def edit_classes(depth: int) -> list[tuple[int, int]]:
+    """(deletions, insertions) of the ways to edit a text ``depth`` times; the other edits replace a character."""
+    return [(d, i) for d in range(depth + 1) for i in range(depth + 1 - d)]
+
+
+def edited_forms(col: Column, edits: tuple[int, int], depth: int, listed: bool) -> Column:
+    """Hashes of what is left of a text by one of the ``edit_classes``: characters deleted, others replaced by a sign that no normalised text has.
+
+    Of two texts the first one loses its deletions and the second one, which is ``listed``, what is inserted. They share such a hash for some class
+    if they are at most ``depth`` edits apart and, but for equal hashes of different forms, only then.
+    """
+    reach = F.array(col)
+    for _ in range(edits[listed]):
+        reach = F.array_distinct(F.flatten(F.transform(reach, _one_deletion)))
+    for _ in range(depth - sum(edits)):
+        reach = F.array_distinct(F.flatten(F.transform(reach, _one_replaced)))
+    return F.transform(reach, lambda form: F.xxhash64(F.lit(edits[0]), F.lit(edits[1]), form))
+
+
+def _one_replaced(text: Column) -> Column:
+    return F.when(
+        F.length(text) > 0,
+        F.transform(
+            F.sequence(F.lit(1), F.length(text)),
+            lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.lit("?"), F.substring(text, i + 1, F.length(text))),
+        ),
+    ).otherwise(F.array(text))
+
+
 def band_signatures(name: Column, bands: int, rows: int) -> Column:
     """MinHash signatures of a name's letter pairs, one for each band of ``rows`` hashes.
 

@@ -9,6 +9,8 @@ from tallywarden.functions.text import (
     EMAIL,
     PHONE,
     band_signatures,
+    edit_classes,
+    edited_forms,
     luhn_valid,
     masked,
     normalise,
@@ -46,8 +48,8 @@ def screen_fuzzy(
 ) -> DataFrame:
     """Rows with listed names at most ``max_dist`` edits from their own, both normalised.
 
-    Distinct names are matched through the texts both can be shortened to, which
-    misses nothing and compares only names that are nearly alike. Copies of a
+    Distinct names are matched through the forms both have after that many edits, which
+    misses nothing and compares only names that are alike. Copies of a
     name are matched once and rejoined afterwards. The columns of ``watchlist``
     are added to those of ``df``.
     """
@@ -64,18 +66,36 @@ def _distinct(table: DataFrame, name: str, alias: str) -> DataFrame:
 
 def _near(names: DataFrame, entries: DataFrame, max_dist: int) -> DataFrame:
     """Pairs of ``_name`` and ``_entry`` at most ``max_dist`` edits apart, with their distance, each once."""
-    left, right = (
-        table.select(column, F.explode(within_deletions(F.col(column), max_dist)).alias(alias))
-        for table, column, alias in ((names, "_name", "_v1"), (entries, "_entry", "_v2"))
-    )
+    left, right = _forms(names, "_name", entries, "_entry", max_dist, False), _forms(entries, "_entry", names, "_name", max_dist, True)
     return (
-        left.join(right, F.col("_v1") == F.col("_v2"))
+        left.join(right, "_form")
         .select("_name", "_entry", F.levenshtein("_name", "_entry", max_dist).alias("distance"))
         .where("distance >= 0")
         .distinct()
     )
 
 
+def _dealt(table: DataFrame, column: str) -> DataFrame:
+    """Names are few bytes and much work, so that the number of their partitions must not follow from their size.
+
+    By the name itself the partitions of a grouping would be kept, which Spark puts together by size.
+    """
+    return table.repartition(table.sparkSession.sparkContext.defaultParallelism * 4, F.xxhash64(column))
+
+
+def _forms(table: DataFrame, column: str, others: DataFrame, other: str, max_dist: int, listed: bool) -> DataFrame:
+    """Each text with its ``edited_forms`` of the classes that lead to a length of some text of the others."""
+    # One row for each length.
+    lengths = F.broadcast(others.select(F.length(other).alias("_length")).distinct())
+    classes = edit_classes(max_dist)
+    each = _dealt(table, column).select(column, F.explode(F.array(*(F.lit(k) for k in range(len(classes))))).alias("_class"))
+    longer = F.element_at(F.array(*(F.lit(d - i if listed else i - d) for d, i in classes)), F.col("_class") + 1)
+    met = each.join(lengths, F.length(column) + longer == F.col("_length"), "left_semi")
+    forms = (F.when(F.col("_class") == k, edited_forms(F.col(column), c, max_dist, listed)) for k, c in enumerate(classes))
+    # No name is without forms; the outer form keeps Spark from making them a second time to see that.
+    return met.select(column, F.explode_outer(F.coalesce(*forms)).alias("_form"))
+
+
 # Bands of an index of names, and hashes in each.
 BANDS, ROWS_PER_BAND = 20, 2
 # Names up to this length share too few letter pairs with near ones. They are indexed by what is left after deletions.
@@ -114,7 +134,7 @@ def screen_indexed(df: DataFrame, name: str, index: DataFrame, max_dist: int) ->
 
 def _near_indexed(names: DataFrame, index: DataFrame, max_dist: int) -> DataFrame:
     """Pairs of ``_name`` and indexed ``entry`` that share a signature and are near, with their distance, each once."""
-    signed = names.select("_name", F.explode(_signatures(F.col("_name"), max_dist, SHORT + max_dist)).alias("_signature"))
+    signed = _dealt(names, "_name").select("_name", F.explode(_signatures(F.col("_name"), max_dist, SHORT + max_dist)).alias("_signature"))
     together = signed.join(index, F.col("_signature") == F.col("signature"))
     return (
         together.select("_name", "entry")
@@ -127,17 +147,18 @@ def _near_indexed(names: DataFrame, index: DataFrame, max_dist: int) -> DataFram
 def screening_recall(df: DataFrame, name: str, watchlist: DataFrame, listed: str, max_dist: int, index: DataFrame) -> DataFrame:
     """How many of the exact near matches an index finds: n_exact, n_found and recall, one row.
 
-    Matches are pairs of different normalised names, found as ``screen_fuzzy`` and ``screen_indexed`` find them
-    but not rejoined with the copies of either name.
+    Matches are pairs of different normalised names, not rejoined with the copies of either. The index finds a match
+    if the two share a signature there, which is all that ``screen_indexed`` asks of them besides; so only matches are looked at,
+    not all names that share one. A match with an entry that only the index has is found, but none of the exact ones.
     """
     names = _distinct(df, name, "_name")
-    exact = _near(names, _distinct(watchlist, listed, "_entry"), max_dist)
-    pairs = exact.select(F.col("_name").alias("_a"), F.col("_entry").alias("_b"), F.lit(1).alias("_exact"), F.lit(0).alias("_found"))
-    found = _near_indexed(names, index, max_dist)
-    both = pairs.unionByName(found.select(F.col("_name").alias("_a"), F.col("entry").alias("_b"), F.lit(0).alias("_exact"), F.lit(1).alias("_found")))
-    each = both.groupBy("_a", "_b").agg(F.max("_exact").alias("_exact"), F.max("_found").alias("_found"))
-    return each.agg(
-        F.coalesce(F.sum("_exact"), F.lit(0)).alias("n_exact"), F.coalesce(F.sum("_found"), F.lit(0)).alias("n_found")
+    indexed = index.groupBy(F.col("entry").alias("_entry")).agg(F.collect_set("signature").alias("_indexed"))
+    entries = _distinct(watchlist, listed, "_entry").withColumn("_listed", F.lit(True)).join(indexed, "_entry", "full")
+    signed = _dealt(names, "_name").select("_name", _signatures(F.col("_name"), max_dist, SHORT + max_dist).alias("_signed"))
+    pairs = _near(names, entries.select("_entry"), max_dist).select("_name", "_entry")
+    both = pairs.join(entries, "_entry").join(signed, "_name")
+    return both.agg(
+        F.count_if(F.col("_listed")).alias("n_exact"), F.count_if(F.arrays_overlap("_indexed", "_signed")).alias("n_found")
     ).withColumn("recall", F.try_divide("n_found", "n_exact"))
 
 

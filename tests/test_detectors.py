@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallywarden.functions.text import normalise, without_accents
+from tallywarden.functions.text import edit_classes, edited_forms, normalise, without_accents
 from tallywarden.operators import amounts, behaviour, counterparties, protection, reporting, sketches
 
 
@@ -190,3 +190,33 @@ def test_recall_takes_each_pair_of_names_once(spark):
     index = protection.index_names(listed, "entry", 2)
     row = protection.screening_recall(df, "name", listed, "entry", 2, index).first()
     assert (row["n_exact"], row["n_found"]) == (6, 6)
+
+
+def test_forms_of_names_are_shared_only_by_near_ones(spark):
+    rng = random.Random(21)
+    texts = ["", "a", "ab", "ba", "aab", "0012", "0021", "0102", "1200"] + ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(50)]
+    texts = sorted(set(texts))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for depth in (0, 1, 2, 3):
+        met = set()
+        for c in edit_classes(depth):
+            ours, theirs = (rows.select(F.col("t").alias(n), F.explode(edited_forms(F.col("t"), c, depth, n == "b")).alias("f")) for n in "ab")
+            met |= {tuple(r) for r in ours.join(theirs, "f").select("a", "b").distinct().collect()}
+        near = rows.alias("x").join(rows.alias("y"), F.levenshtein("x.t", "y.t") <= depth)
+        assert met == {tuple(r) for r in near.select("x.t", "y.t").collect()}
+
+
+def test_recall_looks_only_at_near_names(spark):
+    # Nearly all names share a signature and many a shortened text; pairs that are near are few.
+    df = spark.range(400).select(F.format_string("Supplier#%09d", F.col("id") * 977).alias("name"))
+    listed = df.where("name like '%1' or name like '%4'").select(F.translate("name", "ui", "úï").alias("entry"))
+    other = spark.createDataFrame([("supplier 000000009",), (None,)], "entry string")
+    index = protection.index_names(listed.limit(60).unionByName(other), "entry", 2)
+    found = protection.screening_recall(df, "name", listed, "entry", 2, index)
+    exact = protection.screen_fuzzy(df, "name", listed, "entry", 2).count()
+    hits = protection.screen_indexed(df, "name", index, 2).count()
+    row = found.first()
+    assert (row["n_exact"], row["n_found"], row["recall"]) == (exact, hits, hits / exact)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # Names meet by their forms, by the list and by their own signatures, never by a signature alone.
+    assert "signature" in plan and "_signature#" not in plan
